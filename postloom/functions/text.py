@@ -4,14 +4,16 @@ All patterns carry ``(?U)``: without it Java's ``\\s \\w \\b`` know ASCII only.
 whitespace class adds U+001C-U+001F, which Java does not count as white space.
 
 Three functions need tables that Spark has no built-in for (HTML5 entities, Unicode
-normal forms).  They run as Arrow UDFs, and only rows that can change are handed over:
-text without ``&``, or pure ASCII text, stays inside the JVM.
+normal forms).  They run as Arrow UDFs, and only rows the JVM cannot handle are handed
+over: those with a character reference, those that may not be composed already, and those
+with a character whose decomposition is not a single character.
 """
 
 import html
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -29,13 +31,44 @@ USER = r"(?U)\bu/\w+\b"
 FORUM = r"(?U)\br/\w+\b"
 SIMPLE_TAG = r"(?U)<[\w/]*>"
 SUSPICIOUS = r"[&#<>{}\[\]\\]"
-HYPHENATED = rf"(?U)(\w{{2,}}(?<!\d))-{SPACE}+((?!\d)\w{{2,}})"
+# The word boundary and the possessive quantifier only spare hopeless attempts.
+HYPHENATED = rf"(?U)\b(\w{{2,}}+(?<!\d))-{SPACE}+((?!\d)\w{{2,}})"
 URL = r"(?U)\b(?:https?|ftp)://\S+|\bwww\.\S+"
 FANCY_QUOTES = "ʼ‘’´`“”"
 ASCII_QUOTES = "'''''\"\""
 TOKEN = r"[\p{L}\p{N}]+"
 SEPARATOR = " [SEP] "
-NON_ASCII = r"[^\x00-\x7f]"
+REFERENCE = r"&[#A-Za-z]"
+# All but: Latin without combining marks, plain Cyrillic, general punctuation.
+MAYBE_DECOMPOSED = r"[\u0300-\u03ff\u0483-\u0489\u0500-\u2001\u2070-\x{10ffff}]"
+
+
+def _without_marks(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def _single_character_forms():
+    """For the scripts up to Cyrillic and for dashes and quotes: the characters that lose
+    their marks by a one-to-one replacement, those that vanish, and a pattern for all
+    characters outside these (a few coarse ranges, which match much faster than exact ones)."""
+    replaced, vanishing, spans = {}, [], []
+    for code in [*range(0x80, 0x500), *range(0x2000, 0x2024)]:
+        char = chr(code)
+        bare = _without_marks(char)
+        if not bare:
+            vanishing.append(char)
+        elif len(bare) > 1:
+            if not spans or code - spans[-1][1] > 0x30:
+                spans.append([code, code])
+            spans[-1][1] = code
+        elif bare != char:
+            replaced[char] = bare
+    spans += [[0x500, 0x1FFF], [0x2024, 0x10FFFF]]
+    needs_all = "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in spans) + "]"
+    return "".join(replaced) + "".join(vanishing), "".join(replaced.values()), needs_all
+
+
+MARKED, BARE, NEEDS_DECOMPOSITION = _single_character_forms()
 
 
 @F.arrow_udf(StringType())
@@ -51,11 +84,16 @@ def _compose(texts: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(StringType())
-def _drop_marks(texts: pa.Array) -> pa.Array:
-    parts = [t if t is None else unicodedata.normalize("NFKD", t) for t in texts.to_pylist()]
-    seen = set("".join(t for t in parts if t))
+def _drop_marks(parts: pa.Array) -> pa.Array:
+    """Decompose ``slow``; ``fast`` is finished and only passes through."""
+    slow, fast = parts.field("slow"), parts.field("fast")
+    if slow.null_count == len(slow):
+        return fast
+    texts = [t if t is None else unicodedata.normalize("NFKD", t) for t in slow.to_pylist()]
+    seen = set("".join(t for t in texts if t))
     marks = {ord(c): None for c in seen if unicodedata.combining(c)}
-    return pa.array([t if t is None else t.translate(marks) for t in parts], pa.string())
+    bare = pa.array([t if t is None else t.translate(marks) for t in texts], pa.string())
+    return pc.coalesce(bare, fast)
 
 
 def _where(condition: Column, fn, text: Column) -> Column:
@@ -65,7 +103,7 @@ def _where(condition: Column, fn, text: Column) -> Column:
 
 def html_unescape(text: Column) -> Column:
     """HTML5 character references to characters, in one pass."""
-    return _where(text.contains("&"), _unescape, text)
+    return _where(text.rlike(REFERENCE), _unescape, text)
 
 
 def strip_tags(text: Column) -> Column:
@@ -124,12 +162,22 @@ def ascii_quotes(text: Column) -> Column:
 
 def normalize_unicode(text: Column) -> Column:
     """NFC."""
-    return _where(text.rlike(NON_ASCII), _compose, text)
+    return _where(text.rlike(MAYBE_DECOMPOSED), _compose, text)
 
 
 def strip_accents(text: Column) -> Column:
-    """Compatibility decomposition without combining marks."""
-    return _where(text.rlike(NON_ASCII), _drop_marks, text)
+    """Compatibility decomposition without combining marks.
+
+    Both act on each character by itself, so a translation table does for most rows.  The
+    text is bound in an array: a plain expression would be evaluated at each mention.
+    """
+    none = F.lit(None).cast("string")
+    parts = F.transform(
+        F.array(text),
+        lambda t: F.when(t.rlike(NEEDS_DECOMPOSITION), F.struct(t.alias("slow"), none.alias("fast")))
+        .otherwise(F.struct(none.alias("slow"), F.translate(t, MARKED, BARE).alias("fast"))),
+    )
+    return _drop_marks(F.get(parts, F.lit(0)))
 
 
 def mask_urls(text: Column) -> Column:
@@ -139,8 +187,7 @@ def mask_urls(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """Rejoin words, unify quotes, drop accents, mask URLs.
 
-    Composing first would not change the decomposed result (NFKD of NFC equals NFKD), so
-    both Unicode steps share one Arrow pass.
+    Composing first would not change the decomposed result (NFKD of NFC equals NFKD).
     """
     return mask_urls(strip_accents(ascii_quotes(join_hyphenated(text))))
 

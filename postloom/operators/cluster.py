@@ -19,7 +19,8 @@ from postloom.operators.knn import TILE_CELLS, knn_join, to_matrix
 REDUCER_CONFIG = {"n_components": 50, "n_neighbors": 27, "metric": "euclidean"}
 CLUSTER_CONFIG = {"n_clusters": 80, "max_iter": 300, "random_state": 42}
 MAX_CENTROIDS = 10_000
-FIT_PARTITIONS = 64
+FIT_ROWS = 500_000  # reduced vectors per partition while fitting
+FIT_PARTITIONS = 8
 
 
 @dataclass
@@ -69,15 +70,19 @@ def fit_clusters(
     max_iter: int = CLUSTER_CONFIG["max_iter"],
     seed: int = CLUSTER_CONFIG["random_state"],
     n_components: int = REDUCER_CONFIG["n_components"],
-    partitions: int = FIT_PARTITIONS,
+    partitions: int | None = None,
 ) -> ClusterModel:
     """Fit normaliser, PCA and k-means; ``predict_clusters`` on the same rows gives the labels.
 
-    k-means depends on how rows are partitioned and ordered, so both are fixed by the key;
-    raise ``partitions`` with the data.  Initial centres come from the scalable k-means++
-    variant; each iteration moves k partial sums per partition.
+    k-means depends on how rows are partitioned and ordered, so both are fixed: by the key
+    and, unless ``partitions`` is given, the row count.  Initial centres come from the
+    scalable k-means++ variant; each iteration moves k partial sums per partition.
     """
     usable = train.where(F.col(vec).isNotNull()).select(key, vec)
+    rows = usable.count()
+    if n_clusters > rows:
+        raise ValueError(f"{n_clusters} clusters asked for {rows} rows")
+    partitions = partitions or max(FIT_PARTITIONS, -(-rows // FIT_ROWS))
     reducer = fit_reducer(usable, vec, n_components)
     # Shuffle the short reduced vectors, not the originals.
     ready = (
@@ -86,9 +91,6 @@ def fit_clusters(
         .persist()
     )
     try:
-        rows = ready.count()
-        if n_clusters > rows:
-            raise ValueError(f"{n_clusters} clusters asked for {rows} rows")
         kmeans = KMeans(
             k=n_clusters, maxIter=max_iter, seed=seed, featuresCol="_reduced", predictionCol="cluster"
         ).fit(ready)

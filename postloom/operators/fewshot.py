@@ -4,16 +4,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.hashing import hash_text
-from postloom.operators.bounded import broadcast_if_small
+from postloom.operators.bounded import broadcast_if_small, local_if_small
 from postloom.operators.evaluate import group_sizes, share_of_group
 
 MAJOR_SHARE = 0.05
 
 
-def major_categories(df: DataFrame, threshold: float = MAJOR_SHARE) -> DataFrame:
-    """(cluster, category, counts, share): categories with at least that share of a cluster;
-    where there is none, the most frequent one (ties to the lowest label)."""
-    shares = share_of_group(group_sizes(df, "cluster", "category"), ["cluster"])
+def label_counts(df: DataFrame) -> DataFrame:
+    """(cluster, category, subcategory, counts): all that the reports below need to know.
+
+    The rows are read once and combined on the map side; the rest works on this table.
+    """
+    return group_sizes(df, "cluster", "category", "subcategory")
+
+
+def _sizes(counts: DataFrame, *by: str) -> DataFrame:
+    return counts.groupBy(*by).agg(F.sum("counts").alias("counts"))
+
+
+def _major(counts: DataFrame, threshold: float) -> DataFrame:
+    shares = share_of_group(_sizes(counts, "cluster", "category"), ["cluster"])
     place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("counts"), "category"))
     # The most frequent category is major in any case: it reaches every share another reaches.
     return shares.withColumn("_place", place).where(
@@ -21,6 +31,27 @@ def major_categories(df: DataFrame, threshold: float = MAJOR_SHARE) -> DataFrame
     ).drop("_place")
 
 
+def _linked(counts: DataFrame, minimum: int, threshold: float) -> DataFrame:
+    supported = _sizes(counts, "cluster", "subcategory").where(F.col("counts") >= minimum)
+    return (
+        counts.join(_major(counts, threshold).select("cluster", "category"), ["cluster", "category"], "left_semi")
+        .join(supported, ["cluster", "subcategory"], "left_semi")
+        .select("cluster", "category", "subcategory")
+    )
+
+
+def _weights(counts: DataFrame) -> DataFrame:
+    inverse = 1.0 / F.col("counts")
+    total = F.sum(inverse).over(Window.partitionBy("cluster"))
+    return _sizes(counts, "cluster", "subcategory").withColumn("weight", inverse / total)
+
+
+def major_categories(df: DataFrame, threshold: float = MAJOR_SHARE) -> DataFrame:
+    """(cluster, category, counts, share): categories with at least that share of a cluster;
+    where there is none, the most frequent one (ties to the lowest label)."""
+    return _major(group_sizes(df, "cluster", "category"), threshold)
+
+
 def supported_subcategories(df: DataFrame, minimum: int) -> DataFrame:
     """(cluster, subcategory, counts) with at least ``minimum`` rows in the cluster."""
     return group_sizes(df, "cluster", "subcategory").where(F.col("counts") >= minimum)
@@ -28,22 +59,18 @@ def supported_subcategories(df: DataFrame, minimum: int) -> DataFrame:
 
 def associated_subcategories(df: DataFrame, minimum: int, threshold: float = MAJOR_SHARE) -> DataFrame:
     """(cluster, category, subcategory): supported labels seen with each major category."""
-    seen = df.select("cluster", "category", "subcategory").distinct()
-    return (
-        seen.join(major_categories(df, threshold).select("cluster", "category"), ["cluster", "category"], "left_semi")
-        .join(supported_subcategories(df, minimum), ["cluster", "subcategory"], "left_semi")
-        .select("cluster", "category", "subcategory")
-    )
+    return _linked(label_counts(df), minimum, threshold)
 
 
 def majority_info(df: DataFrame, minimum: int, threshold: float = MAJOR_SHARE) -> DataFrame:
     """(cluster, major_categories, associated_subcategories): the same as arrays and a map."""
-    linked = associated_subcategories(df, minimum, threshold).groupBy("cluster", "category").agg(
+    counts = label_counts(df)
+    linked = _linked(counts, minimum, threshold).groupBy("cluster", "category").agg(
         F.sort_array(F.collect_list("subcategory")).alias("subcategories")
     )
     empty = F.array().cast(linked.schema["subcategories"].dataType)
     return (
-        major_categories(df, threshold).join(linked, ["cluster", "category"], "left")
+        _major(counts, threshold).join(linked, ["cluster", "category"], "left")
         .groupBy("cluster")
         .agg(
             F.sort_array(F.collect_list("category")).alias("major_categories"),
@@ -56,9 +83,7 @@ def majority_info(df: DataFrame, minimum: int, threshold: float = MAJOR_SHARE) -
 
 def class_weights(df: DataFrame) -> DataFrame:
     """(cluster, subcategory, counts, weight): inverse frequency, summing to 1 per cluster."""
-    inverse = 1.0 / F.col("counts")
-    total = F.sum(inverse).over(Window.partitionBy("cluster"))
-    return group_sizes(df, "cluster", "subcategory").withColumn("weight", inverse / total)
+    return _weights(group_sizes(df, "cluster", "subcategory"))
 
 
 def cluster_ranges(df: DataFrame) -> DataFrame:
@@ -89,18 +114,20 @@ def few_shot_episodes(
     query rows of each.  Phase 2 picks up to ``n_way`` of the other supported labels and
     draws ``n_query`` query rows of each.  Draws follow the hash of (seed, cluster, key).
 
-    Labels are picked on the counts; the rows are then read once, filtered to the picked
-    labels, and each partition keeps its first few rows per label before the shuffle.
+    Labels are picked on one table of counts; the rows are then read once, filtered to the
+    picked labels, and each partition keeps its first few rows per label before the shuffle.
     """
     draw = n_support + n_query
-    major_count = major_categories(df, threshold).groupBy("cluster").agg(F.count(F.lit(1)).alias("_majors"))
-    major_labels = associated_subcategories(df, draw, threshold).select("cluster", "subcategory").distinct()
+    counts, _ = local_if_small(label_counts(df))
+    majors = _major(counts, threshold).groupBy("cluster").agg(F.count(F.lit(1)).alias("_majors"))
+    linked = _linked(counts, draw, threshold).select("cluster", "subcategory").distinct()
     candidates = (
-        class_weights(df).where(F.col("counts") >= draw)
-        .join(major_count, "cluster")
-        .join(major_labels.withColumn("_major", F.lit(True)), ["cluster", "subcategory"], "left")
+        _weights(counts).where(F.col("counts") >= draw)
+        .join(majors, "cluster")
+        .join(linked.withColumn("_major", F.lit(True)), ["cluster", "subcategory"], "left")
         .withColumn("_major", F.coalesce("_major", F.lit(False)))
     )
+
     def place(phase, *first):
         order = hash_text(F.col("subcategory"), seed, F.col("cluster"), phase)
         return F.row_number().over(Window.partitionBy("cluster").orderBy(*first, order, "subcategory"))

@@ -114,8 +114,10 @@ def knn_join(
         by = ["_all"]
         queries, base = queries.withColumn("_all", F.lit(0)), base.withColumn("_all", F.lit(0))
     usable = " and ".join(f"`{c}` is not null" for c in [*by, vec])
-    q = queries.where(usable).select(*by, F.col(key).alias("query_id"), F.col(vec).alias("v"))
-    b = base.where(usable).select(*by, F.col(key).alias("neighbor_id"), F.col(vec).alias("v"), *carry)
+    # Aliases keep both sides apart when they come from the same table.
+    groups = [F.col(c).alias(c) for c in by]
+    q = queries.where(usable).select(*groups, F.col(key).alias("query_id"), F.col(vec).alias("v"))
+    b = base.where(usable).select(*groups, F.col(key).alias("neighbor_id"), F.col(vec).alias("v"), *carry)
 
     base_crowd = crowded_groups(b, by, block_rows, "_base_blocks")
     query_crowd = crowded_groups(q, by, block_rows, "_query_blocks")

@@ -4,11 +4,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from postloom.operators.blocks import BLOCK_ROWS, crowded_groups, own_block, with_block_count
 from postloom.operators.bounded import broadcast_if_small
@@ -52,28 +53,23 @@ def weighted_distance_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray) ->
     return sums
 
 
-def total_distances(
-    df: DataFrame,
-    by: str | Sequence[str],
-    vec: str = "v",
-    key: str = "vec_id",
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(by..., key, v, copies, total): per distinct vector of a group the summed distance
-    to all members of the group; ``key`` is the lowest key among its copies.
-
-    Copies are folded into one weighted row before anything is shuffled.  Work is done per
-    pair of blocks, each unordered pair once, and leaves one partial sum per row and pair:
-    never the pairs themselves.
-    """
-    by = _names(by)
-    distinct = (
+def _distinct_members(df: DataFrame, by: list[str], vec: str, key: str) -> DataFrame:
+    """Copies of a vector folded into one weighted row, before anything else is shuffled."""
+    return (
         df.where(F.col(vec).isNotNull())
         .groupBy(*by, F.col(vec).alias("v"))
         .agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
     )
-    # Upper bound on the distinct vectors, from a scan without the vectors.
-    crowd = crowded_groups(df.where(F.col(vec).isNotNull()).select(*by), by, block_rows, "_blocks")
+
+
+def _crowded(df: DataFrame, by: list[str], vec: str, block_rows: int):
+    # Rows bound the distinct vectors from above; counting them reads the group columns only.
+    return crowded_groups(df.where(F.col(vec).isNotNull()).select(*by), by, block_rows, "_blocks")
+
+
+def _block_totals(distinct: DataFrame, crowd, by: list[str], key: str) -> DataFrame:
+    """Work is done per pair of blocks, each unordered pair once, and leaves one partial sum
+    per row and pair: never the pairs themselves."""
     placed = with_block_count(distinct, crowd, by, "_blocks").withColumn("_own", own_block(key, "_blocks"))
     paired = (
         placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -81,7 +77,7 @@ def total_distances(
         .withColumn("_high", F.greatest("_own", "_other"))
         .drop("_blocks", "_other")
     )
-    fields = [f for f in paired.schema.fields if f.name in (*by, key)]
+    fields = [f for f in paired.schema.fields if f.name in (*by, key, "copies")]
     schema = StructType([*fields, StructField("total", DoubleType())])
 
     def partial_sums(pair: pa.Table) -> pa.Table:
@@ -93,13 +89,25 @@ def total_distances(
         sums[left] = weighted_distance_sums(matrix[left], matrix[right], weight[right])
         if low != high:
             sums[right] = weighted_distance_sums(matrix[right], matrix[left], weight[left])
-        out = {f.name: pair[f.name] for f in fields}
-        return pa.table({**out, "total": pa.array(sums)})
+        return pa.table({**{f.name: pair[f.name] for f in fields}, "total": pa.array(sums)})
 
     sums = paired.groupBy(*by, "_low", "_high").applyInArrow(partial_sums, schema)
-    if crowd is not None:
-        sums = sums.groupBy(*by, key).agg(F.sum("total").alias("total"))
-    return sums
+    if crowd is None:
+        return sums
+    return sums.groupBy(*by, key).agg(F.sum("total").alias("total"), F.first("copies").alias("copies"))
+
+
+def total_distances(
+    df: DataFrame,
+    by: str | Sequence[str],
+    vec: str = "v",
+    key: str = "vec_id",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(by..., key, copies, total): per distinct vector of a group the summed distance to all
+    members of the group; ``key`` is the lowest key among its copies."""
+    by = _names(by)
+    return _block_totals(_distinct_members(df, by, vec, key), _crowded(df, by, vec, block_rows), by, key)
 
 
 def group_medoid(
@@ -115,16 +123,41 @@ def group_medoid(
     Ties (totals equal to 9 digits) go to the lowest key.
     """
     by = _names(by)
+    distinct = _distinct_members(df, by, vec, key)
+    crowd = _crowded(df, by, vec, block_rows)
+    if crowd is None:
+        return _whole_group_medoid(distinct, by, key)
     best = F.min(F.struct(F.round("total", 9).alias("total"), F.col(key))).alias("_best")
     winners = (
-        total_distances(df, by, vec, key, block_rows)
-        .groupBy(*by).agg(best)
-        .select(*by, F.col(f"_best.{key}").alias(key), F.col("_best.total").alias("total"))
+        _block_totals(distinct, crowd, by, key)
+        .groupBy(*by).agg(best, F.sum("copies").alias("n"))
+        .select(*by, F.col(f"_best.{key}").alias(key), F.col("_best.total").alias("total"), "n")
     )
     members = df.select(*by, key, F.col(vec).alias("representative"))
-    sizes = df.where(F.col(vec).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    chosen = broadcast_if_small(winners.join(sizes, by))
-    return members.join(chosen, [*by, key]).select(*by, key, "representative", "n", "total")
+    return members.join(broadcast_if_small(winners), [*by, key]).select(*by, key, "representative", "n", "total")
+
+
+def _whole_group_medoid(distinct: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Every group fits one block: its task returns the medoid and nothing else."""
+    fields = [f for f in distinct.schema.fields if f.name in (*by, key)]
+    names = [f.name for f in fields]
+    schema = StructType([
+        *fields, StructField("representative", distinct.schema["v"].dataType),
+        StructField("n", LongType()), StructField("total", DoubleType()),
+    ])
+
+    def medoid(group: pa.Table) -> pa.Table:
+        matrix, copies = to_matrix(group["v"]), group["copies"].to_numpy()
+        totals = weighted_distance_sums(matrix, matrix, copies.astype(np.float64)).round(9)
+        tied = np.flatnonzero(totals == totals.min())
+        first = tied[pc.sort_indices(group[key].take(tied))[0].as_py()]
+        row = {c: group[c].take([first]) for c in names}
+        return pa.table({
+            **row, "representative": group["v"].take([first]),
+            "n": pa.array([int(copies.sum())]), "total": pa.array([totals[first]]),
+        })
+
+    return distinct.groupBy(*by).applyInArrow(medoid, schema)
 
 
 def representative(

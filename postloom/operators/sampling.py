@@ -18,39 +18,41 @@ DIGITS = 4  # hex digits per level: 65536 counters
 FEW_KEYS = 10_000
 
 
-def _counters(hashed: DataFrame, digits: int):
+def _counters(hashed: DataFrame, digits: int, heads=None):
     head = F.substring("hash", 1, digits).alias("head")
+    if heads is not None:
+        hashed = hashed.where(F.substring("hash", 1, digits - DIGITS).isin(heads))
     return sorted((r["head"], r["count"]) for r in hashed.groupBy(head).count().collect())
 
 
-def _last_key(hashed: DataFrame, counters, position: int):
-    """(hash, key) at a 1-based position of the hash order, narrowed level by level."""
-    digits = DIGITS
-    while True:
-        for head, n in counters:
-            if position <= n:
-                break
-            position -= n
-        hashed = hashed.where(F.substring("hash", 1, digits) == head)
-        if n <= FEW_KEYS or digits >= 32:
-            row = hashed.orderBy("hash", "key").limit(position).agg(F.max(F.struct("hash", "key")).alias("last"))
-            return tuple(row.first()["last"])
-        digits += DIGITS
-        counters = _counters(hashed, digits)
-
-
 def _cutoffs(df: DataFrame, key: str, seed, sizes):
     """Row count and, for each of ``sizes(row count)``, the last selected (hash, key).
 
-    Only the key column is read.  The driver gets at most 65536 counters per level and one
-    row per size.
+    Positions are narrowed down level by level, all together: each level is one pass over
+    the keys that gives the driver at most 65536 counters per position.
     """
     hashed = df.select(F.col(key).alias("key"), hash_text(F.col(key), seed).alias("hash"))
     counters = _counters(hashed, DIGITS)
     total = sum(n for _, n in counters)
-    return total, [
-        _last_key(hashed, counters, size) if 0 < size < total else None for size in sizes(total)
-    ]
+    wanted = {i: [size, "", total] for i, size in enumerate(sizes(total)) if 0 < size < total}
+    for digits in range(DIGITS, 33, DIGITS):
+        for state in wanted.values():
+            position, parent, _ = state
+            for head, n in counters:
+                if not head.startswith(parent):
+                    continue
+                if position <= n:
+                    break
+                position -= n
+            state[:] = position, head, n
+        if all(n <= FEW_KEYS for _, _, n in wanted.values()):
+            break
+        counters = _counters(hashed, digits + DIGITS, [head for _, head, _ in wanted.values()])
+    bounds = {}
+    for i, (position, head, _) in wanted.items():
+        rest = hashed.where(F.col("hash").startswith(head)).orderBy("hash", "key").limit(position)
+        bounds[i] = tuple(rest.agg(F.max(F.struct("hash", "key")).alias("last")).first()["last"])
+    return total, [bounds.get(i) for i in range(len(sizes(total)))]
 
 
 def _up_to(key: str, seed, size: int, total: int, bound) -> Column:

@@ -9,7 +9,7 @@ from postloom.functions import text as tx
 from postloom.operators.embed import BATCH_SIZE, HASH_DIM, embed_text, learn_vocabulary, tokenize
 from postloom.operators.labels import label_encode, label_vocabulary
 from postloom.operators.relational import enrich, select_mapped
-from postloom.operators.sampling import random_split
+from postloom.operators.sampling import hash_split, random_split
 from postloom.sources.tables import read_lookup, read_posts, read_splits, write_splits
 
 
@@ -35,11 +35,18 @@ def prepare_posts(
     out_path: str | None = None,
     seed: int = 42,
     num_files: int | None = None,
+    exact: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Read, label, clean and split posts; write one folder per split if a path is given."""
-    posts = labelled_posts(read_posts(spark, posts_path), read_lookup(spark, lookup_path))
-    # The split looks at the keys only; cleaning is left out of those passes by Catalyst.
-    split = random_split(preprocess(posts), "id", seed=seed)
+    """Read, label, clean and split posts; write one folder per split if a path is given.
+
+    Exact split sizes take a few passes over the keys, which for delimited text means
+    parsing it again (cleaning is left out of those passes by Catalyst).  With
+    ``exact=False`` the sizes are expected ones and the files are read once.
+    """
+    posts = labelled_posts(read_posts(spark, posts_path, multiline=multiline), read_lookup(spark, lookup_path))
+    cleaned = preprocess(posts)
+    split = random_split(cleaned, "id", seed=seed) if exact else hash_split(cleaned, "id", seed=seed)
     if out_path is None:
         return split
     write_splits(split, out_path, num_files)
