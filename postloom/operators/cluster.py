@@ -21,6 +21,7 @@ CLUSTER_CONFIG = {"n_clusters": 80, "max_iter": 300, "random_state": 42}
 MAX_CENTROIDS = 10_000
 FIT_ROWS = 500_000  # reduced vectors per partition while fitting
 FIT_PARTITIONS = 8
+INIT_STEPS = 5  # oversampling rounds of the initialisation
 
 
 @dataclass
@@ -92,7 +93,8 @@ def fit_clusters(
     )
     try:
         kmeans = KMeans(
-            k=n_clusters, maxIter=max_iter, seed=seed, featuresCol="_reduced", predictionCol="cluster"
+            k=n_clusters, maxIter=max_iter, seed=seed, initSteps=INIT_STEPS,
+            featuresCol="_reduced", predictionCol="cluster",
         ).fit(ready)
     finally:
         ready.unpersist()

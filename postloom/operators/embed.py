@@ -107,7 +107,7 @@ def hashed_vector(tokens: Column, dim: int = HASH_DIM) -> Column:
         code = coded.indices.to_numpy(zero_copy_only=False)
         cells = row * dim + component[code] if len(code) else np.zeros(0, np.int64)
         weight = sign[code] if len(code) else np.zeros(0)
-        dense = np.bincount(cells, weights=weight, minlength=len(lists) * dim).reshape(-1, dim)
+        dense = np.bincount(cells, weights=weight, minlength=len(lists) * dim).astype(np.float64).reshape(-1, dim)
         norm = np.sqrt(np.einsum("ij,ij->i", dense, dense))
         dense /= np.where(norm > 0, norm, 1.0)[:, None]
         offsets = np.arange(0, dense.size + 1, dim, dtype=np.int32)

@@ -32,6 +32,8 @@ def to_matrix(column) -> np.ndarray:
     """An Arrow list column as a float64 matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(column), -1)
 
