@@ -8,22 +8,40 @@ key and the work is done per pair of blocks; no task ever holds more than two bl
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.operators.bounded import broadcast_if_small
+from postloom.operators.bounded import bounded_rows
 
 BLOCK_ROWS = 50_000
 
 
-def crowded_groups(df: DataFrame, by: list[str], block_rows: int, name: str) -> DataFrame | None:
-    """(by..., name): number of blocks of the groups that need more than one; None if none do."""
+def crowded_groups(block_rows: int, by: list[str], **sides: DataFrame) -> dict[str, DataFrame | None]:
+    """For each named table (by..., _<name>_blocks): the number of blocks of the groups that
+    need more than one; None where no group does.
+
+    All tables are counted in one job that reads the group columns only.
+    """
+    tagged = None
+    for name, df in sides.items():
+        part = df.select(*by, F.lit(name).alias("_side"))
+        tagged = part if tagged is None else tagged.unionByName(part)
     sizes = (
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        tagged.groupBy(*by, "_side").agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > block_rows)
-        .select(*by, F.ceil(F.col("_n") / block_rows).cast("int").alias(name))
+        .withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
+        .drop("_n")
     )
-    crowded = broadcast_if_small(sizes)
-    if crowded is not sizes and not crowded.take(1):
-        return None
-    return crowded
+    rows = bounded_rows(sizes)
+
+    def of(name):
+        if rows is None:  # too many crowded groups to broadcast: joined by shuffle
+            found = sizes
+        elif any(r["_side"] == name for r in rows):
+            found = F.broadcast(sizes.sparkSession.createDataFrame(rows, sizes.schema))
+        else:
+            return None
+        found = found.where(F.col("_side") == name)
+        return found.select(*by, F.col("_blocks").alias(f"_{name}_blocks"))
+
+    return {name: of(name) for name in sides}
 
 
 def with_block_count(df: DataFrame, crowded: DataFrame | None, by: list[str], name: str) -> DataFrame:

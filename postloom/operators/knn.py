@@ -121,12 +121,11 @@ def knn_join(
     q = queries.where(usable).select(*groups, F.col(key).alias("query_id"), F.col(vec).alias("v"))
     b = base.where(usable).select(*groups, F.col(key).alias("neighbor_id"), F.col(vec).alias("v"), *carry)
 
-    base_crowd = crowded_groups(b, by, block_rows, "_base_blocks")
-    query_crowd = crowded_groups(q, by, block_rows, "_query_blocks")
+    crowd = crowded_groups(block_rows, by, base=b, query=q)
 
     def placed(df, own_key, own, other):
-        df = with_block_count(df, base_crowd, by, "_base_blocks")
-        df = with_block_count(df, query_crowd, by, "_query_blocks")
+        df = with_block_count(df, crowd["base"], by, "_base_blocks")
+        df = with_block_count(df, crowd["query"], by, "_query_blocks")
         return df.withColumn(f"_{own}", own_block(own_key, f"_{own}_blocks")).withColumn(
             f"_{other}", every_block(f"_{other}_blocks")
         ).drop("_base_blocks", "_query_blocks")
@@ -172,7 +171,7 @@ def knn_join(
         return pa.table({n: out[n] for n in names})
 
     partial = left.cogroup(right).applyInArrow(partial_top_k, schema)
-    if base_crowd is not None:
+    if crowd["base"] is not None:
         nearest = Window.partitionBy("query_id").orderBy("sq_dist", "neighbor_id")
         partial = partial.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     return partial.drop("_all") if everywhere else partial

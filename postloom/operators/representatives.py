@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from postloom.operators.blocks import BLOCK_ROWS, crowded_groups, own_block, with_block_count
+from postloom.operators.blocks import BLOCK_ROWS, crowded_groups, every_block, own_block, with_block_count
 from postloom.operators.bounded import broadcast_if_small
 from postloom.operators.knn import TILE_CELLS, exact_sq_dist, to_matrix
 
@@ -64,18 +64,18 @@ def _distinct_members(df: DataFrame, by: list[str], vec: str, key: str) -> DataF
 
 def _crowded(df: DataFrame, by: list[str], vec: str, block_rows: int):
     # Rows bound the distinct vectors from above; counting them reads the group columns only.
-    return crowded_groups(df.where(F.col(vec).isNotNull()).select(*by), by, block_rows, "_blocks")
+    return crowded_groups(block_rows, by, own=df.where(F.col(vec).isNotNull()))["own"]
 
 
 def _block_totals(distinct: DataFrame, crowd, by: list[str], key: str) -> DataFrame:
     """Work is done per pair of blocks, each unordered pair once, and leaves one partial sum
     per row and pair: never the pairs themselves."""
-    placed = with_block_count(distinct, crowd, by, "_blocks").withColumn("_own", own_block(key, "_blocks"))
+    placed = with_block_count(distinct, crowd, by, "_own_blocks").withColumn("_own", own_block(key, "_own_blocks"))
     paired = (
-        placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        placed.withColumn("_other", every_block("_own_blocks"))
         .withColumn("_low", F.least("_own", "_other"))
         .withColumn("_high", F.greatest("_own", "_other"))
-        .drop("_blocks", "_other")
+        .drop("_own_blocks", "_other")
     )
     fields = [f for f in paired.schema.fields if f.name in (*by, key, "copies")]
     schema = StructType([*fields, StructField("total", DoubleType())])

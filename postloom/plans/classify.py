@@ -66,7 +66,13 @@ def train_category_classifier(
     learner = LogisticRegression(
         featuresCol="_vector", labelCol=label, maxIter=max_iter, regParam=reg, family="multinomial"
     )
-    return learner.fit(ready.select("_vector", F.col(label).cast("double").alias(label)))
+    # Kept while fitting: the learner reads its input more than once, and vectors that are
+    # still to be embedded would be computed each time.
+    ready = ready.select("_vector", F.col(label).cast("double").alias(label)).persist()
+    try:
+        return learner.fit(ready)
+    finally:
+        ready.unpersist()
 
 
 def predict_categories(df: DataFrame, model: LogisticRegressionModel, label: str = "category", vec: str = "embedding") -> DataFrame:

@@ -10,7 +10,7 @@ from postloom.operators.embed import BATCH_SIZE, HASH_DIM, embed_text, learn_voc
 from postloom.operators.labels import label_encode, label_vocabulary
 from postloom.operators.relational import enrich, select_mapped
 from postloom.operators.sampling import hash_split, random_split
-from postloom.sources.tables import read_lookup, read_posts, read_splits, write_splits
+from postloom.sources.tables import read_lookup, read_posts, read_splits, spread, write_splits
 
 
 def preprocess(df: DataFrame, text: str = "text", name: str = "clean_text", mask_mentions: bool = False) -> DataFrame:
@@ -45,7 +45,7 @@ def prepare_posts(
     ``exact=False`` the sizes are expected ones and the files are read once.
     """
     posts = labelled_posts(read_posts(spark, posts_path, multiline=multiline), read_lookup(spark, lookup_path))
-    cleaned = preprocess(posts)
+    cleaned = preprocess(spread(posts))
     split = random_split(cleaned, "id", seed=seed) if exact else hash_split(cleaned, "id", seed=seed)
     if out_path is None:
         return split
@@ -69,8 +69,8 @@ def prepare_embeddings(
     Label vocabularies and the token vocabulary are learned from the train split; a label
     that train does not have is an error, as is a null one left null.
     """
-    df = read_splits(spark, in_path, splits)
-    train = read_splits(spark, in_path, ["train"])
+    df = spread(read_splits(spark, in_path, splits))
+    train = spread(read_splits(spark, in_path, ["train"]))
     combined = tx.combine_title_text(F.col("title"), F.col("text"))
     vocabulary = learn_vocabulary(train.select(combined.alias("_combined")), "_combined")
     for label in ("category", "subcategory"):

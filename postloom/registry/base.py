@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from postloom.functions.hashing import uniform
 from postloom.operators.cluster import nearest_centroid
 from postloom.operators.sampling import hash_split
+from postloom.sources.tables import spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -44,6 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, spread over the cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared folder of the cluster; a local one in local mode only."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -135,7 +141,7 @@ VIEWS = {
 
 
 def posts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("source").alias("subreddit"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
@@ -174,7 +180,7 @@ def dirty_posts(spark, sf_dir) -> DataFrame:
     dirty = text
     for i, (before, after) in enumerate(wrapped):
         dirty = F.when(F.col("doc_id") % 8 == i, F.concat(F.lit(before), text, F.lit(after))).otherwise(dirty)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), dirty.alias("text"))
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("id"), dirty.alias("text"))
 
 
 def emb(spark, sf_dir) -> DataFrame:

@@ -9,7 +9,7 @@ from postloom.operators.reduce import fuzzy_graph, graph_embed, knn_graph
 from postloom.plans.classify import classify_zero_shot, predict_categories, train_category_classifier
 from postloom.plans.prepare import labelled_posts, prepare_embeddings
 from postloom.operators.sampling import hash_split
-from postloom.registry.base import emb, lookup, posts, query, r6, scratch, table
+from postloom.registry.base import emb, lookup, posts, query, r6, scratch, table, texts
 from postloom.sources.tables import load_model, save_model, write_splits
 
 _TOKENS = r"""(select doc_id, token, pos from (select doc_id, unnest(t) token, generate_subscripts(t, 1) pos
@@ -20,7 +20,7 @@ _VOCABULARY = f"""(select token, row_number() over (order by md5(token), token)
 
 @query("learn_vocabulary", f"select token, cast(token_id as int) token_id from {_VOCABULARY}")
 def learn_vocabulary_query(spark, sf_dir):
-    return learn_vocabulary(table(spark, sf_dir, "documents"))
+    return learn_vocabulary(texts(spark, sf_dir))
 
 
 _TOKENIZE = f"""select d.doc_id, coalesce('2 ' || ids || ' 3', '2 3') ids, coalesce(n, 0) + 2 n from documents d
@@ -29,7 +29,7 @@ _TOKENIZE = f"""select d.doc_id, coalesce('2 ' || ids || ' 3', '2 3') ids, coale
 
 
 def _tokenize(spark, sf_dir, **options):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     out = tokenize(docs, learn_vocabulary(docs), key="doc_id", max_length=None, **options)
     return out.select(
         "doc_id",
@@ -57,7 +57,7 @@ def tokenize_by_join(spark, sf_dir):
         where s <> 0""",
 )
 def hashed_embedding(spark, sf_dir):
-    rows = embed_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = embed_text(texts(spark, sf_dir).select("doc_id", "text"))
     long = rows.select("doc_id", F.posexplode("embedding").alias("dim", "x")).where("x <> 0")
     return long.select("doc_id", "dim", r6("x").alias("x"))
 
@@ -110,7 +110,7 @@ def classify_zero_shot_query(spark, sf_dir):
 @query("category_classifier")
 def category_classifier(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    docs = texts(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
     rows = hash_split(embed_text(docs), "doc_id")
     model = train_category_classifier(rows.where("split = 'train'"), "quality", max_iter=20)
     scores = evaluate(predict_categories(rows.where("split <> 'train'"), model, "quality"))

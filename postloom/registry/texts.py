@@ -6,7 +6,7 @@ from postloom.functions import text as tx
 from postloom.operators.profile import by_frequency, count_tokens, describe
 from postloom.operators.relational import top_n
 from postloom.plans.prepare import preprocess
-from postloom.registry.base import dirty_posts, posts, query, r6, table
+from postloom.registry.base import dirty_posts, posts, query, r6, table, texts
 
 # The cleaning steps as SQL for an engine with RE2 patterns.
 _S = r"[\s\x1c-\x1f]"
@@ -119,7 +119,7 @@ for _name, (_step, _sql) in _STEPS.items():
 
 @query("strip_markup_pages", f"select page_id, {_clean('html')} result from pages")
 def strip_markup_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.clean(F.col("html")).alias("result"))
+    return texts(spark, sf_dir, "pages").select("page_id", tx.clean(F.col("html")).alias("result"))
 
 
 @query(
@@ -221,7 +221,7 @@ def tag_counts(spark, sf_dir):
         from documents) group by 1 having count(*) >= 2""",
 )
 def token_counts(spark, sf_dir):
-    return by_frequency(count_tokens(table(spark, sf_dir, "documents"), "text", tx.words))
+    return by_frequency(count_tokens(texts(spark, sf_dir), "text", tx.words))
 
 
 @query("combine_title_text", "select id, title || ' [SEP] ' || selftext combined from posts", _POSTS)

@@ -42,6 +42,16 @@ def read_lookup(spark: SparkSession, path: str, columns=LOOKUP) -> DataFrame:
     return _delimited(spark, path, columns, ",", False)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that has fewer partitions than there are cores.
+
+    For work that costs far more than moving the rows, such as cleaning text.  A large
+    input has more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_splits(df: DataFrame, path: str, num_files: int | None = None) -> None:
     """One folder per split.
 
