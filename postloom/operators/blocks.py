@@ -8,7 +8,7 @@ key and the work is done per pair of blocks; no task ever holds more than two bl
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.operators.bounded import bounded_rows
+from postloom.operators.bounded import bounded_table
 
 BLOCK_ROWS = 50_000
 
@@ -29,15 +29,16 @@ def crowded_groups(block_rows: int, by: list[str], **sides: DataFrame) -> dict[s
         .withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
         .drop("_n")
     )
-    rows = bounded_rows(sizes)
+    table = bounded_table(sizes)
+    crowded = list(sides) if table is None else table["_side"].to_pylist()
 
     def of(name):
-        if rows is None:  # too many crowded groups to broadcast: joined by shuffle
+        if name not in crowded:
+            return None
+        if table is None:  # too many crowded groups to broadcast: joined by shuffle
             found = sizes
-        elif any(r["_side"] == name for r in rows):
-            found = F.broadcast(sizes.sparkSession.createDataFrame(rows, sizes.schema))
         else:
-            return None
+            found = F.broadcast(sizes.sparkSession.createDataFrame(table, sizes.schema))
         found = found.where(F.col("_side") == name)
         return found.select(*by, F.col("_blocks").alias(f"_{name}_blocks"))
 

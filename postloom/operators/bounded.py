@@ -1,5 +1,6 @@
 """Broadcasting behind a check of the size, and dense ids without a global sort."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,21 +9,27 @@ from postloom.functions.hashing import hash_text
 MAX_BROADCAST_ROWS = 100_000
 
 
-def bounded_rows(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS):
-    """The rows of ``df`` if there are at most ``max_rows`` of them, else None.
+def bounded_table(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> pa.Table | None:
+    """``df`` as an Arrow table if it has at most ``max_rows`` rows, else None.
 
     Reads at most ``max_rows + 1`` rows to the driver.
     """
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
+    table = df.limit(max_rows + 1).toArrow()
+    return table if table.num_rows <= max_rows else None
+
+
+def bounded_rows(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> list[dict] | None:
+    """The same as a list of rows."""
+    table = bounded_table(df, max_rows)
+    return None if table is None else table.to_pylist()
 
 
 def local_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``df`` as a local table and True if it is within the bound, else ``df`` and False."""
-    rows = bounded_rows(df, max_rows)
-    if rows is None:
+    table = bounded_table(df, max_rows)
+    if table is None:
         return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
+    return df.sparkSession.createDataFrame(table, df.schema), True
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

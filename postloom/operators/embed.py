@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType
 
 from postloom.functions.text import words
-from postloom.operators.bounded import bounded_rows, dense_index
+from postloom.operators.bounded import bounded_table, dense_index
 from postloom.operators.profile import count_tokens
 
 # Ids of the special tokens and the default limits.
@@ -46,11 +46,11 @@ def tokenize(
     token = words(F.col(text))
     if max_length is not None:
         token = F.slice(token, 1, max_length - 2)
-    rows = bounded_rows(vocabulary.select("token", "token_id"), max_vocabulary)
-    if rows is None:
+    known = bounded_table(vocabulary.select("token", "token_id"), max_vocabulary)
+    if known is None:
         ids = _joined_ids(df, vocabulary, token, key)
     else:
-        ids = df.withColumn("_ids", _looked_up(df.sparkSession, rows)(token))
+        ids = df.withColumn("_ids", _looked_up(df.sparkSession, known)(token))
     ids = ids.withColumn(
         "input_ids",
         F.when(F.col(text).isNotNull(), F.concat(F.array(F.lit(START)), "_ids", F.array(F.lit(END)))),
@@ -60,10 +60,11 @@ def tokenize(
     ).drop("_ids")
 
 
-def _looked_up(spark, rows):
-    shared = spark.sparkContext.broadcast(
-        (pa.array([r["token"] for r in rows], pa.string()), np.array([r["token_id"] for r in rows], np.int32))
-    )
+def _looked_up(spark, vocabulary: pa.Table):
+    shared = spark.sparkContext.broadcast((
+        vocabulary["token"].combine_chunks(),
+        vocabulary["token_id"].to_numpy().astype(np.int32),
+    ))
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def lookup(tokens: pa.Array) -> pa.Array:

@@ -22,7 +22,8 @@ def _counters(hashed: DataFrame, digits: int, heads=None):
     head = F.substring("hash", 1, digits).alias("head")
     if heads is not None:
         hashed = hashed.where(F.substring("hash", 1, digits - DIGITS).isin(heads))
-    return sorted((r["head"], r["count"]) for r in hashed.groupBy(head).count().collect())
+    counts = hashed.groupBy(head).count().toArrow()
+    return sorted(zip(counts["head"].to_pylist(), counts["count"].to_pylist()))
 
 
 def _cutoffs(df: DataFrame, key: str, seed, sizes):

@@ -58,7 +58,7 @@ def tokenize_by_join(spark, sf_dir):
 )
 def hashed_embedding(spark, sf_dir):
     rows = embed_text(texts(spark, sf_dir).select("doc_id", "text"))
-    long = rows.select("doc_id", F.posexplode("embedding").alias("dim", "x")).where("x <> 0")
+    long = rows.select("doc_id", F.posexplode_outer("embedding").alias("dim", "x")).where("x <> 0")
     return long.select("doc_id", "dim", r6("x").alias("x"))
 
 
@@ -94,7 +94,7 @@ def predict_clusters_query(spark, sf_dir):
 @query("get_centroids")
 def get_centroids_query(spark, sf_dir):
     centroids = get_centroids(_fitted(spark, sf_dir)[1], spark)
-    return centroids.select("cluster", F.posexplode("centroid").alias("pos", "x"))
+    return centroids.select("cluster", F.posexplode_outer("centroid").alias("pos", "x"))
 
 
 @query("classify_zero_shot")
@@ -127,4 +127,4 @@ def graph_embed_query(spark, sf_dir):
     rows, model = _fitted(spark, sf_dir)
     edges = fuzzy_graph(knn_graph(rows))
     moved = graph_embed(reduce(rows, model.reducer), edges, iterations=2)
-    return moved.select("vec_id", F.posexplode("reduced").alias("pos", "x"))
+    return moved.select("vec_id", F.posexplode_outer("reduced").alias("pos", "x"))

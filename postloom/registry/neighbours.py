@@ -24,7 +24,7 @@ _EMB, _CLUSTERED, _KNN, _TRAIN = ("emb",), ("emb_clustered",), ("knn",), ("train
 
 
 def _long(df, vec, *keys):
-    return df.select(*keys, F.posexplode(vec).alias("pos", "x")).select(*keys, "pos", r6("x").alias("x"))
+    return df.select(*keys, F.posexplode_outer(vec).alias("pos", "x")).select(*keys, "pos", r6("x").alias("x"))
 
 
 def _long_sql(keys, vec, source):
