@@ -17,19 +17,29 @@ from pyspark.sql.types import ArrayType, DoubleType
 from postloom.operators.cluster import REDUCER_CONFIG
 from postloom.operators.knn import knn_join
 from postloom.operators.lineage import cut_lineage
+from postloom.operators.pruned import knn_join_pruned
 
 N_NEIGHBORS = REDUCER_CONFIG["n_neighbors"]
 BISECTIONS = 64
 
 
 def knn_graph(
-    df: DataFrame, n_neighbors: int = N_NEIGHBORS, key: str = "vec_id", vec: str = "v", by: str | None = None
+    df: DataFrame,
+    n_neighbors: int = N_NEIGHBORS,
+    key: str = "vec_id",
+    vec: str = "v",
+    by: str | None = None,
+    cells: int | None = None,
 ) -> DataFrame:
     """(src, dst, rank, dist): the nearest other rows of every row, exact.
 
-    ``by`` limits the graph to groups, such as clusters.
+    ``by`` limits the graph to groups, such as clusters.  ``cells`` prunes the search over
+    the whole table (see ``pruned``); the result is the same.
     """
-    near = knn_join(df, df, k=n_neighbors, by=by, key=key, vec=vec, carry=(), exclude_self=True)
+    if by is None and cells is not None:
+        near = knn_join_pruned(df, df, n_neighbors, key, vec, exclude_self=True, cells=cells)
+    else:
+        near = knn_join(df, df, k=n_neighbors, by=by, key=key, vec=vec, carry=(), exclude_self=True)
     return near.select(
         F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"), "rank", F.sqrt("sq_dist").alias("dist")
     )

@@ -270,12 +270,16 @@ def prototypical_classify_query(spark, sf_dir):
 # --- neighbour graph -----------------------------------------------------------------
 
 
-@query(
-    "knn_graph",
-    f"""select * from (select a.vec_id src, b.vec_id dst, row_number() over (partition by a.vec_id
+_GRAPH = f"""select * from (select a.vec_id src, b.vec_id dst, row_number() over (partition by a.vec_id
           order by {sq_sql('a.v', 'b.v')}, b.vec_id) rank, round({l2_sql('a.v', 'b.v')}, 6) dist
-        from emb a join emb b on a.vec_id <> b.vec_id) where rank <= 27""",
-    _EMB,
-)
+        from emb a join emb b on a.vec_id <> b.vec_id) where rank <= 27"""
+
+
+@query("knn_graph", _GRAPH, _EMB)
 def knn_graph_query(spark, sf_dir):
     return knn_graph(emb(spark, sf_dir)).withColumn("dist", r6("dist"))
+
+
+@query("knn_graph_pruned", _GRAPH, _EMB)
+def knn_graph_pruned(spark, sf_dir):
+    return knn_graph(emb(spark, sf_dir), cells=32).withColumn("dist", r6("dist"))

@@ -6,6 +6,7 @@ from postloom.functions.vectors import l2_normalize
 from postloom.operators import cluster as cl
 from postloom.operators import reduce as rd
 from postloom.operators.knn import knn_join, nearest_k
+from postloom.operators.pruned import distances_to, knn_join_pruned, possible_cells
 from postloom.operators.prototypes import cluster_prototypes, label_prototypes, prototypical_classify
 from postloom.operators.representatives import group_mean, group_medoid, representative, total_distances
 from postloom.operators.vote import vote_majority, vote_weighted
@@ -23,14 +24,14 @@ def brute(queries, base, k):
     out = {}
     for qid, qc, q in queries:
         dist = sorted((float(((q - b) ** 2).sum()), bid) for bid, bc, b in base if bc == qc)
-        out[qid] = dist[:k]
+        out[qid] = [(round(d, 9), b) for d, b in dist[:k]]
     return out
 
 
 def as_dict(df):
     out = {}
     for r in df.orderBy("query_id", "rank").collect():
-        out.setdefault(r["query_id"], []).append((r["sq_dist"], r["neighbor_id"]))
+        out.setdefault(r["query_id"], []).append((round(r["sq_dist"], 9), r["neighbor_id"]))
     return out
 
 
@@ -75,6 +76,33 @@ def test_nearest_k_is_exact_under_cancellation():
         assert list(rank[at == q]) == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("block_rows", [50_000, 9])
+def test_pruned_search_is_exact(spark, block_rows):
+    """Blobs, a third of the rows copies of one vector, and more neighbours than some cells hold."""
+    rng = np.random.default_rng(7)
+    v = np.vstack([np.full((60, 3), 5.0), *[20 * np.eye(3)[i] + rng.normal(size=(40, 3)) for i in range(3)]])
+    rows = frame(spark, v)
+    items = [(i, 0, x) for i, x in enumerate(v)]
+    for cells in (1, 12, 500):
+        got = as_dict(knn_join_pruned(rows, rows, 4, cells=cells, block_rows=block_rows))
+        assert got == brute(items, items, 4)
+
+
+def test_pruning_leaves_cells_out():
+    rng = np.random.default_rng(8)
+    pivots = 50 * rng.normal(size=(40, 4))
+    v = np.repeat(pivots, 20, axis=0) + rng.normal(size=(800, 4))
+    d = distances_to(v, pivots)
+    cell = d.argmin(1)
+    radius = np.array([d[cell == c, c].max(initial=-1.0) for c in range(40)])
+    reach = np.array([np.sort(d[cell == c, c])[4] if (cell == c).sum() > 4 else np.inf for c in range(40)])
+    mask = possible_cells(d, radius, reach, distances_to(pivots, pivots), 100.0)
+    assert mask.sum(1).mean() < 4
+    sq = ((v[:, None] - v[None]) ** 2).sum(-1)
+    near = np.argsort(sq, axis=1)[:, :5]
+    assert mask[np.arange(800)[:, None], cell[near]].all()
+
+
 def test_knn_plan_has_no_cartesian_product(spark):
     rows = frame(spark, np.eye(4), cluster=[0, 0, 1, 1], subcategory=[0, 1, 2, 3])
     plan = knn_join(rows, rows)._jdf.queryExecution().toString()
