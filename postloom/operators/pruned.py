@@ -8,7 +8,7 @@ neighbour and are left out.  The query is sent to the remaining cells, so the re
 same as without pruning.
 
 How much is saved depends on the data: a lot for clustered vectors, nothing for vectors
-without structure, where ``knn_join`` moves fewer copies.
+without structure.  That is found out from a few queries, and ``knn_join`` is used then.
 """
 
 from collections.abc import Sequence
@@ -24,6 +24,8 @@ from postloom.operators.knn import BLOCK_ROWS, TILE_CELLS, knn_join, to_matrix
 from postloom.operators.sampling import sample_n
 
 CELLS = 256
+WORTH_SHARE = 0.3
+PROBE = 1000  # queries looked at to judge the saving
 MARGIN = 1e-7  # relative allowance for rounding in the bounds
 
 
@@ -65,11 +67,14 @@ def knn_join_pruned(
     exclude_self: bool = False,
     cells: int = CELLS,
     block_rows: int = BLOCK_ROWS,
+    worth_share: float = WORTH_SHARE,
 ) -> DataFrame:
     """(query_id, rank, neighbor_id, sq_dist, carry...), as ``knn_join`` with ``by=None``.
 
     ``cells`` pivots (a hash sample of the base rows) are held by every task.  A cell that
-    grows beyond ``block_rows``, for instance one full of copies, is cut into blocks.
+    grows beyond ``block_rows``, for instance one full of copies, is cut into blocks.  If the
+    queries would still meet more than ``worth_share`` of the base rows, the search is not
+    pruned.
     """
     base = base.where(F.col(vec).isNotNull()).select(key, vec, *carry)
     queries = queries.where(F.col(vec).isNotNull()).select(key, vec)
@@ -97,10 +102,11 @@ def knn_join_pruned(
         .withColumn("_n", F.row_number().over(by_distance)).where(F.col("_n") <= wanted)
         .groupBy("_cell").agg(F.max("_n").alias("n"), F.max("dist").alias("reach"))
     )
-    farthest = located.groupBy("_cell").agg(F.max("_at.dist").alias("radius"))
+    farthest = located.groupBy("_cell").agg(F.max("_at.dist").alias("radius"), F.count(F.lit(1)).alias("n"))
     radius, reach = np.full(len(pivots), -1.0), np.full(len(pivots), np.inf)
+    counts = np.zeros(len(pivots))
     for r in bounded_rows(farthest, len(pivots)):
-        radius[r["_cell"]] = r["radius"]
+        radius[r["_cell"]], counts[r["_cell"]] = r["radius"], r["n"]
     for r in bounded_rows(reached, len(pivots)):
         if r["n"] == wanted:
             reach[r["_cell"]] = r["reach"]
@@ -119,6 +125,12 @@ def knn_join_pruned(
         offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(chosen).astype(np.int32)))
 
+    # A look at some queries tells whether pruning pays; either way the result is the same.
+    probe = queries.select(vec).limit(PROBE).toArrow()[vec]
+    seen = possible_cells(distances_to(to_matrix(probe), pivots), radius, reach, between, scale) @ counts
+    if len(seen) and seen.mean() > worth_share * counts.sum():
+        return knn_join(queries, base, k, None, key, vec, carry, exclude_self, block_rows)
+
     sent = queries.withColumn("_cell", F.explode_outer(choose(F.col(vec))))
     partial = knn_join(
         sent, located.drop("_at"), k, "_cell", key, vec, carry, exclude_self, block_rows

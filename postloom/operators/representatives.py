@@ -41,14 +41,15 @@ def weighted_distance_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray) ->
     measured exactly.
     """
     a_norm, b_norm = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    left = np.column_stack([-2.0 * a, a_norm, np.ones(len(a))])
+    right = np.ascontiguousarray(np.column_stack([b, np.ones(len(b)), b_norm]).T)
+    close = 1e-6 * (a_norm.max(initial=0.0) + b_norm.max(initial=0.0))
     step = max(1, TILE_CELLS // max(1, len(b)))
     sums = np.empty(len(a))
     for start in range(0, len(a), step):
-        tile = a[start:start + step]
-        scale = a_norm[start:start + step, None] + b_norm[None, :]
-        sq = scale - 2.0 * (tile @ b.T)
-        rows, cols = np.nonzero(sq <= 1e-6 * scale)
-        sq[rows, cols] = exact_sq_dist(tile, b, rows, cols)
+        sq = left[start:start + step] @ right
+        rows, cols = np.nonzero(sq <= close)
+        sq[rows, cols] = exact_sq_dist(a[start:start + step], b, rows, cols)
         sums[start:start + step] = np.sqrt(sq, out=sq) @ weight
     return sums
 

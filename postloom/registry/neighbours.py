@@ -11,6 +11,7 @@ from postloom.operators.prototypes import (
     cluster_centroids, cluster_prototypes, label_prototypes, prototype_scores, prototypical_classify,
     search_prototypes,
 )
+from postloom.operators.pruned import knn_join_pruned
 from postloom.operators.reduce import knn_graph
 from postloom.operators.representatives import group_mean, group_medoid, total_distances
 from postloom.operators.vote import vote_majority, vote_weighted
@@ -282,4 +283,8 @@ def knn_graph_query(spark, sf_dir):
 
 @query("knn_graph_pruned", _GRAPH, _EMB)
 def knn_graph_pruned(spark, sf_dir):
-    return knn_graph(emb(spark, sf_dir), cells=32).withColumn("dist", r6("dist"))
+    """Pruned whatever the saving."""
+    rows = emb(spark, sf_dir)
+    near = knn_join_pruned(rows, rows, 27, exclude_self=True, cells=32, worth_share=1.0)
+    return near.select(F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"), "rank",
+                       r6(F.sqrt("sq_dist")).alias("dist"))

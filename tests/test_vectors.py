@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from postloom.functions.vectors import l2_normalize
 from postloom.operators import cluster as cl
 from postloom.operators import reduce as rd
-from postloom.operators.knn import knn_join, nearest_k
+from postloom.operators.knn import knn_join, kth_bound, nearest_k
 from postloom.operators.pruned import distances_to, knn_join_pruned, possible_cells
 from postloom.operators.prototypes import cluster_prototypes, label_prototypes, prototypical_classify
 from postloom.operators.representatives import group_mean, group_medoid, representative, total_distances
@@ -65,6 +65,14 @@ def test_knn_small_group_string_keys_and_self(spark):
         ("a", "b", 1), ("a", "c", 2), ("b", "a", 1), ("b", "c", 2), ("c", "a", 1), ("c", "b", 2)]
 
 
+def test_kth_bound_holds():
+    rng = np.random.default_rng(9)
+    rough = rng.normal(size=(50, 5000))
+    exact = np.sort(rough, axis=1)[:, 4]
+    bound = kth_bound(rough, 5)
+    assert (bound >= exact).all() and ((rough <= bound[:, None]).sum(1) < 30).all()
+
+
 def test_nearest_k_is_exact_under_cancellation():
     rng = np.random.default_rng(1)
     base = 1e4 + rng.normal(size=(300, 8)) * 1e-3
@@ -84,7 +92,7 @@ def test_pruned_search_is_exact(spark, block_rows):
     rows = frame(spark, v)
     items = [(i, 0, x) for i, x in enumerate(v)]
     for cells in (1, 12, 500):
-        got = as_dict(knn_join_pruned(rows, rows, 4, cells=cells, block_rows=block_rows))
+        got = as_dict(knn_join_pruned(rows, rows, 4, cells=cells, block_rows=block_rows, worth_share=cells / 500))
         assert got == brute(items, items, 4)
 
 
