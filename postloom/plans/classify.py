@@ -9,7 +9,7 @@ from postloom.operators.evaluate import evaluate
 from postloom.operators.knn import knn_join
 from postloom.operators.sampling import sample_n
 from postloom.operators.vote import vote_majority, vote_weighted
-from postloom.sources.tables import save_model
+from postloom.sources.tables import save_model, write_vectors
 
 
 def classify_clustered(
@@ -37,6 +37,7 @@ def classify_zero_shot(
     k: int = 5,
     model_path: str | None = None,
     model: ClusterModel | None = None,
+    work_path: str | None = None,
     key: str = "vec_id",
     vec: str = "v",
     label: str = "subcategory",
@@ -45,15 +46,22 @@ def classify_zero_shot(
     """Sample the training rows, cluster them, classify the test rows by their neighbours.
 
     Returns (predictions, one row of metrics, model).  The model is stored at
-    ``model_path`` if given.
+    ``model_path`` if given.  With ``work_path`` the clustered rows are stored as well: group
+    sizes are then counted from the cluster column alone, and a lost executor does not bring
+    back the reduction.
     """
     sample = sample_n(train, key, ratio=train_samples_ratio, seed=seed)
     if model is None:
         model = fit_clusters(sample, key, vec, seed=seed, **fit_options)
     if model_path is not None:
         save_model(train.sparkSession, model, model_path)
+    clustered = {"train": predict_clusters(sample, model, vec), "test": predict_clusters(test, model, vec)}
+    if work_path is not None:
+        for name, rows in clustered.items():
+            write_vectors(rows.select(key, vec, label, "cluster"), f"{work_path}/{name}")
+            clustered[name] = train.sparkSession.read.parquet(f"{work_path}/{name}")
     predictions = classify_clustered(
-        predict_clusters(sample, model, vec), predict_clusters(test, model, vec), k=k, key=key, vec=vec, label=label
+        clustered["train"], clustered["test"], k=k, key=key, vec=vec, label=label
     )
     return predictions, evaluate(predictions), model
 

@@ -296,7 +296,8 @@ def test_zero_shot_saves_a_usable_model(spark, tmp_path):
     assert metrics.first()["accuracy"] == 1.0 and predictions.count() == test.count()
     loaded = st.load_model(spark, str(tmp_path / "m"))
     assert loaded.cluster_config == model.cluster_config
-    again, _, _ = classify_zero_shot(train, test, train_samples_ratio=0.5, model=loaded)
+    again, _, _ = classify_zero_shot(
+        train, test, train_samples_ratio=0.5, model=loaded, work_path=str(tmp_path / "work"))
     assert sorted(again.collect()) == sorted(predictions.collect())
     for load in (st.load_model, st.load_reducer, st.load_kmeans):
         with pytest.raises(FileNotFoundError):
