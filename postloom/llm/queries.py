@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.llm.jaccard_join import jaccard_classes
 from postloom.llm.mixing import systematic_mix
 from postloom.llm.url_filter import filter_urls, host_of, path_of
 
@@ -64,6 +65,15 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, rules, listed).drop("url")
 
 
+# --- 4: n-gram Jaccard join ----------------------------------------------------------
+
+
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document under links of similarity 0.75 and more."""
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
+
+
 # --- 7: mixing sources ---------------------------------------------------------------
 
 OP7_SQL = r"""
