@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.jaccard_join import jaccard_classes
+from postloom.llm.language import fit_languages, load_pieces, predict_language
 from postloom.llm.mixing import systematic_mix
 from postloom.llm.url_filter import filter_urls, host_of, path_of
 
@@ -74,6 +75,22 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
 
 
+# --- 5: language ID ------------------------------------------------------------------
+
+#: A public vocabulary; any file of the same kind will do.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from three quarters of the documents, predict the language of all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = fit_languages(docs.where(fold != 2), load_pieces(PIECES))
+    rows = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text")
+    return predict_language(rows, model).drop("text")
+
+
 # --- 7: mixing sources ---------------------------------------------------------------
 
 OP7_SQL = r"""
