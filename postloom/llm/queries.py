@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.llm.decontaminate import contaminated
 from postloom.llm.jaccard_join import jaccard_classes
 from postloom.llm.language import fit_languages, load_pieces, predict_language
 from postloom.llm.mixing import systematic_mix
@@ -66,6 +67,16 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, rules, listed).drop("url")
 
 
+# --- 2: benchmark decontamination ----------------------------------------------------
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contaminated(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
 # --- 4: n-gram Jaccard join ----------------------------------------------------------
 
 

@@ -43,3 +43,24 @@ def jaccard_classes(rows, percent=75):
         r = root(i)
         least[r] = min((k for k in (least.get(r), key) if k is not None), default=None)
     return sorted(((k, len(s), least[root(i)] if s else k, links[i]) for i, ((k, _), s) in enumerate(zip(rows, sets))), key=str)
+
+
+def plain_shingles(text, n=5):
+    words = "".join(c if c >= "\x80" or c.isalnum() else " " for c in (text or "").lower())
+    words = [w for w in re.split(" +", words) if w]
+    if len(words) < n:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
+
+
+def contaminated(docs, items, percent=75):
+    best = {}
+    for item, t in items:
+        want = plain_shingles(t)
+        for doc, text in docs:
+            if item is None or doc is None or not want:
+                continue
+            n = len(want & plain_shingles(text))
+            if n * 100 >= len(want) * percent:
+                best[doc, item] = max(best.get((doc, item), (0, 0, 0)), (n / len(want), len(want), n))
+    return sorted((d, i, n, m) for (d, i), (_, n, m) in best.items())
