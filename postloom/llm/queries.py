@@ -9,6 +9,7 @@ from postloom.llm.decontaminate import contaminated
 from postloom.llm.jaccard_join import jaccard_classes
 from postloom.llm.language import fit_languages, load_pieces, predict_language
 from postloom.llm.mixing import systematic_mix
+from postloom.llm.pii import KINDS, count_kind, find_pii, fit_pii, joined
 from postloom.llm.url_filter import filter_urls, host_of, path_of
 
 QUERIES: dict = {}
@@ -77,6 +78,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(docs.select("doc_id", "text"), items.select("item_id", "text"))
 
 
+# --- 3: personal data ----------------------------------------------------------------
+
+
+@query("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; the label model and classifier are fitted on all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, fit_pii(docs))
+    counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 # --- 4: n-gram Jaccard join ----------------------------------------------------------
 
 

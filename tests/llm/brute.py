@@ -64,3 +64,34 @@ def contaminated(docs, items, percent=75):
             if n * 100 >= len(want) * percent:
                 best[doc, item] = max(best.get((doc, item), (0, 0, 0)), (n / len(want), len(want), n))
     return sorted((d, i, n, m) for (d, i), (_, n, m) in best.items())
+
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def _luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(BASE):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and _luhn(digits)):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), rank, kind, m.end()))
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
