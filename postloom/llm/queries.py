@@ -10,6 +10,7 @@ from postloom.llm.jaccard_join import jaccard_classes
 from postloom.llm.language import fit_languages, load_pieces, predict_language
 from postloom.llm.mixing import systematic_mix
 from postloom.llm.pii import KINDS, count_kind, find_pii, fit_pii, joined
+from postloom.llm.unit_dedup import dedup_units
 from postloom.llm.url_filter import filter_urls, host_of, path_of
 
 QUERIES: dict = {}
@@ -150,3 +151,14 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = systematic_mix(docs, weights=[3.0, 1.0, 2.0], share=1.5, ceiling=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+# --- 10: substring dedup -------------------------------------------------------------
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that an earlier place has, with what was removed where."""
+    out = dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"], r["kept_key"])), ",")
+    return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))

@@ -95,3 +95,45 @@ def base_spans(text):
                 continue
             out.append((m.start(), rank, kind, m.end()))
     return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+def _units(text):
+    """(start, end, normal words) of each unit."""
+    out, last = [], None
+    for m in WORD.finditer(text or ""):
+        cut = last is None or "\n" in text[last.end():m.start()] or last[0][-1] in ".!?"
+        word = re.sub(r"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$", "", m[0]).translate(LOWER)
+        if cut:
+            out.append([m.start(), m.end(), []])
+        out[-1][1] = m.end()
+        out[-1][2] += [word] if word else []
+        last = m
+    return out
+
+
+def dedup_units(rows, min_words=20, unit_words=4):
+    """(id, text, [(start, end, kept id)]) per row."""
+    first, units = {}, {}
+    for key, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        units[key] = _units(text)
+        for u, (_, _, words) in enumerate(units[key]):
+            if words:
+                first.setdefault(tuple(words), (key, u))
+    out = []
+    for key, text in rows:
+        spans, run = [], []
+        for u, (start, end, words) in enumerate([*units.get(key, []), (0, 0, ["~"])]):
+            place = first.get(tuple(words))
+            if place and place != (key, u):
+                run.append((start, end, len(words), place[0]))
+                continue
+            if not words and run:
+                continue
+            if sum(r[2] for r in run if r[2] >= unit_words) >= min_words:
+                spans.append((run[0][0], run[-1][1], run[0][3]))
+            run = []
+        left = text
+        for start, end, _ in reversed(spans):
+            left = left[:start] + left[end:]
+        out.append((key, left, spans))
+    return out
