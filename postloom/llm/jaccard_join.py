@@ -19,7 +19,7 @@ SPARE = 15
 #: A block pair of one candidate group has at most so many texts and shingles on either side.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 20
 #: Postings that a task sorts at once.
-SORT_POSTINGS = 4_000_000
+SORT_POSTINGS = 1_500_000
 #: Survivors are broadcast to the texts up to this number, 24 bytes each, else joined by shuffle.
 MAX_BROADCAST = 1_000_000
 
@@ -180,22 +180,23 @@ def all_postings(buckets: int) -> Callable:
     return run
 
 
-def shared_keys(batches):
-    """Of each text the keys of this partition that others share, with the number of texts that have them."""
-    docs, ns, keys = unpack(batches, 8)
-    count = frequencies(keys)
-    keep = count > 1
-    docs, ns, keys, count = docs[keep], ns[keep], keys[keep], count[keep]
-    order = np.argsort(docs, kind="stable")
-    docs, ns, keys, count = docs[order], ns[order], keys[order], count[order].astype(np.uint32)
-    at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True]) if len(docs) else np.zeros(1, np.int64)
-    pairs = list(zip(at[:-1], at[1:], strict=True))
-    for start in range(0, len(pairs), 20_000):
-        some = pairs[start:start + 20_000]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([int(docs[a]) for a, _ in some], pa.int64()), pa.array([int(ns[a]) for a, _ in some], pa.int32()),
-            pa.array([keys[a:b].tobytes() for a, b in some], pa.binary()), pa.array([count[a:b].tobytes() for a, b in some], pa.binary()),
-        ], ["cls", "n", "keys", "texts"])
+def shared_keys(parts: int) -> Callable:
+    """Keys of this partition that several texts have, with their number, packed by the text's new partition."""
+    def run(batches):
+        docs, ns, keys = unpack(batches, 8)
+        count = frequencies(keys)
+        keep = count > 1
+        part = (mix(docs[keep].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        docs, ns, keys, count = (x[keep][order] for x in (docs, ns, keys, count.astype(np.uint32)))
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+        cuts = list(zip(at[:-1], at[1:], strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(part[a]) for a, _ in cuts], pa.int32()), *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (docs, ns, keys, count)]],
+            ["part", "docs", "ns", "keys", "texts"],
+        )
+    return run
 
 
 def rare_prefixes(percent: int, buckets: int) -> Callable:
@@ -204,17 +205,14 @@ def rare_prefixes(percent: int, buckets: int) -> Callable:
     A text with fewer than T shared keys in all cannot reach the overlap and is dropped.
     """
     def run(batches):
-        docs, ns, keys, texts = [], [], [], []
+        read = {"docs": np.int64, "ns": np.uint32, "keys": np.uint64, "texts": np.uint32}
+        found: dict = {name: [np.zeros(0, kind)] for name, kind in read.items()}
         for batch in batches:
-            for cls, n, k, t in zip(*[batch.column(c).to_pylist() for c in ("cls", "n", "keys", "texts")], strict=True):
-                k = np.frombuffer(k, np.uint64)
-                docs.append(np.full(len(k), cls, np.int64))
-                ns.append(np.full(len(k), n, np.int64))
-                keys.append(k)
-                texts.append(np.frombuffer(t, np.uint32))
-        if not docs:
+            for name, kind in read.items():
+                found[name] += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
+        docs, ns, keys, texts = (np.concatenate(found[name]) for name in read)
+        if not len(docs):
             return
-        docs, ns, keys, texts = (np.concatenate(x) for x in (docs, ns, keys, texts))
         order = np.lexsort((keys, texts, docs))
         docs, ns, keys = docs[order], ns[order], keys[order]
         at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True])
@@ -392,7 +390,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     narrow = buckets(sets.agg(F.sum("n")).first()[0] or 0)
     ties = (
         sets.mapInArrow(all_postings(narrow), BLOB).repartitionById(narrow, F.col("bucket"))
-        .mapInArrow(shared_keys, "cls long, n int, keys binary, texts binary").repartition(narrow, "cls")
+        .mapInArrow(shared_keys(narrow), "part int, docs binary, ns binary, keys binary, texts binary").repartitionById(narrow, F.col("part"))
         .mapInArrow(rare_prefixes(percent, narrow), BLOB).repartitionById(narrow, F.col("bucket"))
         .mapInArrow(stars, "a long, b long")
     )
