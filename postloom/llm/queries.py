@@ -10,6 +10,8 @@ from postloom.llm.jaccard_join import jaccard_classes
 from postloom.llm.language import fit_languages, load_pieces, predict_language
 from postloom.llm.mixing import systematic_mix
 from postloom.llm.pii import KINDS, count_kind, find_pii, fit_pii, joined
+from postloom.llm.quality import fit_quality, judge_quality
+from postloom.llm.scratch import broadcast_if_small
 from postloom.llm.unit_dedup import dedup_units
 from postloom.llm.url_filter import filter_urls, host_of, path_of
 
@@ -153,6 +155,19 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+# --- 8: quality rules ----------------------------------------------------------------
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge all documents; those that labels call good and not toxic are the trusted target."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("trusted")).agg(F.min("quality").alias("good"), F.max("toxic").alias("bad"))
+    trusted = broadcast_if_small(labels.where("good = 1 and bad = 0").select("trusted"))
+    model = fit_quality(docs.join(trusted, F.col("doc_id") == F.col("trusted"), "left"), F.col("trusted").isNotNull())
+    return judge_quality(docs, model).drop("text")
+
+
 # --- 10: substring dedup -------------------------------------------------------------
 
 

@@ -137,3 +137,17 @@ def dedup_units(rows, min_words=20, unit_words=4):
             left = left[:start] + left[end:]
         out.append((key, left, spans))
     return out
+
+
+def quality_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    where = defaultdict(list)
+    for i in range(len(words) - 7):
+        where[tuple(words[i:i + 8])].append(i)
+    repeated = {i + j for at in where.values() if len(at) > 1 for i in at for j in range(8)}
+    n = len(words)
+    return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated),
+            n < 20 or 100 * len(repeated) > 30 * n)
