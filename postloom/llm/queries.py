@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from postloom.llm.decontaminate import contaminated
 from postloom.llm.jaccard_join import jaccard_classes
 from postloom.llm.language import fit_languages, load_pieces, predict_language
@@ -177,3 +178,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"], r["kept_key"])), ",")
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
