@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from postloom.llm.chat import ASSISTANT, END, PART_TURNS, SYSTEM, USER, rotate_perspectives
 from postloom.llm.decontaminate import contaminated
 from postloom.llm.jaccard_join import jaccard_classes
 from postloom.llm.language import fit_languages, load_pieces, predict_language
+from postloom.llm.licenses import KNOWN, SPELLINGS, scan_licenses
 from postloom.llm.mixing import systematic_mix
 from postloom.llm.pii import KINDS, count_kind, find_pii, fit_pii, joined
 from postloom.llm.quality import fit_quality, judge_quality
@@ -119,6 +121,39 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(rows, model).drop("text")
 
 
+# --- 6: chat formatting --------------------------------------------------------------
+
+OP6_SQL = f"""
+with t as (
+  select conv_id, turn, coalesce(role, 'unknown') as who, coalesce(text, '') as said, coalesce(cast(floor(turn / {PART_TURNS}) as bigint), 0) part
+  from conversations where conv_id is not null),
+s as (select distinct conv_id, who speaker from t where who <> 'system'),
+g as (
+  select t.*, speaker, replace(replace(said, '\\', '\\\\'), '<|', '\\<|') || '{END}' body,
+    case when who = speaker then '{ASSISTANT}' when who = 'system' then '{SYSTEM}'
+      else '{USER}' || translate(replace(replace(who, '\\', '\\\\'), '<|', '\\<|'), chr(10) || chr(13), '  ') end || chr(10) head
+  from t join s using (conv_id)),
+p as (
+  select *, sum(length(head) + length(body) + 1) over (
+    partition by conv_id, speaker, part order by turn nulls first, who, said rows between unbounded preceding and current row) stop from g),
+r as (
+  select conv_id, speaker, part, string_agg(head || body || chr(10), '' order by turn nulls first, who, said) as text,
+    coalesce(string_agg((stop - 1 - length(body)) || ':' || (stop - 1), ',' order by stop) filter (who = speaker), '') mask
+  from p group by 1, 2, 3)
+select conv_id, speaker, part, text, mask,
+  cast(coalesce(sum(length(text)) over (partition by conv_id, speaker order by part rows between unbounded preceding and 1 preceding), 0) as bigint) as offset
+from r
+"""
+
+
+@query("op6_chat_format", OP6_SQL)
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as each of its speakers sees it."""
+    out = rotate_perspectives(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return out.withColumn("mask", mask)
+
+
 # --- 7: mixing sources ---------------------------------------------------------------
 
 OP7_SQL = r"""
@@ -169,6 +204,39 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, model).drop("text")
 
 
+# --- 9: licence scans ----------------------------------------------------------------
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+
+
+def _canonical_sql(text: str) -> str:
+    low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bare = rf"regexp_replace({low}, '(?m)^[^a-z0-9\n]*(?:copyright|c\)|©)[^\n]*$', '', 'g')"
+    out = rf"' ' || trim(regexp_replace({bare}, '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')) || ' '"
+    for one, other in SPELLINGS:
+        out = f"replace({out}, ' {one} ', ' {other} ')"
+    return f"trim({out})"
+
+
+OP9_SQL = f"""
+with known(license, license_text) as (values {_KNOWN_SQL}),
+k as (select distinct license, {_canonical_sql("license_text")} c from known),
+u as (
+  select doc_id, 0 as level, unnest(string_split(text, chr(10))) unit from documents
+  union all select doc_id, 1, unnest(string_split_regex(text, '\n[ \t\r]*\n')) from documents where regexp_matches(text, '\n[ \t\r]*\n')
+  union all select doc_id, 2, text from documents),
+f as (select doc_id, license, level, count(*) places from u join k on {_canonical_sql("unit")} = c where doc_id is not null group by 1, 2, 3)
+select doc_id, license, ['line', 'paragraph', 'text'][max(level) + 1] as level, arg_max(places, level) places from f group by 1, 2
+"""
+
+
+@query("op9_license_scan", OP9_SQL)
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that documents, their paragraphs or lines are."""
+    known = spark.createDataFrame(KNOWN, "license string, license_text string")
+    return scan_licenses(table(spark, sf_dir, "documents"), known)
+
+
 # --- 10: substring dedup -------------------------------------------------------------
 
 
