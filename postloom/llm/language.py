@@ -67,11 +67,13 @@ class Lattice:
     """Looks up every piece in many words of one length at once."""
 
     def __init__(self, pieces: list[str]):
-        self.size = len(pieces)  # the id of an unknown letter; one more row, of zeros, is no piece
+        self.size = len(pieces)  # the id of an unknown letter
+        self.present = np.zeros(1 << 20, bool)  # low bits of all hashes: most substrings are no piece
         codes = [(self._hash(np.array([p]).view(np.uint32).reshape(1, -1))[0, -1], len(p), i) for i, p in enumerate(pieces)]
         self.by_length = {}
         for n in sorted({c[1] for c in codes}):
             some = sorted((int(h), i) for h, length, i in codes if length == n)
+            self.present[[h & (len(self.present) - 1) for h, _ in some]] = True
             self.by_length[n] = (np.array([h for h, _ in some], np.uint64), np.array([i for _, i in some], np.int64))
 
     @staticmethod
@@ -81,23 +83,26 @@ class Lattice:
             sums[:, j + 1] = sums[:, j] * _BASE + letters[:, j] + np.uint64(1)
         return sums
 
-    def edges(self, words: list[str]) -> list[tuple[int, int, np.ndarray]]:
-        """(from, to, piece of every word there) for words of one length, in order of from."""
+    def edges(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, words with a piece there, their pieces) for words of one length, in order of from."""
         n = len(words[0])
-        sums = self._hash(np.array(words, f"U{n}").view(np.uint32).reshape(len(words), n))
+        sums = self._hash(np.array(words, f"U{n}").view(np.uint32).reshape(len(words), n)).T.copy()
         out = []
         for j in range(n):
             for length, (hashes, ids) in self.by_length.items():
                 if j + length > n:
                     break
-                power = np.uint64(pow(int(_BASE), length, 1 << 64))
-                value = sums[:, j + length] - sums[:, j] * power
-                at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
-                piece = np.where(hashes[at] == value, ids[at], self.size + 1)
+                value = sums[j + length] - sums[j] * np.uint64(pow(int(_BASE), length, 1 << 64))
+                rows = np.flatnonzero(self.present[value & np.uint64(len(self.present) - 1)])
+                at = np.minimum(np.searchsorted(hashes, value[rows]), len(hashes) - 1)
+                good = hashes[at] == value[rows]
+                rows, piece = rows[good], ids[at[good]]
                 if length == 1:
-                    piece[piece > self.size] = self.size
-                if (piece <= self.size).any():
-                    out.append((j, j + length, piece))
+                    single = np.full(len(words), self.size)
+                    single[rows] = piece
+                    rows, piece = np.arange(len(words)), single
+                if len(rows):
+                    out.append((j, j + length, rows, piece))
         return out
 
 
@@ -117,8 +122,8 @@ def word_scores(lattice: Lattice, table: np.ndarray, words: list[str]) -> np.nda
         n = len(some[0])
         forward = np.zeros((n + 1, len(some), table.shape[1]))
         forward[0] = 1
-        for j, k, piece in lattice.edges(some):
-            forward[k] += forward[j] * table[piece]
+        for j, k, rows, piece in lattice.edges(some):
+            forward[k, rows] += forward[j, rows] * table[piece]
         out[at] = np.log(forward[n])
     return out
 
@@ -131,22 +136,24 @@ def expected_pieces(lattice: Lattice, table: np.ndarray, words: list[str], count
         edges = lattice.edges(some)
         forward, backward = np.zeros((n + 1, *size)), np.zeros((n + 1, *size))
         forward[0] = backward[n] = 1
-        for j, k, piece in edges:
-            forward[k] += forward[j] * table[piece]
-        for j, k, piece in reversed(edges):
-            backward[j] += backward[k] * table[piece]
+        for j, k, rows, piece in edges:
+            forward[k, rows] += forward[j, rows] * table[piece]
+        for j, k, rows, piece in reversed(edges):
+            backward[j, rows] += backward[k, rows] * table[piece]
         weight = counts[at] / forward[n]
-        for j, k, piece in edges:
-            share = forward[j] * backward[k] * table[piece] * weight
+        for j, k, rows, piece in edges:
+            share = forward[j, rows] * backward[k, rows] * table[piece] * weight[rows]
             for language in range(size[1]):
                 out[:, language] += np.bincount(piece, share[:, language], len(out))
-    out[-1] = 0
     return out
 
 
 @dataclass
 class LanguageModel:
-    """languages in code point order, their log priors, and P(piece | language), one column each."""
+    """languages in code point order, their log priors, and P(piece | language), one column each.
+
+    The last row is an unknown letter.
+    """
 
     languages: list[str]
     priors: np.ndarray
@@ -212,13 +219,13 @@ def fit_languages(df: DataFrame, pieces: list[str], text: str = "text", lang: st
     sizes = sorted((r[0], r[1]) for r in sizes)
     languages = [x for x, _ in sizes]
     if not languages:
-        return LanguageModel([], np.zeros(0), pieces, np.zeros((len(pieces) + 2, 0)))
+        return LanguageModel([], np.zeros(0), pieces, np.zeros((len(pieces) + 1, 0)))
     words = scratch.keep(
         rows.mapInArrow(_count_by_language(languages), "language int, word string, n long")
         .groupBy("language", "word").agg(F.sum("n").alias("n"))
     )
-    table = np.full((len(pieces) + 2, len(languages)), 1 / len(pieces))
-    table[-2], table[-1] = FLOOR, 0
+    table = np.full((len(pieces) + 1, len(languages)), 1 / len(pieces))
+    table[-1] = FLOOR
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((pieces, table))
         uses = words.mapInArrow(_expect(shared), "language int, piece int, uses double").groupBy("language", "piece").agg(F.sum("uses").alias("uses"))
@@ -226,7 +233,6 @@ def fit_languages(df: DataFrame, pieces: list[str], text: str = "text", lang: st
         table = np.full(table.shape, 0.05)
         table[found.column("piece").to_numpy(), found.column("language").to_numpy()] += found.column("uses").to_numpy()
         table = np.maximum(table / table.sum(0), FLOOR)
-        table[-1] = 0
         shared.unpersist()
     scratch.drop(words)
     total = sum(n for _, n in sizes)
