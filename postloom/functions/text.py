@@ -33,7 +33,13 @@ SIMPLE_TAG = r"(?U)<[\w/]*>"
 SUSPICIOUS = r"[&#<>{}\[\]\\]"
 # The word boundary and the possessive quantifier only spare hopeless attempts.
 HYPHENATED = rf"(?U)\b(\w{{2,}}+(?<!\d))-{SPACE}+((?!\d)\w{{2,}})"
-URL = r"(?U)\b(?:https?|ftp)://\S+|\bwww\.\S+"
+_LABEL = r"[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+"
+_HOST = rf"{_LABEL}(?:\.{_LABEL})++(?<=\.\p{{L}}{{2,24}})"
+# With a scheme or ``wwwN.``: log-in, host, port and path; without: host and a short path, as in short links.
+URL = (
+    rf"(?iU)(?<![\w/.@])(?:(?:https?|ftp)://(?:[^\s/@]++@)?{_LABEL}(?:\.{_LABEL})*+|www\d{{0,3}}\.{_HOST})(?::\d{{2,5}})?(?:[/?#]\S*+)?"
+    rf"|(?<![\w/.@]){_HOST}/[^\s.,?!'\"|+)]{{2,12}}(?![\w?!+&/])"
+)
 FANCY_QUOTES = "ʼ‘’´`“”"
 ASCII_QUOTES = "'''''\"\""
 TOKEN = r"[\p{L}\p{N}]+"
@@ -84,16 +90,14 @@ def _compose(texts: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(StringType())
-def _drop_marks(parts: pa.Array) -> pa.Array:
-    """Decompose ``slow``; ``fast`` is finished and only passes through."""
-    slow, fast = parts.field("slow"), parts.field("fast")
-    if slow.null_count == len(slow):
-        return fast
-    texts = [t if t is None else unicodedata.normalize("NFKD", t) for t in slow.to_pylist()]
-    seen = set("".join(t for t in texts if t))
+def _drop_marks(texts: pa.Array) -> pa.Array:
+    """Decompose and leave out combining marks."""
+    if texts.null_count == len(texts):
+        return texts
+    plain = [t if t is None else unicodedata.normalize("NFKD", t) for t in texts.to_pylist()]
+    seen = set("".join(t for t in plain if t))
     marks = {ord(c): None for c in seen if unicodedata.combining(c)}
-    bare = pa.array([t if t is None else t.translate(marks) for t in texts], pa.string())
-    return pc.coalesce(bare, fast)
+    return pa.array([t if t is None else t.translate(marks) for t in plain], pa.string())
 
 
 def _where(condition: Column, fn, text: Column) -> Column:
@@ -168,19 +172,17 @@ def normalize_unicode(text: Column) -> Column:
 def strip_accents(text: Column) -> Column:
     """Compatibility decomposition without combining marks.
 
-    Both act on each character by itself, so a translation table does for most rows.  The
-    text is bound in an array: a plain expression would be evaluated at each mention.
+    Both act on each character by itself, so a translation table does for most rows and only
+    the others leave the JVM.
     """
-    none = F.lit(None).cast("string")
-    parts = F.transform(
-        F.array(text),
-        lambda t: F.when(t.rlike(NEEDS_DECOMPOSITION), F.struct(t.alias("slow"), none.alias("fast")))
-        .otherwise(F.struct(none.alias("slow"), F.translate(t, MARKED, BARE).alias("fast"))),
-    )
-    return _drop_marks(F.get(parts, F.lit(0)))
+    return F.coalesce(_drop_marks(F.when(text.rlike(NEEDS_DECOMPOSITION), text)), F.translate(text, MARKED, BARE))
 
 
 def mask_urls(text: Column) -> Column:
+    """URLs with a scheme or ``www.``, ``www2.`` and so on, and short links such as ``bit.ly/abc12``.
+
+    Case does not matter.  Signs after a bare host stay; a path runs to the next white space.
+    """
     return F.regexp_replace(text, URL, "_URL_")
 
 

@@ -14,15 +14,17 @@ def sq_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, square), F.lit(0.0), lambda total, x: total + x)
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector is there and all its components are numbers: neither null, NaN nor infinite."""
+    number = F.forall(v, lambda x: ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(number, F.lit(False))
+
+
 def l2(a: Column, b: Column) -> Column:
     """Euclidean distance."""
     return F.sqrt(sq_l2(a, b))
 
 
-def neg_distance_score(a: Column, b: Column) -> Column:
-    return -l2(a, b)
-
-
 def l2_normalize(v: Column) -> Column:
     """v / |v|; a zero vector stays zero."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

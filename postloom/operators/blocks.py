@@ -5,12 +5,15 @@ hold a large share of all rows.  Rows are therefore spread over blocks by the ha
 key and the work is done per pair of blocks; no task ever holds more than two blocks.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.bounded import bounded_table
 
 BLOCK_ROWS = 50_000
+LEAST_BLOCK_ROWS = 500
 
 
 def crowded_groups(block_rows: int, by: list[str], **sides: DataFrame) -> dict[str, DataFrame | None]:
@@ -45,6 +48,12 @@ def crowded_groups(block_rows: int, by: list[str], **sides: DataFrame) -> dict[s
     return {name: of(name) for name in sides}
 
 
+def spread_blocks(df: DataFrame, block_rows: int) -> int:
+    """Rows per block with which the pairs of blocks of one table keep all cores busy."""
+    side = math.ceil(math.sqrt(df.sparkSession.sparkContext.defaultParallelism))
+    return max(min(block_rows, LEAST_BLOCK_ROWS), min(block_rows, math.ceil(df.count() / side)))
+
+
 def with_block_count(df: DataFrame, crowded: DataFrame | None, by: list[str], name: str) -> DataFrame:
     if crowded is None:
         return df.withColumn(name, F.lit(1))

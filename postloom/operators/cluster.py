@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from postloom.functions.vectors import finite
 from postloom.operators.bounded import bounded_rows
 from postloom.operators.knn import TILE_CELLS, knn_join, to_matrix
 
 # The default workload parameters.
-REDUCER_CONFIG = {"n_components": 50, "n_neighbors": 27, "metric": "euclidean"}
+REDUCER_CONFIG = {"n_components": 50}
 CLUSTER_CONFIG = {"n_clusters": 80, "max_iter": 300, "random_state": 42}
 MAX_CENTROIDS = 10_000
 FIT_ROWS = 500_000  # reduced vectors per partition while fitting
@@ -79,7 +80,7 @@ def fit_clusters(
     and, unless ``partitions`` is given, the row count.  Initial centres come from the
     scalable k-means++ variant; each iteration moves k partial sums per partition.
     """
-    usable = train.where(F.col(vec).isNotNull()).select(key, vec)
+    usable = train.where(finite(F.col(vec))).select(key, vec)
     rows = usable.count()
     if n_clusters > rows:
         raise ValueError(f"{n_clusters} clusters asked for {rows} rows")
@@ -101,8 +102,8 @@ def fit_clusters(
     return ClusterModel(
         reducer,
         kmeans,
-        {**REDUCER_CONFIG, "n_components": n_components},
-        {"n_clusters": n_clusters, "max_iter": max_iter, "random_state": seed},
+        {"n_components": n_components},
+        {"n_clusters": n_clusters, "max_iter": max_iter, "random_state": seed, "partitions": partitions},
     )
 
 
@@ -121,7 +122,8 @@ def get_centroids(model: ClusterModel, spark) -> DataFrame:
 def nearest_centroid(
     df: DataFrame, centroids: DataFrame, vec: str = "v", key: str = "vec_id", max_centroids: int = MAX_CENTROIDS
 ) -> DataFrame:
-    """Add ``cluster``: the centroid at the least squared distance, ties to the lowest id.
+    """Add ``cluster``: the centroid at the least squared distance, ties to the lowest id; null
+    for a vector that is null or not finite.
 
     Up to ``max_centroids`` centroids are sent to every task and the rows are not shuffled;
     beyond that the rows are matched with an exact blocked neighbour join.
@@ -155,5 +157,7 @@ def nearest_centroid(
             out[known[start:start + step]] = ids[near[first]]
         return pa.array(out, mask=~np.asarray(vectors.is_valid()))
 
-    return df.withColumn("cluster", closest(F.col(vec)))
+    # Otherwise Catalyst may copy the call into filters and evaluate it again there.
+    closest = closest.asNondeterministic()
+    return df.withColumn("cluster", closest(F.when(finite(F.col(vec)), F.col(vec))))
 

@@ -1,7 +1,7 @@
 """Tokens and embeddings."""
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +15,9 @@ from postloom.functions.text import words
 from postloom.operators.bounded import bounded_table, dense_index
 from postloom.operators.profile import count_tokens
 
-# Ids of the special tokens and the default limits.
+# Ids of the special tokens and the window of common encoders.
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
-MAX_LENGTH = 512
+WINDOW = 512
 BATCH_SIZE = 128
 HASH_DIM = 64
 MAX_VOCABULARY = 1_000_000
@@ -34,12 +34,13 @@ def tokenize(
     vocabulary: DataFrame,
     text: str = "text",
     key: str = "id",
-    max_length: int | None = MAX_LENGTH,
+    max_length: int | None = None,
     max_vocabulary: int = MAX_VOCABULARY,
 ) -> DataFrame:
     """Add ``input_ids`` (start, tokens, end) and ``attention_mask``.
 
-    ``max_length`` counts the two special tokens; None keeps every token.  A vocabulary
+    Every token is kept unless ``max_length`` (which counts the two special tokens) cuts; for
+    models with a fixed window see ``token_windows``, which loses nothing.  A vocabulary
     within the bound goes to every task and each batch is looked up as a whole, without a
     shuffle.  A larger one is joined by token and the ids are put back in order per row.
     """
@@ -60,22 +61,31 @@ def tokenize(
     ).drop("_ids")
 
 
+_lookup_tables: dict = {}
+
+
 def _looked_up(spark, vocabulary: pa.Table):
     shared = spark.sparkContext.broadcast((
         vocabulary["token"].combine_chunks(),
         vocabulary["token_id"].to_numpy().astype(np.int32),
     ))
+    number = shared.id if hasattr(shared, "id") else id(shared)
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def lookup(tokens: pa.Array) -> pa.Array:
-        known, ids = shared.value
-        place = pc.index_in(tokens.flatten(), value_set=known)
-        found = np.where(
-            np.asarray(place.is_valid()), ids[place.fill_null(0).to_numpy(zero_copy_only=False)], UNKNOWN
-        ) if len(ids) else np.full(len(place), UNKNOWN)
+        # One hash table per worker and vocabulary; a batch looks up its distinct tokens.
+        if number not in _lookup_tables:
+            _lookup_tables.clear()
+            known, ids = shared.value
+            _lookup_tables[number] = dict(zip(known.to_pylist(), ids.tolist(), strict=True))
+        table = _lookup_tables[number]
+        coded = tokens.flatten().dictionary_encode()
+        distinct = np.array([table.get(t, UNKNOWN) for t in coded.dictionary.to_pylist()], np.int32)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        found = distinct[codes] if len(codes) else np.zeros(0, np.int32)
         sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
         offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, pa.array(found.astype(np.int32)))
+        return pa.ListArray.from_arrays(offsets, pa.array(found))
 
     return lookup
 
@@ -135,3 +145,66 @@ def embed_text(
         return df.withColumn(name, hashed_vector(words(F.col(text)), dim))
     model = predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)
     return df.withColumn(name, model(F.col(text)))
+
+
+def token_windows(df: DataFrame, size: int = WINDOW, stride: int | None = None) -> DataFrame:
+    """One row per window of ``size`` ids, numbered by ``window`` from 0; no token is lost.
+
+    A window is start, up to ``size - 2`` tokens, end; windows begin every ``stride`` tokens
+    (default: end to end, without overlap).  A text without tokens has one empty window; rows
+    without ids keep null ids in window 0.
+    """
+    room = size - 2
+    step = room if stride is None else stride
+    if room < 1 or not 1 <= step <= room:
+        raise ValueError("a window holds at least one token, and windows leave no gap")
+    inner = F.slice("input_ids", F.lit(2), F.greatest(F.size("input_ids") - 2, F.lit(0)))
+    count = F.greatest(F.ceil((F.size("_inner") - room) / step), F.lit(0)).cast("int")
+    rows = df.withColumn("_inner", inner).withColumn(
+        "window", F.explode(F.when(F.col("input_ids").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), count)))
+    )
+    part = F.slice("_inner", F.col("window") * step + 1, F.lit(room))
+    return rows.withColumn(
+        "input_ids", F.when(F.col("input_ids").isNotNull(), F.concat(F.array(F.lit(START)), part, F.array(F.lit(END))))
+    ).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1))).drop("_inner")
+
+
+def embed_tokens(
+    df: DataFrame, make_predict_fn: Callable, batch_size: int = BATCH_SIZE, name: str = "embedding"
+) -> DataFrame:
+    """Add one vector per row from ``input_ids`` and ``attention_mask``.
+
+    ``make_predict_fn`` loads a model once per Python worker and returns a function from two
+    int matrices (ids and mask, padded with PAD and 0 to the longest row of the batch) to a
+    matrix with one row per input row.  Rows without ids get a null vector.
+    """
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def embed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        predict = make_predict_fn()
+        for ids, mask in batches:
+            known = np.flatnonzero(np.asarray(ids.is_valid()))
+            out: list = [None] * len(ids)
+            for start in range(0, len(known), batch_size):
+                rows = known[start:start + batch_size]
+                lists = [ids[int(i)].as_py() for i in rows]
+                masks = [mask[int(i)].as_py() for i in rows]
+                width = max(map(len, lists))
+                padded = np.full((len(rows), width), PAD, np.int64)
+                seen = np.zeros((len(rows), width), np.int64)
+                for j, (x, m) in enumerate(zip(lists, masks, strict=True)):
+                    padded[j, :len(x)], seen[j, :len(m)] = x, m
+                for i, vector in zip(rows, np.asarray(predict(padded, seen), np.float64), strict=True):
+                    out[i] = vector.tolist()
+            yield pa.array(out, pa.list_(pa.float64()))
+
+    return df.withColumn(name, embed("input_ids", "attention_mask"))
+
+
+def mean_of_windows(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """(key, vec): the mean of a text's window vectors, each weighted by its tokens."""
+    weight = F.greatest(F.size("input_ids") - 2, F.lit(1)).cast("double")
+    cells = df.where(F.col(vec).isNotNull()).select(key, weight.alias("_w"), F.posexplode(vec).alias("_pos", "_x"))
+    sums = cells.groupBy(key, "_pos").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_x"))
+    return sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_x"))).alias("_v")).select(
+        key, F.col("_v._x").alias(vec)
+    )

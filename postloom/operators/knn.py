@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from postloom.functions.vectors import finite
 from postloom.operators.blocks import (
     BLOCK_ROWS,
     crowded_groups,
     every_block,
     own_block,
+    spread_blocks,
     with_block_count,
 )
 
@@ -30,15 +32,23 @@ PAIR_FLOATS = 8_000_000  # floats held at once while exact distances are compute
 
 
 def to_matrix(column) -> np.ndarray:
-    """An Arrow list column as a float64 matrix."""
+    """An Arrow list column as a float64 matrix; rows of different widths are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
         return np.zeros((0, 0))
+    width = pc.min_max(pc.list_value_length(column)).as_py()
+    if width["min"] != width["max"]:
+        raise ValueError(f"vectors of {width['min']} and of {width['max']} components in one column")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
+def rejected(df: DataFrame, key: str = "vec_id", vec: str = "v") -> DataFrame:
+    """(key): the rows whose vector no neighbour operator can use."""
+    return df.where(~finite(F.col(vec))).select(key)
+
+
 def exact_sq_dist(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Sum of squared differences for the listed pairs, in bounded memory."""
     step = max(1, PAIR_FLOATS // max(1, a.shape[1]))
@@ -122,7 +132,8 @@ def knn_join(
     """(by..., query_id, rank, neighbor_id, sq_dist, carry...).
 
     Fewer than ``k`` rows come back where the group is smaller; a query whose group has no
-    base rows has none.  ``carry`` are base columns to bring along.  With ``exclude_self``
+    base rows has none.  Vectors that are null or not finite are no neighbours and find none
+    (``rejected`` lists them); different widths are an error.  ``carry`` are base columns to bring along.  With ``exclude_self``
     a base row with the query's key is not a neighbour.
     """
     by = [by] if isinstance(by, str) else list(by or [])
@@ -130,8 +141,11 @@ def knn_join(
     everywhere = not by
     if everywhere:
         by = ["_all"]
+        block_rows = spread_blocks(base, block_rows)
         queries, base = queries.withColumn("_all", F.lit(0)), base.withColumn("_all", F.lit(0))
-    usable = " and ".join(f"`{c}` is not null" for c in [*by, vec])
+    usable = finite(F.col(vec))
+    for c in by:
+        usable = usable & F.col(f"`{c}`").isNotNull()
     # Aliases keep both sides apart when they come from the same table.
     groups = [F.col(c).alias(c) for c in by]
     q = queries.where(usable).select(*groups, F.col(key).alias("query_id"), F.col(vec).alias("v"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from postloom.functions.vectors import finite
 from postloom.operators.bounded import bounded_rows
 from postloom.operators.cluster import normalize_vectors
-from postloom.operators.knn import exact_sq_dist, knn_join, to_matrix
+from postloom.operators.knn import TILE_CELLS, exact_sq_dist, knn_join, to_matrix
 from postloom.operators.representatives import group_mean, representative
 
 MAX_PROTOTYPES = 5_000
@@ -38,7 +39,7 @@ def search_prototypes(
 
 def label_prototypes(support: DataFrame, label: str = "subcategory", vec: str = "v") -> DataFrame:
     """(label, proto): mean of the normalised support vectors; the mean is not re-normalised."""
-    means = group_mean(normalize_vectors(support.select(label, vec), vec), label, vec)
+    means = group_mean(normalize_vectors(support.where(finite(F.col(vec))).select(label, vec), vec), label, vec)
     return means.select(F.col(label).alias("label"), F.col("representative").alias("proto"))
 
 
@@ -57,7 +58,7 @@ def prototype_scores(
     """
     keep = list(keep)
     rows = bounded_rows(prototypes.select("label", "proto"), max_prototypes)
-    unit = normalize_vectors(queries.where(F.col(vec).isNotNull()).select(*keep, vec), vec)
+    unit = normalize_vectors(queries.where(finite(F.col(vec))).select(*keep, vec), vec)
     if rows is None:
         base = prototypes.select(F.col("label").alias(keep[0]), F.col("proto").alias(vec))
         ranked = knn_join(unit, base, k=prototypes.count(), by=None, key=keep[0], vec=vec, carry=())
@@ -73,8 +74,11 @@ def prototype_scores(
     def scores(vectors: pa.Array) -> pa.Array:
         matrix = to_matrix(vectors)
         n, p = len(matrix), len(protos)
-        at, near = np.repeat(np.arange(n), p), np.tile(np.arange(p), n)
-        dist = -np.sqrt(exact_sq_dist(matrix, protos, at, near))
+        dist, step = np.empty(n * p), max(1, TILE_CELLS // p)
+        for start in range(0, n, step):
+            tile = matrix[start:start + step]
+            at, near = np.repeat(np.arange(len(tile)), p), np.tile(np.arange(p), len(tile))
+            dist[start * p:(start + len(tile)) * p] = -np.sqrt(exact_sq_dist(tile, protos, at, near))
         return pa.ListArray.from_arrays(np.arange(0, n * p + 1, p, dtype=np.int32), pa.array(dist))
 
     named = F.arrays_zip(F.lit(labels).alias("label"), scores(F.col(vec)).alias("score"))
@@ -90,7 +94,7 @@ def prototypical_classify(
     for any number of labels; ties go to the lowest label.
     """
     base = label_prototypes(support, label, vec).select(F.col("label").alias(key), F.col("proto").alias(vec))
-    unit = normalize_vectors(queries.where(F.col(vec).isNotNull()).select(key, vec), vec)
+    unit = normalize_vectors(queries.where(finite(F.col(vec))).select(key, vec), vec)
     near = knn_join(unit, base, k=1, by=None, key=key, vec=vec, carry=())
     return near.select(
         "query_id", F.col("neighbor_id").alias("prediction"), (-F.sqrt("sq_dist")).alias("score")

@@ -11,6 +11,7 @@ How much is saved depends on the data: a lot for clustered vectors, nothing for
 without structure.  That is found out from a few queries, and ``knn_join`` is used then.
 """
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,13 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from postloom.functions.vectors import finite
 from postloom.operators.bounded import bounded_rows
 from postloom.operators.knn import BLOCK_ROWS, TILE_CELLS, knn_join, to_matrix
 from postloom.operators.sampling import sample_n
 
-CELLS = 256
+# Cells follow the square root of the base rows, so that the distances to pivots and the
+# rows of a visited cell grow alike; every task holds all pivots.
+MIN_CELLS, MAX_CELLS = 16, 8192
 WORTH_SHARE = 0.3
-PROBE = 1000  # queries looked at to judge the saving
+PROBE = 1000  # queries, sampled by the hash of their key, that tell what is saved
 MARGIN = 1e-7  # relative allowance for rounding in the bounds
 
 
@@ -65,19 +69,22 @@ def knn_join_pruned(
     vec: str = "v",
     carry: Sequence[str] = (),
     exclude_self: bool = False,
-    cells: int = CELLS,
+    cells: int | None = None,
     block_rows: int = BLOCK_ROWS,
     worth_share: float = WORTH_SHARE,
 ) -> DataFrame:
     """(query_id, rank, neighbor_id, sq_dist, carry...), as ``knn_join`` with ``by=None``.
 
-    ``cells`` pivots (a hash sample of the base rows) are held by every task.  A cell that
-    grows beyond ``block_rows``, for instance one full of copies, is cut into blocks.  If the
-    queries would still meet more than ``worth_share`` of the base rows, the search is not
-    pruned.
+    ``cells`` pivots (a hash sample of the base rows, by default about the square root of their
+    number) are held by every task.  A cell that grows beyond ``block_rows``, for instance one
+    full of copies, is cut into blocks.  Vectors without structure are the bad case: if the
+    queries would still meet more than ``worth_share`` of the base rows, sending them to cells
+    only costs more, and all blocks meet (n squared distances) instead.
     """
-    base = base.where(F.col(vec).isNotNull()).select(key, vec, *carry)
-    queries = queries.where(F.col(vec).isNotNull()).select(key, vec)
+    base = base.where(finite(F.col(vec))).select(key, vec, *carry)
+    queries = queries.where(finite(F.col(vec))).select(key, vec)
+    if cells is None:
+        cells = min(MAX_CELLS, max(MIN_CELLS, math.isqrt(base.count())))
     rows = bounded_rows(sample_n(base, key, n=cells), cells + 1)
     if not rows:
         return knn_join(queries, base, k, None, key, vec, carry, exclude_self, block_rows)
@@ -126,7 +133,7 @@ def knn_join_pruned(
         return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(chosen).astype(np.int32)))
 
     # A look at some queries tells whether pruning pays; either way the result is the same.
-    probe = queries.select(vec).limit(PROBE).toArrow()[vec]
+    probe = sample_n(queries, key, n=PROBE).select(vec).toArrow()[vec]
     seen = possible_cells(distances_to(to_matrix(probe), pivots), radius, reach, between, scale) @ counts
     if len(seen) and seen.mean() > worth_share * counts.sum():
         return knn_join(queries, base, k, None, key, vec, carry, exclude_self, block_rows)

@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from postloom.operators.cluster import REDUCER_CONFIG
 from postloom.operators.knn import knn_join
 from postloom.operators.lineage import cut_lineage
 from postloom.operators.pruned import knn_join_pruned
 
-N_NEIGHBORS = REDUCER_CONFIG["n_neighbors"]
+N_NEIGHBORS = 27  # fixed value: the default workload parameter
 BISECTIONS = 64
 
 
@@ -33,10 +32,10 @@ def knn_graph(
 ) -> DataFrame:
     """(src, dst, rank, dist): the nearest other rows of every row, exact.
 
-    ``by`` limits the graph to groups, such as clusters.  ``cells`` prunes the search over
-    the whole table (see ``pruned``); the result is the same.
+    ``by`` limits the graph to groups, such as clusters; without it the search over the whole
+    table is pruned (see ``pruned``), in ``cells`` parts.
     """
-    if by is None and cells is not None:
+    if by is None:
         near = knn_join_pruned(df, df, n_neighbors, key, vec, exclude_self=True, cells=cells)
     else:
         near = knn_join(df, df, k=n_neighbors, by=by, key=key, vec=vec, carry=(), exclude_self=True)
@@ -151,7 +150,7 @@ def graph_transform(
 
     ``base`` holds the key, the original vector and the embedded coordinates.
     """
-    near = knn_join(new, base, k=n_neighbors, by=None, key=key, vec=vec, carry=(name,))
+    near = knn_join_pruned(new, base, n_neighbors, key, vec, carry=(name,))
     packed = F.sort_array(F.collect_list(F.struct(F.sqrt("sq_dist").alias("dist"), "neighbor_id", F.col(name).alias("coords"))))
     sent = (
         near.groupBy("query_id").agg(packed.alias("_near"))

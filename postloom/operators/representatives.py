@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from postloom.functions.vectors import finite
 from postloom.operators.blocks import BLOCK_ROWS, crowded_groups, every_block, own_block, with_block_count
 from postloom.operators.bounded import broadcast_if_small
 from postloom.operators.knn import TILE_CELLS, exact_sq_dist, to_matrix
@@ -26,7 +27,7 @@ def group_mean(df: DataFrame, by: str | Sequence[str], vec: str = "v") -> DataFr
     """(by..., representative, n): component-wise mean, combined on the map side."""
     vector = array_to_vector(F.col(vec).cast("array<double>"))
     return (
-        df.where(F.col(vec).isNotNull())
+        df.where(finite(F.col(vec)))
         .groupBy(*_names(by))
         .agg(Summarizer.mean(vector).alias("_mean"), F.count(F.lit(1)).alias("n"))
         .withColumn("representative", vector_to_array("_mean"))
@@ -57,7 +58,7 @@ def weighted_distance_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray) ->
 def _distinct_members(df: DataFrame, by: list[str], vec: str, key: str) -> DataFrame:
     """Copies of a vector folded into one weighted row, before anything else is shuffled."""
     return (
-        df.where(F.col(vec).isNotNull())
+        df.where(finite(F.col(vec)))
         .groupBy(*by, F.col(vec).alias("v"))
         .agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
     )
@@ -65,7 +66,7 @@ def _distinct_members(df: DataFrame, by: list[str], vec: str, key: str) -> DataF
 
 def _crowded(df: DataFrame, by: list[str], vec: str, block_rows: int):
     # Rows bound the distinct vectors from above; counting them reads the group columns only.
-    return crowded_groups(block_rows, by, own=df.where(F.col(vec).isNotNull()))["own"]
+    return crowded_groups(block_rows, by, own=df.where(finite(F.col(vec))))["own"]
 
 
 def _block_totals(distinct: DataFrame, crowd, by: list[str], key: str) -> DataFrame:

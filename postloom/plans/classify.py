@@ -85,7 +85,7 @@ def train_category_classifier(
 
 def predict_categories(df: DataFrame, model: LogisticRegressionModel, label: str = "category", vec: str = "embedding") -> DataFrame:
     """Add ``truth`` and ``prediction`` (the label with the highest score) as ints."""
-    scored = model.setPredictionCol("_best").transform(as_ml_vector(df, vec))
+    scored = model.copy({model.predictionCol: "_best"}).transform(as_ml_vector(df, vec))
     return (
         scored.withColumn("truth", F.col(label).cast("int"))
         .withColumn("prediction", F.col("_best").cast("int"))

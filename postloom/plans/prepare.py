@@ -36,16 +36,19 @@ def prepare_posts(
     seed: int = 42,
     num_files: int | None = None,
     exact: bool = True,
-    multiline: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
     """Read, label, clean and split posts; write one folder per split if a path is given.
 
     Exact split sizes take a few passes over the keys, which for delimited text means
     parsing it again (cleaning is left out of those passes by Catalyst).  With
-    ``exact=False`` the sizes are expected ones and the files are read once.
+    ``exact=False`` the sizes are expected ones and the files are read once.  Posts may hold
+    line breaks; ``multiline=False`` reads files of one line per post in splits and fails on a
+    post that is broken over lines.
     """
-    posts = labelled_posts(read_posts(spark, posts_path, multiline=multiline), read_lookup(spark, lookup_path))
-    cleaned = preprocess(spread(posts))
+    # Spread before the join: asking for a join's partitions would run it.
+    posts = labelled_posts(spread(read_posts(spark, posts_path, multiline=multiline)), read_lookup(spark, lookup_path))
+    cleaned = preprocess(posts)
     split = random_split(cleaned, "id", seed=seed) if exact else hash_split(cleaned, "id", seed=seed)
     if out_path is None:
         return split
@@ -61,7 +64,7 @@ def prepare_embeddings(
     make_predict_fn: Callable | None = None,
     batch_size: int = BATCH_SIZE,
     num_files: int | None = None,
-    max_length: int | None = 512,
+    max_length: int | None = None,
     dim: int = HASH_DIM,
 ) -> DataFrame:
     """Encode labels, tokenise, embed and write the splits.

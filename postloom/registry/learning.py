@@ -1,14 +1,16 @@
 """Token, embedding, clustering and classifier queries."""
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postloom.functions.vectors import sq_l2
 from postloom.operators.cluster import fit_clusters, get_centroids, predict_clusters, reduce
-from postloom.operators.embed import embed_text, learn_vocabulary, tokenize
-from postloom.operators.evaluate import evaluate
+from postloom.operators.embed import embed_text, embed_tokens, learn_vocabulary, token_windows, tokenize
 from postloom.operators.reduce import fuzzy_graph, graph_embed, knn_graph
 from postloom.plans.classify import classify_zero_shot, predict_categories, train_category_classifier
 from postloom.plans.prepare import labelled_posts, prepare_embeddings
-from postloom.operators.sampling import hash_split
+from postloom.operators.sampling import hash_split, sample_n
 from postloom.registry.base import emb, lookup, posts, query, r6, scratch, table, texts
 from postloom.sources.tables import load_model, save_model, write_splits
 
@@ -62,59 +64,146 @@ def hashed_embedding(spark, sf_dir):
     return long.select("doc_id", "dim", r6("x").alias("x"))
 
 
-@query("prepare_embeddings")
+_WINDOW = 100
+
+
+@query(
+    "token_windows",
+    f"""select d.doc_id, coalesce(w.window, 0) as "window", coalesce('2 ' || ids || ' 3', '2 3') ids from documents d
+    left join (select doc_id, cast(floor((pos - 1) / {_WINDOW - 2}) as int) as "window", string_agg(token_id, ' ' order by pos) ids
+    from {_TOKENS} join {_VOCABULARY} using (token) group by 1, 2) w on d.doc_id = w.doc_id""",
+)
+def token_windows_query(spark, sf_dir):
+    docs = texts(spark, sf_dir).select("doc_id", "text")
+    out = token_windows(tokenize(docs, learn_vocabulary(docs), key="doc_id"), size=_WINDOW)
+    return out.select("doc_id", "window", F.array_join(F.transform("input_ids", lambda i: i.cast("string")), " ").alias("ids"))
+
+
+def _mean_of_ids():
+    """A model for the check: of a row's ids the mean, the greatest and their number."""
+    def predict(ids, mask):
+        n = mask.sum(1)
+        return np.stack([(ids * mask).sum(1) / n, (ids * mask).max(1), n], 1)
+    return predict
+
+
+@query(
+    "embed_tokens",
+    f"""select d.doc_id, round((coalesce(s, 0) + 5) / (coalesce(n, 0) + 2), 6) mean_id, greatest(coalesce(m, 0), 3)::double max_id,
+      (coalesce(n, 0) + 2)::double n from documents d left join (
+        select doc_id, sum(token_id) s, max(token_id) m, count(*) n from {_TOKENS} join {_VOCABULARY} using (token) group by 1) t
+      on d.doc_id = t.doc_id""",
+)
+def embed_tokens_query(spark, sf_dir):
+    docs = texts(spark, sf_dir).select("doc_id", "text")
+    out = embed_tokens(tokenize(docs, learn_vocabulary(docs), key="doc_id"), _mean_of_ids)
+    return out.select("doc_id", r6(F.col("embedding")[0]).alias("mean_id"), F.col("embedding")[1].alias("max_id"), F.col("embedding")[2].alias("n"))
+
+
+_PREPARED = r"""with l as (select *, u < 0.8 is_train, case when u < 0.8 then 'train' when u < 0.9 then 'test' else 'validation' end split
+    from (select *, cast(cast('0x'||substr(md5('42:'||id),1,8) as bigint) as double)/4294967296 u from (
+      select cast(doc_id as varchar) id, split_part(text, chr(10), 1) || ' [SEP] ' || text as combined,
+        'cat' || (cast(substr(source, 4) as int) % 5) cat, source from documents) p)),
+  k as (select id, split, is_train, combined, case when source in ('src18', 'src19') then null else cat end category,
+    case when source in ('src18', 'src19') then null else source end subcategory from l),
+  t as (select id, is_train, token, pos from (select id, is_train, unnest(x) token, generate_subscripts(x, 1) pos
+    from (select id, is_train, regexp_extract_all(lower(combined), '[\p{L}\p{N}]+') x from k))),
+  v as (select token, row_number() over (order by md5(token), token) + 3 token_id from (select distinct token from t where is_train)),
+  c as (select category, row_number() over (order by category) - 1 i from (select distinct category from k where is_train and category is not null)),
+  s as (select subcategory, row_number() over (order by subcategory) - 1 i from (select distinct subcategory from k where is_train and subcategory is not null))
+  select k.id, k.split, cast(c.i as int) category, cast(s.i as int) subcategory, '2 ' || ids || ' 3' ids, 64 dim from k
+    left join c using (category) left join s using (subcategory)
+    join (select id, string_agg(coalesce(token_id, 1), ' ' order by pos) ids from t left join v using (token) group by 1) x on k.id = x.id"""
+
+
+@query("prepare_embeddings", _PREPARED)
 def prepare_embeddings_query(spark, sf_dir):
     root = scratch(spark)
     rows = hash_split(labelled_posts(posts(spark, sf_dir), lookup(spark, sf_dir)), "id")
     write_splits(rows, f"{root}/in")
-    out = prepare_embeddings(spark, f"{root}/in", f"{root}/out", num_files=6)
-    return out.select("id", "split", "category", "subcategory", F.size("input_ids").alias("n_ids"),
-                      F.size("embedding").alias("dim"))
+    out = prepare_embeddings(spark, f"{root}/in", f"{root}/out")
+    ids = F.array_join(F.transform("input_ids", lambda i: i.cast("string")), " ")
+    return out.select("id", "split", "category", "subcategory", ids.alias("ids"), F.size("embedding").alias("dim"))
 
 
 def _fitted(spark, sf_dir):
     rows = emb(spark, sf_dir)
-    return rows, fit_clusters(rows.where("split = 'train'"), n_clusters=20, max_iter=50, partitions=8)
+    return rows, fit_clusters(rows.where("split = 'train'"), partitions=8)
+
+
+def _nearest(centroids, vec):
+    """The number of the centroid at the least distance, with Column functions only."""
+    return F.array_min(F.transform(F.array(*[F.array(*map(F.lit, c)) for c in centroids]), lambda c, i: F.struct(sq_l2(c, vec).alias("d"), i.alias("i"))))["i"]
+
+
+def _agrees(rows, model):
+    """Whether each row's cluster is the centroid nearest to its reduced vector."""
+    centroids = [c.tolist() for c in model.kmeans.clusterCenters()]
+    placed = reduce(predict_clusters(rows, model), model.reducer)
+    return placed.select("vec_id", (F.col("cluster") == _nearest(centroids, F.col("reduced"))).alias("nearest"))
 
 
-@query("fit_clusters")
+@query("fit_clusters", "select vec_id, true nearest from emb where split = 'train'", ("emb",))
 def fit_clusters_query(spark, sf_dir):
     rows, model = _fitted(spark, sf_dir)
-    return predict_clusters(rows.where("split = 'train'"), model).select("vec_id", "cluster")
+    return _agrees(rows.where("split = 'train'"), model)
 
 
-@query("predict_clusters")
+@query("predict_clusters", "select vec_id, true nearest from emb where split = 'test'", ("emb",))
 def predict_clusters_query(spark, sf_dir):
     rows, model = _fitted(spark, sf_dir)
     path = scratch(spark)
     save_model(spark, model, path)
-    return predict_clusters(rows.where("split = 'test'"), load_model(spark, path)).select("vec_id", "cluster")
+    return _agrees(rows.where("split = 'test'"), load_model(spark, path))
 
 
-@query("get_centroids")
+@query("get_centroids", "select cast(range as int) cluster, 50 dim, true is_mean from range(80)")
 def get_centroids_query(spark, sf_dir):
-    centroids = get_centroids(_fitted(spark, sf_dir)[1], spark)
-    return centroids.select("cluster", F.posexplode_outer("centroid").alias("pos", "x"))
+    """Each of the 80 centroids is the mean of the reduced training rows nearest to it."""
+    rows, model = _fitted(spark, sf_dir)
+    placed = reduce(predict_clusters(rows.where("split = 'train'"), model), model.reducer)
+    means = placed.select("cluster", F.posexplode("reduced").alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg("x").alias("mean"))
+    parts = get_centroids(model, spark).select("cluster", F.posexplode("centroid").alias("pos", "x"))
+    return parts.join(means, ["cluster", "pos"], "left").groupBy("cluster").agg(
+        F.count("*").cast("int").alias("dim"), (F.max(F.abs(F.col("x") - F.col("mean"))) < 1e-3).alias("is_mean"),
+    )
 
 
-@query("classify_zero_shot")
+@query("classify_zero_shot", "select vec_id, true agrees from emb where split = 'test'", ("emb",))
 def classify_zero_shot_query(spark, sf_dir):
+    """Predictions against a vote over the same clusters by plain joins and windows."""
     rows = emb(spark, sf_dir)
-    predictions, _, _ = classify_zero_shot(
-        rows.where("split = 'train'"), rows.where("split = 'test'"), train_samples_ratio=0.5,
-        n_clusters=20, max_iter=50, partitions=8,
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    predictions, _, model = classify_zero_shot(train, test, partitions=8)
+    base = predict_clusters(sample_n(train, "vec_id", ratio=0.25, seed=42), model)
+    near = predict_clusters(test, model).alias("q").join(base.alias("b"), F.col("q.cluster") == F.col("b.cluster")).select(
+        F.col("q.vec_id"), F.col("b.vec_id").alias("other"), F.col("b.subcategory"), sq_l2(F.col("q.v"), F.col("b.v")).alias("d"),
     )
-    return predictions
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "other"))).where("r <= 5")
+    sums = ranked.groupBy("vec_id", "subcategory").agg(F.sum(1 / (F.col("d") + 1e-5)).alias("s"), F.min("r").alias("r"))
+    first = sums.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "r"))).where("n = 1")
+    both = predictions.join(first.select("vec_id", F.col("subcategory").alias("again")), "vec_id", "left")
+    return both.select("vec_id", F.col("prediction").eqNullSafe(F.col("again")).alias("agrees"))
 
 
-@query("category_classifier")
+@query(
+    "category_classifier",
+    """select doc_id, quality truth, true is_best from labels join documents using (doc_id)
+    where cast(cast('0x'||substr(md5('42:'||doc_id),1,8) as bigint) as double)/4294967296 >= 0.8""",
+)
 def category_classifier(spark, sf_dir):
+    """Each prediction is the label with the highest linear score; texts are embedded once."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = texts(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
-    rows = hash_split(embed_text(docs), "doc_id")
-    model = train_category_classifier(rows.where("split = 'train'"), "quality", max_iter=20)
-    scores = evaluate(predict_categories(rows.where("split <> 'train'"), model, "quality"))
-    return scores.select(*[r6(c).alias(c) for c in scores.columns])
+    path = scratch(spark)
+    hash_split(embed_text(docs), "doc_id").drop("text").write.parquet(path)
+    rows = spark.read.parquet(path)
+    model = train_category_classifier(rows.where("split = 'train'"), "quality")
+    weights, bias = model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist()
+    scores = [sum((F.get("embedding", F.lit(j)) * x for j, x in enumerate(w)), F.lit(b)) for w, b in zip(weights, bias, strict=True)]
+    best = F.array_position(F.array(*scores), F.greatest(*scores)) - 1
+    found = predict_categories(rows.where("split <> 'train'"), model, "quality")
+    return found.select("doc_id", F.col("truth").cast("long").alias("truth"), (F.col("prediction") == best).alias("is_best"))
 
 
 @query("fuzzy_graph")
@@ -126,5 +215,5 @@ def fuzzy_graph_query(spark, sf_dir):
 def graph_embed_query(spark, sf_dir):
     rows, model = _fitted(spark, sf_dir)
     edges = fuzzy_graph(knn_graph(rows))
-    moved = graph_embed(reduce(rows, model.reducer), edges, iterations=2)
+    moved = graph_embed(reduce(rows, model.reducer), edges)
     return moved.select("vec_id", F.posexplode_outer("reduced").alias("pos", "x"))

@@ -6,7 +6,7 @@ from postloom.functions.vectors import inverse_distance_weight, l2, l2_normalize
 from postloom.operators.blocks import BLOCK_ROWS
 from postloom.operators.cluster import nearest_centroid, normalize_vectors
 from postloom.operators.evaluate import accuracy, evaluate
-from postloom.operators.knn import knn_join
+from postloom.operators.knn import knn_join, rejected
 from postloom.operators.prototypes import (
     cluster_centroids, cluster_prototypes, label_prototypes, prototype_scores, prototypical_classify,
     search_prototypes,
@@ -90,6 +90,27 @@ def knn_topk_blocks(spark, sf_dir):
     return neighbours(spark, sf_dir, block_rows=20).withColumn("sq_dist", r6("sq_dist"))
 
 
+_BAD = "vec_id % 17 = 0"
+
+
+@query(
+    "knn_with_rejected",
+    f"""select vec_id query_id, 0 rank, null neighbor_id from emb where {_BAD}
+    union all select query_id, rank, neighbor_id from (
+      select q.vec_id query_id, b.vec_id neighbor_id, cast(row_number() over (partition by q.vec_id order by {sq_sql('q.v', 'b.v')}, b.vec_id) as int) rank
+      from (select * from test where not {_BAD}) q join (select * from train where not {_BAD}) b on q.cluster = b.cluster) where rank <= 5""",
+    ("train", "test"),
+)
+def knn_with_rejected(spark, sf_dir):
+    """Some vectors hold a NaN or an infinity: they are listed, all other rows keep their results."""
+    bad = F.when(F.col("vec_id") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))).cast("float")
+    vec = F.when(F.expr(_BAD), F.transform("v", lambda x, i: F.when(i == 3, bad).otherwise(x))).otherwise(F.col("v"))
+    rows = nearest_centroid(emb(spark, sf_dir).withColumn("v", vec), seeds(spark, sf_dir))
+    near = knn_join(rows.where("split = 'test'"), rows.where("split = 'train'"), k=5)
+    none = rejected(rows).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), F.lit(None).cast("long").alias("neighbor_id"))
+    return none.unionByName(near.select("query_id", "rank", "neighbor_id"))
+
+
 @query(
     "vote_weighted",
     """select query_id, subcategory prediction, round(s, 6) votes from (select *, row_number() over

@@ -46,7 +46,7 @@ def read_lookup_query(spark, sf_dir):
 @query("read_splits", "select vec_id, subcategory, split from emb where split in ('train', 'test')", _EMB)
 def read_splits_query(spark, sf_dir):
     path = scratch(spark)
-    write_splits(emb(spark, sf_dir), path, num_files=6)
+    write_splits(emb(spark, sf_dir), path)
     return read_splits(spark, path, ["train", "test"]).select("vec_id", "subcategory", "split")
 
 
@@ -281,9 +281,7 @@ def distinct_labels(spark, sf_dir):
 )
 def prepare_posts_query(spark, sf_dir):
     root = scratch(spark)
-    # One line per record keeps the files splittable.
-    flat = posts(spark, sf_dir).withColumn("selftext", F.replace("selftext", F.lit("\n"), F.lit(" ")))
-    _write_delimited(flat, f"{root}/posts", "\t")
+    _write_delimited(posts(spark, sf_dir), f"{root}/posts", "\t")
     _write_delimited(lookup(spark, sf_dir), f"{root}/lookup", ",")
-    out = prepare_posts(spark, f"{root}/posts", f"{root}/lookup", f"{root}/splits", num_files=6)
+    out = prepare_posts(spark, f"{root}/posts", f"{root}/lookup", f"{root}/splits")
     return out.select("id", "subreddit", "category", "subcategory", "clean_text", "split")

@@ -20,26 +20,28 @@ def _strings(names) -> StructType:
 
 
 def _delimited(spark: SparkSession, path: str, columns, sep: str, multiline: bool) -> DataFrame:
+    # A record of the wrong width, such as half of a broken one, fails the job.
     return (
-        spark.read.schema(_strings(columns))
+        spark.read.schema(_strings(columns)).option("mode", "FAILFAST")
         .option("sep", sep).option("header", True).option("enforceSchema", False)
         .option("quote", '"').option("escape", '"').option("multiLine", multiline)
         .csv(path)
     )
 
 
-def read_posts(spark: SparkSession, path: str, columns=POSTS, multiline: bool = False) -> DataFrame:
+def read_posts(spark: SparkSession, path: str, columns=POSTS, multiline: bool = True) -> DataFrame:
     """Tab-separated posts with a header; all columns are strings.
 
-    ``multiline`` allows line breaks inside quotes; such files cannot be split between
-    tasks, so prefer many files then.
+    Texts may hold line breaks inside quotes.  Such files cannot be split between tasks, so
+    prefer many files; ``multiline=False`` splits files whose records are single lines.  A
+    malformed record fails the job in either mode.
     """
     return _delimited(spark, path, columns, "\t", multiline)
 
 
 def read_lookup(spark: SparkSession, path: str, columns=LOOKUP) -> DataFrame:
     """Comma-separated labels per source with a header."""
-    return _delimited(spark, path, columns, ",", False)
+    return _delimited(spark, path, columns, ",", True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import bounded, evaluate as ev, fewshot as fs, profile as pf, sampling as sa
-from postloom.operators.embed import embed_text, learn_vocabulary, tokenize
+from postloom.operators.embed import embed_text, embed_tokens, learn_vocabulary, mean_of_windows, token_windows, tokenize
 from postloom.operators.labels import label_decode, label_encode, label_vocabulary
 from postloom.operators.relational import POST_COLUMNS, drop_noise, enrich, matches, select_mapped
 from postloom.plans.classify import classify_clustered, classify_zero_shot
@@ -221,6 +221,36 @@ def test_tokenize_limits_and_unknowns(spark):
         assert out["3"]["input_ids"] == [2, 3] and out["4"]["input_ids"] is None
 
 
+def test_windows_lose_no_token(spark):
+    df = spark.createDataFrame([("1", " ".join(f"w{i}" for i in range(23))), ("2", ""), ("3", None), ("4", "w1 w2 w3 w4")], "id string, text string")
+    ids = tokenize(df, learn_vocabulary(df))
+    whole = {r["id"]: r["input_ids"] for r in ids.collect()}
+    parts: dict = {}
+    for r in token_windows(ids, size=6).orderBy("id", "window").collect():
+        assert r["input_ids"] is None or (len(r["input_ids"]) <= 6 and r["attention_mask"] == [1] * len(r["input_ids"]))
+        parts.setdefault(r["id"], []).append(r["input_ids"])
+    assert len(parts["1"]) == 6 and len(parts["4"]) == 1 and parts["3"] == [None] and parts["2"] == [[2, 3]]
+    for key, windows in parts.items():
+        assert whole[key] is None or [2, *[i for w in windows for i in w[1:-1]], 3] == whole[key]
+    over = [r["input_ids"] for r in token_windows(ids.where("id = '1'"), size=6, stride=2).orderBy("window").collect()]
+    assert [w[1:3] for w in over[:-1]] == [whole["1"][1 + i:3 + i] for i in range(0, 2 * len(over) - 2, 2)] and over[-1][-2] == whole["1"][-2]
+
+
+def test_token_model_sees_padded_batches(spark):
+    def load():
+        def predict(ids, mask):
+            assert ids.shape == mask.shape and (ids[mask == 0] == 0).all()
+            return np.stack([(ids * mask).sum(1), mask.sum(1)], 1)
+        return predict
+
+    df = spark.createDataFrame([("1", "a b c"), ("2", ""), ("3", None)], "id string, text string").coalesce(1)
+    rows = {r["id"]: r for r in embed_tokens(tokenize(df, learn_vocabulary(df)), load, batch_size=2).collect()}
+    assert rows["1"]["embedding"] == [sum(rows["1"]["input_ids"]), 5] and rows["2"]["embedding"] == [5, 2] and rows["3"]["embedding"] is None
+    windows = embed_tokens(token_windows(tokenize(df, learn_vocabulary(df)), size=4), load)
+    means = {r["id"]: r["embedding"] for r in mean_of_windows(windows, "id").collect()}
+    assert means["1"][1] == pytest.approx((4 * 2 + 3 * 1) / 3) and "3" not in means
+
+
 def test_embed_with_a_model(spark):
     def load():
         def predict(texts):
@@ -243,6 +273,11 @@ def test_hashed_embedding_is_unit_or_zero(spark):
 
 def test_delimited_sources(spark, tmp_path):
     (tmp_path / "p.tsv").write_text('id\tsubreddit\ttitle\tselftext\n1\ta\tt\t"say ""hi""\tnow"\n2\tb\t\tx,y\n')
+    (tmp_path / "b.tsv").write_text('id\tsubreddit\ttitle\tselftext\n1\ta\tt\t"line one\nline ""two"""\n2\tb\tu\tx\n')
+    broken = {r["id"]: r["selftext"] for r in st.read_posts(spark, str(tmp_path / "b.tsv")).collect()}
+    assert broken == {"1": 'line one\nline "two"', "2": "x"}
+    with pytest.raises(Exception, match="(?i)malformed"):
+        st.read_posts(spark, str(tmp_path / "b.tsv"), multiline=False).collect()
     (tmp_path / "l.csv").write_text("subreddit,category_1,category_2,category_3,in_data,reason_for_exclusion\na,c,d,,True,\n")
     posts = {r["id"]: r for r in st.read_posts(spark, str(tmp_path / "p.tsv")).collect()}
     assert posts["1"]["selftext"] == 'say "hi"\tnow' and posts["2"]["title"] is None
@@ -307,6 +342,11 @@ def test_zero_shot_saves_a_usable_model(spark, tmp_path):
 def test_preparation_jobs(spark, tmp_path):
     posts = "\n".join(f"p{i}\t{'ab'[i % 2]}\tt{i}\tsome <b> text {i}" for i in range(50))
     (tmp_path / "p.tsv").write_text("id\tsubreddit\ttitle\tselftext\n" + posts + "\n")
+    (tmp_path / "b.tsv").write_text('id\tsubreddit\ttitle\tselftext\n1\ta\tt\t"line one\nline ""two"""\n2\tb\tu\tx\n')
+    broken = {r["id"]: r["selftext"] for r in st.read_posts(spark, str(tmp_path / "b.tsv")).collect()}
+    assert broken == {"1": 'line one\nline "two"', "2": "x"}
+    with pytest.raises(Exception, match="(?i)malformed"):
+        st.read_posts(spark, str(tmp_path / "b.tsv"), multiline=False).collect()
     (tmp_path / "l.csv").write_text(
         "subreddit,category_1,category_2,category_3,in_data,reason_for_exclusion\na,c1,s1,,,\nb,c2,s2,,,\n")
     out = prepare_posts(spark, str(tmp_path / "p.tsv"), str(tmp_path / "l.csv"), str(tmp_path / "out"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from postloom.functions.vectors import l2_normalize
 from postloom.operators import cluster as cl
 from postloom.operators import reduce as rd
-from postloom.operators.knn import knn_join, kth_bound, nearest_k
+from postloom.operators.knn import knn_join, kth_bound, nearest_k, rejected
 from postloom.operators.pruned import distances_to, knn_join_pruned, possible_cells
 from postloom.operators.prototypes import cluster_prototypes, label_prototypes, prototypical_classify
 from postloom.operators.representatives import group_mean, group_medoid, representative, total_distances
@@ -213,7 +213,35 @@ def test_clusters_recover_blobs(spark, fitted):
     pairs = found.select("subcategory", "cluster").distinct().collect()
     assert len(pairs) == 4 and {r["cluster"] for r in pairs} == {0, 1, 2, 3}
     assert cl.get_centroids(model, spark).count() == 4
-    assert model.cluster_config == {"n_clusters": 4, "max_iter": 300, "random_state": 42}
+    assert model.cluster_config == {"n_clusters": 4, "max_iter": 300, "random_state": 42, "partitions": 8}
+    assert model.reducer_config == {"n_components": 4}
+
+
+def test_bad_vectors_leave_the_others_alone(spark):
+    nan, inf = float("nan"), float("inf")
+    base = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [nan, 0.0], 0), (4, [inf, 0.0], 0), (5, None, 0)], "vec_id int, v array<double>, cluster int")
+    queries = spark.createDataFrame([(10, [0.1, 0.0], 0), (11, [0.0, nan], 0), (12, [0.9, 0.0], 0)], "vec_id int, v array<double>, cluster int")
+    near = {(r["query_id"], r["neighbor_id"]) for r in knn_join(queries, base, k=2, carry=()).collect()}
+    assert near == {(10, 1), (10, 2), (12, 1), (12, 2)}
+    assert sorted(r[0] for r in rejected(base).collect()) == [3, 4, 5]
+    centroids = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0])], "cluster int, centroid array<double>")
+    for bound in (10, 1):
+        found = {r["vec_id"]: r["cluster"] for r in cl.nearest_centroid(base.drop("cluster"), centroids, max_centroids=bound).collect()}
+        assert found == {1: 0, 2: 1, 3: None, 4: None, 5: None}
+    assert group_medoid(base, "cluster").first()["n"] == 2
+
+
+def test_ragged_vectors_are_an_error(spark):
+    base = spark.createDataFrame([(1, [1.0, 2.0, 3.0], 0), (2, [4.0], 0)], "vec_id int, v array<double>, cluster int").coalesce(1)
+    with pytest.raises(Exception, match="vectors of 1 and of 3 components"):
+        knn_join(base, base, k=1, carry=()).collect()
+
+
+def test_clusters_are_computed_once_per_row(spark):
+    centroids = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "cluster int, centroid array<double>")
+    rows = cl.nearest_centroid(spark.createDataFrame([(1, [0.2], 1), (2, [0.9], 2)], "vec_id int, v array<double>, subcategory int"), centroids)
+    plan = rows.where("cluster is not null and cluster < 5")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
 
 
 def test_fit_does_not_depend_on_partitioning(spark, fitted):
