@@ -427,5 +427,5 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", shin
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
     )
-    scratch.drop(signed, classes, survivors, sets, members, linked)
+    scratch.keep_only(out)
     return out

@@ -45,6 +45,15 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep_only(self, *stored: DataFrame) -> None:
+        """Delete everything written so far but these tables."""
+        left = {id(df) for df in stored}
+        for number, path in list(self.paths.items()):
+            if number not in left:
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+                del self.paths[number]
+
 
 def tasks(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for."""

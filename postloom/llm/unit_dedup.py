@@ -167,10 +167,11 @@ def dedup_units(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     key_type = df.schema[key].dataType.simpleString()
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     units = scratch.keep(docs.mapInArrow(_emit, f"digest long, key {key_type}, unit int"))
-    firsts = units.groupBy("digest").agg(F.min(F.struct("key", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that both sides of the join are plain exchanges and a common digest's rows can be split.
+    firsts = scratch.keep(units.groupBy("digest").agg(F.min(F.struct("key", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = units.join(firsts, "digest").where((F.col("key") != F.col("first.key")) | (F.col("unit") != F.col("first.unit")))
     repeats = scratch.keep(later.groupBy("key").agg(F.collect_set(F.struct("unit", "first")).alias("_repeats")))
-    scratch.drop(units)
+    scratch.drop(units, firsts)
 
     kept = [c for c in df.columns if c not in (text, "removed")]
     work = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"), F.col(key).alias("_kept"))
