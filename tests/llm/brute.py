@@ -151,3 +151,55 @@ def quality_counts(text):
     n = len(words)
     return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated),
             n < 20 or 100 * len(repeated) > 30 * n)
+
+
+def judge_url(url, rules, listed):
+    """host, path, rule, verdict, listed; rules: (host, path, verdict); listed: canonical (host, path)."""
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        n = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+        host, rest = rest[:n].translate(LOWER), rest[n:]
+        path = rest[:min([rest.index(c) for c in "?#" if c in rest], default=len(rest))]
+    fits = [(len(h) + len(p), h + p, v) for h, p, v in rules if h is not None and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    hit = host != "" and (host, path.rstrip("/")) in listed
+    if fits:
+        return host, path, max(fits)[1], max(fits)[2], hit
+    return host, path, None, "block" if hit else "allow", hit
+
+
+def mix_targets(sizes, weights=(3.0, 1.0, 2.0), share=1.5, ceiling=2.0):
+    """sizes: {source: words}.  Stop sources at the ceiling and deal their excess again until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, stopped = share * sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in stopped]
+        deal = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = [s for s in free if deal[s] >= ceiling * sizes[s]]
+        if not above:
+            return stopped | deal
+        for s in above:
+            stopped[s] = ceiling * sizes[s]
+            left -= stopped[s]
+
+
+def rotate(turns, context=("system",)):
+    """turns: (conv, turn, role, text).  {(conv, speaker): (rendering, trained spans)}"""
+    talks = defaultdict(list)
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            talks[conv].append((turn is not None, turn or 0, "unknown" if role is None else role, text or ""))
+    guard = lambda t: t.replace("\\", "\\\\").replace("<|", "\\<|")
+    out = {}
+    for conv, rows in talks.items():
+        for speaker in {r[2] for r in rows} - set(context):
+            text, spans = "", []
+            for _, _, role, said in sorted(rows):
+                text += "<|assistant|>\n" if role == speaker else "<|system|>\n" if role in context else "<|user|>" + guard(role).replace("\n", " ").replace("\r", " ") + "\n"
+                start = len(text)
+                text += guard(said) + "<|end|>"
+                spans += [(start, len(text))] if role == speaker else []
+                text += "\n"
+            out[conv, speaker] = (text, spans)
+    return out
