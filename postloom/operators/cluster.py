@@ -20,7 +20,7 @@ from postloom.operators.knn import TILE_CELLS, knn_join, to_matrix
 REDUCER_CONFIG = {"n_components": 50}
 CLUSTER_CONFIG = {"n_clusters": 80, "max_iter": 300, "random_state": 42}
 MAX_CENTROIDS = 10_000
-FIT_ROWS = 500_000  # reduced vectors per partition while fitting
+FIT_ROWS = 50_000  # reduced vectors per partition while fitting
 FIT_PARTITIONS = 8
 INIT_STEPS = 5  # oversampling rounds of the initialisation
 

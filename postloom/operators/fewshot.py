@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from postloom.functions.hashing import hash_text
 from postloom.operators.bounded import broadcast_if_small, local_if_small
 from postloom.operators.evaluate import group_sizes, share_of_group
+from postloom.operators.lineage import cut_lineage
 
 MAJOR_SHARE = 0.05
 
@@ -13,9 +14,11 @@ MAJOR_SHARE = 0.05
 def label_counts(df: DataFrame) -> DataFrame:
     """(cluster, category, subcategory, counts): all that the reports below need to know.
 
-    The rows are read once and combined on the map side; the rest works on this table.
+    The rows are read once and combined on the map side.  The table is used several times, so
+    it becomes a local one, or beyond the bound a stored one.
     """
-    return group_sizes(df, "cluster", "category", "subcategory")
+    counts, small = local_if_small(group_sizes(df, "cluster", "category", "subcategory"))
+    return counts if small else cut_lineage(counts)
 
 
 def _sizes(counts: DataFrame, *by: str) -> DataFrame:
@@ -118,7 +121,7 @@ def few_shot_episodes(
     picked labels, and each partition keeps its first few rows per label before the shuffle.
     """
     draw = n_support + n_query
-    counts, _ = local_if_small(label_counts(df))
+    counts = label_counts(df)
     majors = _major(counts, threshold).groupBy("cluster").agg(F.count(F.lit(1)).alias("_majors"))
     linked = _linked(counts, draw, threshold).select("cluster", "subcategory").distinct()
     candidates = (

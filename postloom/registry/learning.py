@@ -11,7 +11,7 @@ from postloom.operators.reduce import fuzzy_graph, graph_embed, knn_graph
 from postloom.plans.classify import classify_zero_shot, predict_categories, train_category_classifier
 from postloom.plans.prepare import labelled_posts, prepare_embeddings
 from postloom.operators.sampling import hash_split, sample_n
-from postloom.registry.base import emb, lookup, posts, query, r6, scratch, table, texts
+from postloom.registry.base import emb, lookup, posts, query, r6, scratch, sq_sql, table, texts
 from postloom.sources.tables import load_model, save_model, write_splits
 
 _TOKENS = r"""(select doc_id, token, pos from (select doc_id, unnest(t) token, generate_subscripts(t, 1) pos
@@ -206,7 +206,25 @@ def category_classifier(spark, sf_dir):
     return found.select("doc_id", F.col("truth").cast("long").alias("truth"), (F.col("prediction") == best).alias("is_best"))
 
 
-@query("fuzzy_graph")
+# The bandwidth by 80 bisections per row, from the definition; edges whose strengths vanish stay.
+_FUZZY = f"""select src, dst, round(max(a) + max(b) - max(a) * max(b), 6) weight from (
+  with recursive g as (
+    select src, dst, dist from (select q.vec_id src, b.vec_id dst, sqrt({sq_sql('q.v', 'b.v')}) dist,
+      row_number() over (partition by q.vec_id order by {sq_sql('q.v', 'b.v')}, b.vec_id) rank
+      from emb q join emb b on q.vec_id <> b.vec_id) where rank <= 27),
+  r as (select src, list(greatest(dist - coalesce(rho, 0), 0)) gaps, avg(dist) mean, any_value(coalesce(rho, 0)) rho, count(*) k
+    from g left join (select src, min(dist) rho from g where dist > 0 group by 1) using (src) group by 1),
+  s(src, low, high, n) as (
+    select src, 0.0::double, 1e6::double, 0 from r
+    union all
+    select s.src, case when over then low else (low + high) / 2 end, case when over then (low + high) / 2 else high end, n + 1
+    from (select s.*, list_sum(list_transform(gaps, lambda x: exp(-x / ((low + high) / 2)))) > log2(k) as over from s join r using (src) where n < 80) s),
+  w as (select g.src, g.dst, exp(-greatest(dist - rho, 0) / greatest((low + high) / 2, 1e-3 * mean, 1e-12)) weight
+    from g join r using (src) join s using (src) where n = 80)
+  select src, dst, weight a, 0 b from w union all select dst, src, 0, weight from w) group by 1, 2"""
+
+
+@query("fuzzy_graph", _FUZZY, ("emb",))
 def fuzzy_graph_query(spark, sf_dir):
     return fuzzy_graph(knn_graph(emb(spark, sf_dir))).select("src", "dst", r6("weight").alias("weight"))
 

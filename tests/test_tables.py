@@ -21,6 +21,13 @@ def test_lookup_duplicates_and_gaps(spark):
     assert got == [("1", "x"), ("1", "y"), ("2", "w"), ("3", "")]
 
 
+def test_label_numbers_by_range_are_the_same(spark):
+    rows = spark.createDataFrame([(f"l{i * 37 % 101:03d}",) for i in range(300)] + [(None,), ("é",), ("Z",)], "x string")
+    local = sorted(map(tuple, label_vocabulary(rows, "x").collect()))
+    ranged = label_vocabulary(rows, "x", max_labels=1)
+    assert sorted(map(tuple, ranged.collect())) == local == [(x, i) for i, x in enumerate(sorted({r[0] for r in rows.collect() if r[0]}))]
+
+
 def test_small_lookup_is_broadcast(spark, tmp_path):
     spark.createDataFrame([("a", "x")], "subreddit string, category_1 string").write.parquet(str(tmp_path / "l"))
     spark.createDataFrame([("1", "a")], "id string, subreddit string").write.parquet(str(tmp_path / "p"))

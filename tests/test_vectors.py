@@ -265,6 +265,17 @@ def test_more_clusters_than_rows(spark):
         cl.fit_clusters(frame(spark, np.eye(3)), n_clusters=5, n_components=2)
 
 
+def test_graph_search_is_spread_and_pruned(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(60, 4)) + 30 * c for c in range(8)])
+    rows = frame(spark, v)
+    graph = rd.knn_graph(rows, 5)
+    d = ((v[:, None] - v[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert {(r["src"], r["dst"]) for r in graph.collect()} == {(i, int(j)) for i in range(len(v)) for j in np.argsort(d[i])[:5]}
+    assert knn_join(rows, rows, 5, by=None, carry=(), exclude_self=True).count() == 5 * len(v)
+
+
 def test_fuzzy_graph_against_numpy(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(40, 3))
