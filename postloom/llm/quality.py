@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postloom.llm.wordhash import combine, flat, hash_slices, row_words, word_bounds
 
@@ -100,14 +101,13 @@ def fit_quality(df: DataFrame, trusted: Column, text: str = "text") -> QualityMo
     return QualityModel(np.log(target / target.sum()) - np.log(raw))
 
 
-def _judge(shared, threshold: float) -> Callable:
+def _judge(shared, threshold: float, text: str, rest: list[str]) -> Callable:
     def run(batches):
         ratio = shared.value.ratio
         for batch in batches:
-            rest = [n for n in batch.schema.names if n != "_text"]
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                data, offsets, starts, ends, words, rows = _texts(part.column("_text"))
+                data, offsets, starts, ends, words, rows = _texts(part.column(text))
                 # Code points up to each byte: bytes that do not continue a sequence.
                 points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
                 letters = np.r_[0, np.cumsum(points[ends] - points[starts])]
@@ -131,7 +131,9 @@ def _judge(shared, threshold: float) -> Callable:
 _ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ratio", "base_failed", "kept"]
 
 
-def judge_quality(df: DataFrame, model: QualityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def judge_quality(
+    df: DataFrame, model: QualityModel, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = True,
+) -> DataFrame:
     """Every row of ``df`` with base counts, log_ratio and the verdict ``kept``.
 
     Words are runs outside ``[\\x20\\x09-\\x0D]``.  n_words; word_chars (code points in words);
@@ -140,11 +142,12 @@ def judge_quality(df: DataFrame, model: QualityModel, text: str = "text", thresh
     20 words, or over 30 % repeated words.  log_ratio is the mean over the text's words and word
     pairs of log P(target) - log P(corpus); kept: not base_failed and log_ratio >= threshold, the
     same for every document.  A null text counts as empty: all counts 0, failed, not kept.  Input
-    columns named like an added one are replaced; an empty table gives an empty result.
+    columns named like an added one are replaced; an empty table gives an empty result.  With
+    ``keep_text=False`` the text column is left out and does not travel back.
     """
-    kept = [c for c in df.columns if c not in _ADDED]
-    work = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
-    schema = work.drop("_text").schema
+    work = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in _ADDED])
+    rest = [c for c in work.columns if keep_text or c != text]
+    schema = StructType([work.schema[c] for c in rest])
     for name in _ADDED:
         schema = schema.add(name, "double" if name == "log_ratio" else "boolean" if name in ("base_failed", "kept") else "long")
-    return work.mapInArrow(_judge(df.sparkSession.sparkContext.broadcast(model), threshold), schema)
+    return work.mapInArrow(_judge(df.sparkSession.sparkContext.broadcast(model), threshold, text, rest), schema)

@@ -201,7 +201,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("trusted")).agg(F.min("quality").alias("good"), F.max("toxic").alias("bad"))
     trusted = broadcast_if_small(labels.where("good = 1 and bad = 0").select("trusted"))
     model = fit_quality(docs.join(trusted, F.col("doc_id") == F.col("trusted"), "left"), F.col("trusted").isNotNull())
-    return judge_quality(docs, model).drop("text")
+    return judge_quality(docs, model, keep_text=False)
 
 
 # --- 9: licence scans ----------------------------------------------------------------
