@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from postloom.functions.vectors import finite
 from postloom.operators.bounded import bounded_rows
-from postloom.operators.cluster import normalize_vectors
+from postloom.operators.cluster import nearest_centroid, normalize_vectors
 from postloom.operators.knn import TILE_CELLS, exact_sq_dist, knn_join, to_matrix
 from postloom.operators.representatives import group_mean, representative
 
@@ -37,6 +37,21 @@ def search_prototypes(
     return near.withColumnRenamed("neighbor_id", "subcategory")
 
 
+def routed_search(
+    queries: DataFrame, prototypes: DataFrame, centroids: DataFrame, k: int = 1, vec: str = "v", key: str = "vec_id"
+) -> DataFrame:
+    """(cluster, query_id, rank, subcategory, sq_dist): the way through a stored index.
+
+    A query goes to its nearest stored centroid and meets the prototypes of that cluster only;
+    of a table in folders by cluster, only the folders that some query goes to are read.
+    """
+    routed = nearest_centroid(queries.drop("cluster"), centroids, vec, key)
+    visited = bounded_rows(routed.select("cluster").where("cluster is not null").distinct())
+    if visited is not None:
+        prototypes = prototypes.where(F.col("cluster").isin([r["cluster"] for r in visited]))
+    return search_prototypes(routed, prototypes, k, vec, key)
+
+
 def label_prototypes(support: DataFrame, label: str = "subcategory", vec: str = "v") -> DataFrame:
     """(label, proto): mean of the normalised support vectors; the mean is not re-normalised."""
     means = group_mean(normalize_vectors(support.where(finite(F.col(vec))).select(label, vec), vec), label, vec)

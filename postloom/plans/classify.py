@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postloom.operators.cluster import ClusterModel, as_ml_vector, fit_clusters, predict_clusters
 from postloom.operators.evaluate import evaluate
 from postloom.operators.knn import knn_join
+from postloom.operators.lineage import cut_lineage
 from postloom.operators.sampling import sample_n
 from postloom.operators.vote import vote_majority, vote_weighted
 from postloom.sources.tables import save_model, write_vectors
@@ -46,9 +47,9 @@ def classify_zero_shot(
     """Sample the training rows, cluster them, classify the test rows by their neighbours.
 
     Returns (predictions, one row of metrics, model).  The model is stored at
-    ``model_path`` if given.  With ``work_path`` the clustered rows are stored as well: group
-    sizes are then counted from the cluster column alone, and a lost executor does not bring
-    back the reduction.
+    ``model_path`` if given.  Clustered rows are stored, at ``work_path`` if given and as a
+    checkpoint otherwise: sample, reduction and assignment run once, group sizes are counted
+    from the stored column, and a lost executor does not bring them back.
     """
     sample = sample_n(train, key, ratio=train_samples_ratio, seed=seed)
     if model is None:
@@ -56,9 +57,12 @@ def classify_zero_shot(
     if model_path is not None:
         save_model(train.sparkSession, model, model_path)
     clustered = {"train": predict_clusters(sample, model, vec), "test": predict_clusters(test, model, vec)}
-    if work_path is not None:
-        for name, rows in clustered.items():
-            write_vectors(rows.select(key, vec, label, "cluster"), f"{work_path}/{name}")
+    for name, rows in clustered.items():
+        rows = rows.select(key, vec, label, "cluster")
+        if work_path is None:
+            clustered[name] = cut_lineage(rows)
+        else:
+            write_vectors(rows, f"{work_path}/{name}")
             clustered[name] = train.sparkSession.read.parquet(f"{work_path}/{name}")
     predictions = classify_clustered(
         clustered["train"], clustered["test"], k=k, key=key, vec=vec, label=label

@@ -9,7 +9,7 @@ from postloom.operators.evaluate import accuracy, evaluate
 from postloom.operators.knn import knn_join, rejected
 from postloom.operators.prototypes import (
     cluster_centroids, cluster_prototypes, label_prototypes, prototype_scores, prototypical_classify,
-    search_prototypes,
+    routed_search, search_prototypes,
 )
 from postloom.operators.pruned import knn_join_pruned
 from postloom.operators.reduce import knn_graph
@@ -255,6 +255,24 @@ def prototype_search(spark, sf_dir):
     return search_prototypes(test, prototypes, k=3).withColumn("sq_dist", r6("sq_dist"))
 
 
+@query(
+    "routed_prototype_search",
+    f"""select * from (select r.cluster, r.vec_id query_id, row_number() over (partition by r.vec_id
+          order by {sq_sql('r.v', 'p.v')}, p.subcategory) rank, p.subcategory, round({sq_sql('r.v', 'p.v')}, 6) sq_dist
+        from (select vec_id, v, cluster from (select t.vec_id, t.v, c.cluster, row_number() over (partition by t.vec_id
+            order by {sq_sql('t.v', 'c.v')}, c.cluster) n from test t cross join ({_medoid_sql(['cluster'], 'train')}) c) where n = 1) r
+        join ({_medoid_sql(['cluster', 'subcategory'], 'train')}) p on r.cluster = p.cluster)
+        where rank <= 3""",
+    ("train", "test"),
+)
+def routed_prototype_search(spark, sf_dir):
+    """Queries find their cluster by the stored centroids."""
+    train, test = train_test(spark, sf_dir)
+    path = scratch(spark)
+    build_prototype_index(cluster_prototypes(train), cluster_centroids(train), path)
+    return routed_search(test, *read_prototype_index(spark, path), k=3).withColumn("sq_dist", r6("sq_dist"))
+
+
 _PROTOS = f"""(select subcategory label, list(m order by pos) proto from (
       select subcategory, pos, avg(x) m from (select subcategory, unnest(u) x, generate_subscripts(u, 1) pos
         from (select subcategory, {unit_sql('v')} u from emb where split = 'train')) group by all) group by 1)"""
