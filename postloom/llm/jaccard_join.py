@@ -126,7 +126,7 @@ def prefixes(shingle: int, percent: int, buckets: int) -> Callable:
                     seen.add(cls)
                 docs.append(cls)
                 ns.append(n)
-                lists.append(found[:n - ceil_share(n, percent) + spare(n, percent)])
+                lists.append(found[:n - ceil_share(n, percent) + spare(n, percent)].copy())
                 held += len(lists[-1])
                 if held >= SORT_POSTINGS:
                     yield from pack(docs, ns, lists, buckets, 6)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postloom.llm.scratch import Scratch
 
@@ -22,7 +23,7 @@ RUN = 30
 FLOOR = 1e-8
 MAX_LANGUAGES = 200
 #: Words a task counts, or keeps scores of, before it starts anew.
-HELD_WORDS = 200_000
+HELD_WORDS = 150_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x100000001B3)
 
@@ -239,7 +240,7 @@ def fit_languages(df: DataFrame, pieces: list[str], text: str = "text", lang: st
     return LanguageModel(languages, np.log([n / total for _, n in sizes]), pieces, table)
 
 
-def _predict(shared) -> Callable:
+def _predict(shared, text: str, rest: list[str]) -> Callable:
     def run(batches):
         model = shared.value
         lattice = Lattice(model.pieces)
@@ -248,7 +249,7 @@ def _predict(shared) -> Callable:
         for batch in batches:
             found, best = [], []
             for start in range(0, batch.num_rows, 256):
-                counts = [count_runs(x) for x in batch.column("_text").slice(start, 256).to_pylist()]
+                counts = [count_runs(x) for x in batch.column(text).slice(start, 256).to_pylist()]
                 fresh = sorted(set().union(*counts).difference(known))
                 if fresh:
                     if len(known) > HELD_WORDS:
@@ -266,22 +267,22 @@ def _predict(shared) -> Callable:
                     top = int(total.argmax())
                     found.append(model.languages[top])
                     best.append(float(1 / np.exp(total - total[top]).sum()))
-            rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_text"]
-            names = [name for name in batch.schema.names if name != "_text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.string()), pa.array(best, pa.float64())], [*names, "lang_pred", "score"])
+            same = [batch.column(name) for name in rest]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(found, pa.string()), pa.array(best, pa.float64())], [*rest, "lang_pred", "score"])
     return run
 
 
-def predict_language(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Every row of ``df`` with lang_pred and score (the posterior of lang_pred, 0 to 1).
 
     All letter runs of the whole text count; a text's log probability is the sum over its words of
     the log of the forward algorithm, which adds up all segmentations into pieces.  A null text,
     one without letters, or a model without languages gives ``und`` and score 0; of equal scores
     the first language in code point order wins.  Only the text is read.  Columns of the input
-    named lang_pred or score are replaced; an empty table gives an empty result.
+    named lang_pred or score are replaced; an empty table gives an empty result.  With
+    ``keep_text=False`` the text column is left out and does not travel back.
     """
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    work = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
-    schema = work.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return work.mapInArrow(_predict(df.sparkSession.sparkContext.broadcast(model)), schema)
+    work = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")])
+    rest = [c for c in work.columns if keep_text or c != text]
+    schema = StructType([work.schema[c] for c in rest]).add("lang_pred", "string").add("score", "double")
+    return work.mapInArrow(_predict(df.sparkSession.sparkContext.broadcast(model), text, rest), schema)

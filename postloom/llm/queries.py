@@ -118,7 +118,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     model = fit_languages(docs.where(fold != 2), load_pieces(PIECES))
     rows = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text")
-    return predict_language(rows, model).drop("text")
+    return predict_language(rows, model, keep_text=False)
 
 
 # --- 6: chat formatting --------------------------------------------------------------

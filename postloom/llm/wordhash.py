@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
-#: Bytes hashed at once.
-PIECE = 1 << 21
+#: Bytes hashed at once, and bytes of texts whose words are held at once.
+PIECE, SLICE = 1 << 18, 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -110,21 +111,33 @@ def combine(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
+def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
+    """First row and column part, of about ``limit`` bytes each or of one longer text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(column):
+        done = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield at, column.slice(at, upto - at)
+        at = upto
+
+
 def shingle_lists(column: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and all its shingle hashes in text order (repeats kept), for every row.
 
     A text of fewer than n words has one shingle, the whole sequence; one without words has none.
     """
-    data, offsets = flat(column)
-    starts, ends = word_bounds(data, offsets)
-    words = hash_slices(data, starts, ends, lower=True)
-    rows = row_words(offsets, starts)
-    runs = combine(words, n)
-    for i in range(len(offsets) - 1):
-        low, high = rows[i], rows[i + 1]
-        if high - low >= n:
-            yield i, runs[low:high - n + 1]
-        elif high > low:
-            yield i, combine(words[low:high], int(high - low))
-        else:
-            yield i, runs[:0]
+    for first, part in slices(column):
+        data, offsets = flat(part)
+        starts, ends = word_bounds(data, offsets)
+        words = hash_slices(data, starts, ends, lower=True)
+        rows = row_words(offsets, starts)
+        runs = combine(words, n)
+        for i in range(len(offsets) - 1):
+            low, high = rows[i], rows[i + 1]
+            if high - low >= n:
+                yield first + i, runs[low:high - n + 1]
+            elif high > low:
+                yield first + i, combine(words[low:high], int(high - low))
+            else:
+                yield first + i, runs[:0]
