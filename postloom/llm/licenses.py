@@ -37,19 +37,31 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 ]
 
 
-def canonical(text: Column) -> Column:
-    """Lower case (A-Z), no copyright lines, no ASCII signs, single blanks, one spelling."""
-    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.when(F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("©")), F.regexp_replace(
-        out, r"(?m)^[^a-z0-9\n]*(?:copyright|c\)|©)[^\n]*$", "")).otherwise(out)
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ")), F.lit(" "))
+def _lines(text: Column) -> Column:
+    """The lines in lower case, without ASCII signs and outer blanks, and without copyright lines."""
+    plain = F.regexp_replace(F.lower(text), r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+", " ")
+    kept = F.filter(F.split(plain, "\n"), lambda x: ~F.regexp_like(x, F.lit("^ *(copyright|©|c copyright|c [0-9]{4})")))
+    return F.transform(kept, F.trim)
+
+
+def _spelled(text: Column) -> Column:
+    out = F.concat(F.lit(" "), text, F.lit(" "))
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(f" {one} "), F.lit(f" {other} "))
     return F.trim(out)
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def _whole(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def canonical(text: Column) -> Column:
+    """Lower case, no copyright lines, no ASCII signs, single blanks, one spelling."""
+    return _spelled(_whole(_lines(text)))
+
+
+#: Up to so many different lengths of known texts, units of other lengths are left out before hashing.
+MAX_LENGTHS = 1000
 
 
 def scan_licenses(df: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,30 +69,31 @@ def scan_licenses(df: DataFrame, known: DataFrame, key: str = "doc_id", text: st
 
     ``known`` has (license string, license_text string).  Entire texts are brought to canonical form
     and hashed; equal SHA-256 digests are equal texts.  A unit is the text, each paragraph (between
-    blank lines) and each line, so that notices inside a document are found, too; ``level`` is the
-    largest unit that matched and ``places`` how many units of that level did.
-
-    Units of a text are hashed where the text is; only digests meet the known ones, which are
-    broadcast up to a checked number and joined by shuffle beyond it.  Null, empty and signs-only
-    texts and units match nothing.  Rows with a null key are left out, repeated rows count again in
-    ``places``.  Empty tables give an empty result; other columns are ignored.
+    lines without letters and digits) and each line, so that notices inside a document are found,
+    too; ``level`` is the largest unit that matched and ``places`` how many units of that level did.
+
+    Units of a text are hashed where the text is, if their length is one that a known text has; only
+    digests meet the known ones, which are broadcast up to a checked number and joined by shuffle
+    beyond it.  Null, empty and signs-only texts and units match nothing.  Rows with a null key are
+    left out, repeated rows count again in ``places``.  Empty tables give an empty result; other
+    columns are ignored.
     """
-    listed = broadcast_if_small(
-        known.where("license is not null and license_text is not null").select("license", digest(F.col("license_text")).alias("_digest"), canonical(F.col("license_text")).alias("c"))
-        .where("c <> ''").drop("c").distinct()
-    )
+    listed = known.where("license is not null and license_text is not null").select("license", canonical(F.col("license_text")).alias("_c")).where("_c <> ''")
+    lengths = [r[0] for r in listed.select(F.length("_c")).distinct().limit(MAX_LENGTHS + 1).collect()]
+    listed = broadcast_if_small(listed.select("license", F.sha2("_c", 256).alias("_digest")).distinct())
 
     def units(level, parts):
-        return F.transform(parts, lambda u: F.struct(F.lit(level).alias("level"), u.alias("unit")))
-
-    whole = F.col("_text")
-    lines, paragraphs = F.split(whole, "\n"), F.split(whole, r"\n[ \t\r]*\n")
-    every = F.concat(
-        units(0, lines), F.when(F.size(paragraphs) > 1, units(1, paragraphs)).otherwise(units(1, F.array().cast("array<string>"))), units(2, F.array(whole)),
-    )
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    cut = rows.select("_key", F.explode(every).alias("u")).select("_key", "u.level", digest(F.col("u.unit")).alias("_digest"))
-    found = cut.join(listed, "_digest").groupBy("_key", "license", "level").agg(F.count("*").alias("places"))
+        return F.transform(parts, lambda u: F.struct(F.lit(level).alias("level"), _spelled(u).alias("unit")))
+
+    lines = F.col("_lines")
+    paragraphs = F.filter(F.split(F.array_join(lines, "\n"), "\n\n+"), lambda p: p != "")
+    joined = F.transform(paragraphs, lambda p: F.trim(F.translate(p, "\n", " ")))
+    every = F.concat(units(0, lines), F.when(F.size(joined) > 1, units(1, joined)).otherwise(units(1, F.array().cast("array<string>"))), units(2, F.array(_whole(lines))))
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), _lines(F.col(text)).alias("_lines"))
+    cut = rows.select("_key", F.explode(every).alias("u")).select("_key", "u.level", "u.unit")
+    if len(lengths) <= MAX_LENGTHS:
+        cut = cut.where(F.length("unit").isin(lengths))
+    found = cut.withColumn("_digest", F.sha2("unit", 256)).join(listed, "_digest").groupBy("_key", "license", "level").agg(F.count("*").alias("places"))
     best = found.groupBy("_key", "license").agg(F.max(F.struct("level", "places")).alias("b"))
     return best.select(
         F.col("_key").alias(key), "license", F.element_at(F.array(*map(F.lit, LEVELS)), F.col("b.level") + 1).alias("level"), F.col("b.places").alias("places"),

@@ -209,23 +209,30 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KNOWN_SQL = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
 
 
-def _canonical_sql(text: str) -> str:
-    low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    bare = rf"regexp_replace({low}, '(?m)^[^a-z0-9\n]*(?:copyright|c\)|©)[^\n]*$', '', 'g')"
-    out = rf"' ' || trim(regexp_replace({bare}, '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')) || ' '"
+def _lines_sql(text: str) -> str:
+    plain = rf"regexp_replace(lower({text}), '[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')"
+    kept = f"list_filter(string_split({plain}, chr(10)), lambda x: not regexp_matches(x, '^ *(copyright|©|c copyright|c [0-9]{{4}})'))"
+    return f"list_transform({kept}, lambda x: trim(x))"
+
+
+def _spelled_sql(text: str) -> str:
+    out = f"' ' || {text} || ' '"
     for one, other in SPELLINGS:
         out = f"replace({out}, ' {one} ', ' {other} ')"
     return f"trim({out})"
 
 
+_WHOLE_SQL = "array_to_string(list_filter(l, lambda x: x <> ''), ' ')"
 OP9_SQL = f"""
 with known(license, license_text) as (values {_KNOWN_SQL}),
-k as (select distinct license, {_canonical_sql("license_text")} c from known),
+k as (select distinct license, {_spelled_sql(_WHOLE_SQL)} c from (select license, {_lines_sql("license_text")} l from known)),
+d as (select doc_id, {_lines_sql("text")} l from documents where doc_id is not null and text is not null),
+p as (select *, list_filter(string_split_regex(array_to_string(l, chr(10)), '\n\n+'), lambda x: x <> '') parts from d),
 u as (
-  select doc_id, 0 as level, unnest(string_split(text, chr(10))) unit from documents
-  union all select doc_id, 1, unnest(string_split_regex(text, '\n[ \t\r]*\n')) from documents where regexp_matches(text, '\n[ \t\r]*\n')
-  union all select doc_id, 2, text from documents),
-f as (select doc_id, license, level, count(*) places from u join k on {_canonical_sql("unit")} = c where doc_id is not null group by 1, 2, 3)
+  select doc_id, 0 as level, unnest(l) unit from d
+  union all select doc_id, 1, trim(replace(unnest(parts), chr(10), ' ')) from p where len(parts) > 1
+  union all select doc_id, 2, {_WHOLE_SQL} from d),
+f as (select doc_id, license, level, count(*) places from u join k on {_spelled_sql("unit")} = c group by 1, 2, 3)
 select doc_id, license, ['line', 'paragraph', 'text'][max(level) + 1] as level, arg_max(places, level) places from f group by 1, 2
 """
 
