@@ -250,7 +250,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages that an earlier place has, with what was removed where."""
-    out = dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_lines=True)
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"], r["kept_key"])), ",")
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from postloom.llm.scratch import Scratch
-from postloom.llm.wordhash import combine, flat, hash_slices, row_words, word_bounds
+from postloom.llm.wordhash import combine, flat, hash_slices, mix, row_words, word_bounds
 
 #: A run of repeated units is removed where it has at least so many words.
 MIN_WORDS = 20
@@ -85,21 +86,55 @@ def _units(part: pa.Array):
     return data, offsets, np.searchsorted(offsets, starts[firsts], "right") - 1, starts[firsts], ends[last], hashes, words
 
 
-def _emit(batches):
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            _, _, row, _, _, hashes, words = _units(part.column("_text"))
-            if len(row):
-                first = np.searchsorted(row, row, "left")
-                keys = part.column("_key").take(pa.array(row))
-                keep = pa.array(words > 0)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes.view(np.int64)).filter(keep), keys.filter(keep), pa.array((np.arange(len(row)) - first).astype(np.int32)).filter(keep),
-                ], ["digest", "key", "unit"])
+def unit_lines(data: np.ndarray, row: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The number of each unit's line, over all rows."""
+    breaks = np.r_[0, np.cumsum(data == 10)]
+    return np.cumsum(np.r_[True, (row[1:] != row[:-1]) | (breaks[begin[1:]] > breaks[begin[:-1]])]) - 1 if len(row) else np.zeros(0, np.int64)
+
+
+def _line_hashes(line: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines with several units: place of the first unit, and a hash of the units in their order."""
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[first, len(line)])
+    at = np.arange(len(line)) - np.repeat(first, counts)
+    placed = mix(hashes + mix((at + 1).astype(np.uint64)))
+    total = np.add.reduceat(placed, first) if len(first) else placed
+    several = counts > 1
+    return first[several], mix(total[several] + counts[several].astype(np.uint64))
+
+
+def _emit(whole_lines: bool) -> Callable:
+    """Digests of units and, with a negative number, of lines that have several units."""
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                data, _, row, begin, _, hashes, words = _units(part.column("_text"))
+                if len(row):
+                    number = np.arange(len(row)) - np.searchsorted(row, row, "left")
+                    keep = words > 0
+                    line = unit_lines(data, row, begin)[keep]
+                    row, number, hashes = row[keep], number[keep], hashes[keep]
+                    if whole_lines:
+                        first, more = _line_hashes(line, hashes)
+                        row, number, hashes = np.r_[row, row[first]], np.r_[number, -1 - number[first]], np.r_[hashes, more]
+                    keys = part.column("_key").take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), keys, pa.array(number.astype(np.int32))], ["digest", "key", "unit"])
+    return run
+
 
+def _whole(seen: dict, line: np.ndarray, words: np.ndarray) -> set[int]:
+    """The units of one text whose whole line is a repeat; ``seen`` has a repeated line as -1 - its first unit with words."""
+    out: set[int] = set()
+    edges = np.flatnonzero(np.r_[True, line[1:] != line[:-1], True])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        real = [u for u in range(a, b) if words[u]]
+        if real and (real[0] in seen if len(real) == 1 else -1 - real[0] in seen):
+            out.update(real)
+    return out
 
-def _cut(min_words: int) -> Callable:
+
+def _cut(min_words: int, whole_lines: bool) -> Callable:
     """Remove runs of repeated units from each text; keep the original place of what stays and goes."""
     def run(batches):
         for batch in batches:
@@ -109,12 +144,14 @@ def _cut(min_words: int) -> Callable:
                 data, offsets, row, begin, end, _, words = _units(text)
                 repeats, rest = part.column("_repeats").to_pylist(), [n for n in part.schema.names if n not in ("_text", "_repeats")]
                 rows = np.searchsorted(row, np.arange(part.num_rows + 1))
+                line = unit_lines(data, row, begin)
                 texts, removed = [], []
                 for i in range(part.num_rows):
                     spans = []
                     if repeats[i]:
                         low = rows[i]
                         seen = {r["unit"]: r for r in repeats[i]}
+                        whole = _whole(seen, line[low:rows[i + 1]], words[low:rows[i + 1]]) if whole_lines else set()
                         run_of: list = []
                         for u in range(rows[i + 1] - low + 1):
                             if u in seen:
@@ -124,7 +161,10 @@ def _cut(min_words: int) -> Callable:
                             if u < rows[i + 1] - low and words[low + u] == 0 and run_of:
                                 continue
                             if sum(words[low + x] for x in run_of if words[low + x] >= UNIT_WORDS) >= min_words:
-                                spans.append((int(begin[low + run_of[0]]), int(end[low + run_of[-1]]), seen[run_of[0]]))
+                                goes = [run_of]
+                            else:
+                                goes = [list(g) for stays, g in groupby(run_of, lambda x: x not in whole) if not stays]
+                            spans += [(int(begin[low + g[0]]), int(end[low + g[-1]]), seen[g[0]]) for g in goes if g]
                             run_of = []
                     base, stop = int(offsets[i]), int(offsets[i + 1])
                     raw, at, kept, out = data[base:stop].tobytes(), 0, [], []
@@ -145,14 +185,20 @@ def _cut(min_words: int) -> Callable:
     return run
 
 
-def dedup_units(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_units(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole_lines: bool = False) -> DataFrame:
     """Every row of ``df``, its text without passages that an earlier text or place has, and ``removed``.
 
     Units are lines, and in them sentences (up to a word that ends in . ! or ?), so that a passage
     is found inside a longer line, too.  A unit is normalised (A-Z lower-cased, signs around words
     and blanks ignored) and hashed to 64 bits; globally the first unit of a digest, by key and then
     place in the text, is the one that is kept.  A run of neighbouring later units is removed where
-    it has at least ``min_words`` words in units of UNIT_WORDS and more; shorter repeats (headings, stock phrases) stay.  ``removed``
+    it has at least ``min_words`` words in units of UNIT_WORDS and more; shorter repeats (headings, stock phrases) stay.
+
+    With ``whole_lines`` that floor holds only for pieces of lines.  A whole line goes, however short,
+    where an earlier place has it: as its only unit, or, with several units, as a line of the same
+    units (lines of several units have a digest of their own).  So does a paragraph, line by line.
+
+    ``removed``
     lists start and end of each run in code points of the original text with the key and unit
     number of the first unit's kept occurrence, so the original can be put together again.
 
@@ -166,7 +212,7 @@ def dedup_units(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     scratch = Scratch(df.sparkSession)
     key_type = df.schema[key].dataType.simpleString()
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    units = scratch.keep(docs.mapInArrow(_emit, f"digest long, key {key_type}, unit int"))
+    units = scratch.keep(docs.mapInArrow(_emit(whole_lines), f"digest long, key {key_type}, unit int"))
     # Written, so that both sides of the join are plain exchanges and a common digest's rows can be split.
     firsts = scratch.keep(units.groupBy("digest").agg(F.min(F.struct("key", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = units.join(firsts, "digest").where((F.col("key") != F.col("first.key")) | (F.col("unit") != F.col("first.unit")))
@@ -178,5 +224,5 @@ def dedup_units(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     work = work.join(repeats.withColumnRenamed("key", "_k"), F.col("_kept") == F.col("_k"), "left").select(*[F.col(f"`{c}`") for c in kept], "_text", "_kept", "_repeats")
     added = StructType.fromDDL(f"_text string, removed array<struct<start:int,end:int,kept_key:{key_type},kept_unit:int>>")
     schema = StructType([*work.drop("_text", "_kept", "_repeats").schema.fields, *added.fields])
-    out = work.mapInArrow(_cut(min_words), schema)
+    out = work.mapInArrow(_cut(min_words, whole_lines), schema)
     return out.select(*[F.col("_text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c != "removed"], "removed")
