@@ -52,7 +52,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop every document that holds a benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True)
     leaks = found.select(F.col("doc_id").alias("_leak")).distinct()
     return docs.join(broadcast_if_small(Scratch(spark).keep(leaks)), F.col("doc_id") == F.col("_leak"), "left_anti")
 

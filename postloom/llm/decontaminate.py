@@ -60,21 +60,22 @@ def least_hits(size: int, percent: int) -> int:
 def _item_rows(shingle: int, percent: int) -> Callable:
     def run(batches):
         for batch in batches:
-            out: list = [[], [], [], [], [], []]
-            keys = batch.column("_item").to_pylist()
-            for i, found in shingle_lists(plain(batch.column("_text")), shingle):
+            out: list = [[], [], [], [], [], [], []]
+            keys, texts = batch.column("_item").to_pylist(), plain(batch.column("_text"))
+            for i, found in shingle_lists(texts, shingle):
                 every = np.unique(found)
                 if not len(every):
                     continue
                 chosen = np.isin(every, sketch(every))
                 out[0] += every.view(np.int64).tolist()
                 out[1] += chosen.tolist()
-                for j, x in ((2, keys[i]), (3, len(every)), (4, size_class(len(every))), (5, least_hits(len(every), percent))):
+                words = min(shingle, sum(w != "" for w in texts[i].as_py().split(" ")))
+                for j, x in ((2, keys[i]), (3, len(every)), (4, size_class(len(every))), (5, least_hits(len(every), percent)), (6, words)):
                     out[j] += [x] * len(every)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], batch.column("_item").type),
                  *[pa.array(x, pa.int32()) for x in out[3:]]],
-                ["hash", "in_sketch", "_item", "n_item", "size_class", "least"],
+                ["hash", "in_sketch", "_item", "n_item", "size_class", "least", "words"],
             )
     return run
 
@@ -95,14 +96,14 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _text_rows(shingle: int, shared) -> Callable:
+def _text_rows(shingle: int, shorter: tuple[int, ...], shared) -> Callable:
     def run(batches):
         sketched, listed = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 rows, hashes = [], []
-                for i, found in shingle_lists(plain(part.column("_text")), shingle):
+                for i, found in shingle_lists(plain(part.column("_text")), shingle, shorter):
                     # Only a text that meets some sketch is searched for the rest of the items.
                     if len(found) and _passes(sketched, found).any():
                         some = np.unique(found[_passes(listed, found)])
@@ -116,13 +117,15 @@ def _text_rows(shingle: int, shared) -> Callable:
 
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    shingle: int = SHINGLE, percent: int = 75,
+    shingle: int = SHINGLE, percent: int = 75, short_items: bool = False,
 ) -> DataFrame:
     """(key, item_key, n_item, n_shared, containment): texts that hold an item's shingles.
 
     Words are runs of letters and digits of the lower-cased text.  An item is held where
     100 * shared >= percent * its distinct ``shingle``-word shingles (an item of fewer words is one
-    shingle, its sequence, and is found only in texts that equal it).
+    shingle, its sequence, and is found only in texts that equal it).  With ``short_items`` an item of
+    fewer words is found wherever a text has its words in a row: texts then have the runs of those
+    lengths that items have, too (at most ``shingle`` - 1), behind the same bitmaps.
 
     Items are split by size class; every item has a MinHash sketch (small ones: all shingles) and,
     by class, a number of sketch hits that a holding text reaches with a chance of 1 - MISS.
@@ -139,7 +142,8 @@ def contaminated(
     named = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).alias("_id"), F.col(item_text).alias("_text"))
     groups = named.select("_text").distinct().select(F.xxhash64("_text").alias("_item"), "_text")
     rows = scratch.keep(groups.mapInArrow(
-        _item_rows(shingle, percent), "hash long, in_sketch boolean, _item long, n_item int, size_class int, least int"))
+        _item_rows(shingle, percent), "hash long, in_sketch boolean, _item long, n_item int, size_class int, least int, words int"))
+    shorter = tuple(sorted(r[0] for r in rows.where(F.col("words") < shingle).select("words").distinct().collect())) if short_items else ()
     bits = 1 << 12
     while bits < rows.count() * BITS_PER_HASH and bits < MAX_BITS:
         bits *= 2
@@ -147,7 +151,7 @@ def contaminated(
 
     work = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
     doc_type = work.schema["_doc"].dataType.simpleString()
-    met = work.mapInArrow(_text_rows(shingle, shared), f"_doc {doc_type}, hash long").dropDuplicates()
+    met = work.mapInArrow(_text_rows(shingle, shorter, shared), f"_doc {doc_type}, hash long").dropDuplicates()
     pairs = met.join(rows, "hash").groupBy("_doc", "_item").agg(
         F.count("*").alias("n_shared"), F.count_if("in_sketch").alias("hits"), F.max("n_item").alias("n_item"), F.max("least").alias("least"),
     ).where("hits >= least").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)

@@ -81,7 +81,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold a benchmark item."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return contaminated(docs.select("doc_id", "text"), items.select("item_id", "text"))
+    return contaminated(docs.select("doc_id", "text"), items.select("item_id", "text"), short_items=True)
 
 
 # --- 3: personal data ----------------------------------------------------------------

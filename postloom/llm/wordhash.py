@@ -122,10 +122,11 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, pa.Array
         at = upto
 
 
-def shingle_lists(column: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_lists(column: pa.Array, n: int = SHINGLE, shorter: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and all its shingle hashes in text order (repeats kept), for every row.
 
     A text of fewer than n words has one shingle, the whole sequence; one without words has none.
+    Runs of each length in ``shorter`` (below n) follow the shingles.
     """
     for first, part in slices(column):
         data, offsets = flat(part)
@@ -133,11 +134,15 @@ def shingle_lists(column: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, np.
         words = hash_slices(data, starts, ends, lower=True)
         rows = row_words(offsets, starts)
         runs = combine(words, n)
+        more = [(m, combine(words, m)) for m in shorter]
         for i in range(len(offsets) - 1):
             low, high = rows[i], rows[i + 1]
             if high - low >= n:
-                yield first + i, runs[low:high - n + 1]
+                found = runs[low:high - n + 1]
             elif high > low:
-                yield first + i, combine(words[low:high], int(high - low))
+                found = combine(words[low:high], int(high - low))
             else:
-                yield first + i, runs[:0]
+                found = runs[:0]
+            if more:
+                found = np.concatenate([found, *[x[low:high - m + 1] for m, x in more if high - low >= m]])
+            yield first + i, found

@@ -52,3 +52,26 @@ def test_null_keys_repeats_and_no_rows(spark):
 
 def test_large_items_need_few_hits():
     assert 1 <= decontaminate.least_hits(1000, 75) < 64 and decontaminate.least_hits(40, 75) == 30
+
+
+def held_in(text, item):
+    """Whether the words of a short item stand in a row in the text."""
+    have, want = (list(x) for x in (brute.plain_shingles(text, 1), brute.plain_shingles(item, 4)))
+    words = [w for w in "".join(c if c >= "\x80" or c.isalnum() else " " for c in (text or "").lower()).split(" ") if w]
+    run = list(want[0]) if want else ["~"]
+    return bool(have) and any(words[i:i + len(run)] == run for i in range(len(words)))
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 8])
+def test_short_items_inside_long_texts(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "MAX_BITS", bits)
+    docs, items = tables(4)
+    short = ["one two", "Two!", "one, two three", "é Éa b c", "two one", "-- b"]
+    docs += [(200, "x y z v w ONE two, three q"), (201, "w v u one"), (202, "two x y z w v"), (203, "a b c d e f é éa b, C"), (204, "one\ntwo")]
+    more = [*items, *[(100 + i, t) for i, t in enumerate(short)]]
+    plain = {k for k, t in more if any(len(s) < 5 for s in brute.plain_shingles(t))}
+    want = [r for r in brute.contaminated(docs, more) if r[1] not in plain]
+    want += [(d, k, 1, 1) for d, t in docs for k, i in more if k in plain and held_in(t, i)]
+    out = decontaminate.contaminated(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(more, ITEMS), short_items=True)
+    assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in out.collect()) == sorted(want)
+    assert {(200, 100), (200, 101), (200, 102), (203, 103), (204, 100)} <= {r[:2] for r in want} and (201, 100) not in {r[:2] for r in want}
