@@ -296,6 +296,9 @@ def search_cell(percent: int) -> Callable:
     """Links inside one cell: each linked class with a root of its part and how many texts it links to."""
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
+        # Blocks of a group may be empty: the other one has its own cell for the links inside it.
+        if table.column("crosses")[0].as_py() and len(np.unique(side)) < 2:
+            return table.select(["cls", "cls", "copies"]).slice(0, 0).rename_columns(["cls", "root", "links"])
         cls, copies = table.column("cls").to_numpy(), table.column("copies").to_numpy()
         raw = table.column("shingles").to_pylist()
         _, once = np.unique(np.stack([side, cls], 1), axis=0, return_index=True) if len(cls) else (None, np.zeros(0, np.int64))
@@ -405,10 +408,10 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         "cls",
         F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(small))))
         .otherwise(F.concat_ws(":", F.col("root"), F.least("own", "with"), F.greatest("own", "with"))).alias("cell"),
-        (F.col("own") > F.col("with")).cast("int").alias("side"),
+        (F.col("own") > F.col("with")).cast("int").alias("side"), (F.col("own") != F.col("with")).alias("crosses"),
     )
     linked = scratch.keep(
-        cells.join(sets, "cls").select("cell", "side", "cls", "copies", "shingles")
+        cells.join(sets, "cls").select("cell", "side", "crosses", "cls", "copies", "shingles")
         .groupBy("cell").applyInArrow(search_cell(percent), "cls long, root long, links long")
     )
     parts = connected_components(linked.select(F.col("cls").alias("a"), F.col("root").alias("b")), scratch)

@@ -48,6 +48,16 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert run(spark, rows) == brute.jaccard_classes(rows)
 
 
+def test_empty_blocks_of_few_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 60)
+    rows = []
+    for group in range(12):
+        words = [f"g{group}w{i}" for i in range(100)]
+        for copy in range(2 + group % 2):
+            rows.append((len(rows), " ".join([*words, *["x", "y", "z"][:copy]])))
+    assert run(spark, rows) == brute.jaccard_classes(rows)
+
+
 def test_null_keys_repeated_rows_and_no_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (7, "A b c d e f"), (9, "z")]
     assert run(spark, rows) == brute.jaccard_classes(rows)
