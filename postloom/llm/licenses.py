@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,39 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
 
+#: Headings that short licence texts are given with.  Lines such as "All rights reserved." stand below some.
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "All rights reserved.", "BSD 2-Clause License\nAll rights reserved."),
+    "BSD-3-Clause": ("BSD 3-Clause License", "All rights reserved.", "BSD 3-Clause License\nAll rights reserved."),
+}
+#: Entire licence texts, one file per licence.
+TEXTS = Path(__file__).with_name("license_texts")
+#: Whatever follows this line of a licence tells how to apply it.
+_LAST_LINE = "END OF TERMS AND CONDITIONS"
+
+
+def entire_texts() -> list[tuple[str, str]]:
+    """(license, text) of the licence files, and also without what follows the end of their terms.
+
+    A heading such as "BSD 3-Clause License" above a text makes the notice one of several
+    paragraphs; for that, short licences are listed under their usual headings, too.
+    """
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        head, end, _ = text.partition(_LAST_LINE)
+        out += [(path.stem, text), *([(path.stem, head), (path.stem, head + end)] if end else [])]
+        out += [(path.stem, f"{title}\n{text}") for title in HEADINGS.get(path.stem, ())]
+    return out + [(name, f"{title}\n{text}") for name, text in KNOWN for title in HEADINGS.get(name, ()) if len(text) > 500]
+
 
 def _lines(text: Column) -> Column:
     """The lines in lower case, without ASCII signs and outer blanks, and without copyright lines."""
     plain = F.regexp_replace(F.lower(text), r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+", " ")
     kept = F.filter(F.split(plain, "\n"), lambda x: ~F.regexp_like(x, F.lit("^ *(copyright|©|c copyright|c [0-9]{4})")))
-    return F.transform(kept, F.trim)
+    # Not F.trim itself: with two parameters it would get the line's number as the signs to trim.
+    return F.transform(kept, lambda x: F.trim(x))
 
 
 def _spelled(text: Column) -> Column:

@@ -10,7 +10,7 @@ from postloom.llm.chat import ASSISTANT, END, PART_TURNS, SYSTEM, USER, rotate_p
 from postloom.llm.decontaminate import contaminated
 from postloom.llm.jaccard_join import jaccard_classes
 from postloom.llm.language import fit_languages, load_pieces, predict_language
-from postloom.llm.licenses import KNOWN, SPELLINGS, scan_licenses
+from postloom.llm.licenses import KNOWN, SPELLINGS, entire_texts, scan_licenses
 from postloom.llm.mixing import systematic_mix
 from postloom.llm.pii import KINDS, count_kind, find_pii, fit_pii, joined
 from postloom.llm.quality import fit_quality, judge_quality
@@ -240,7 +240,7 @@ select doc_id, license, ['line', 'paragraph', 'text'][max(level) + 1] as level,
 @query("op9_license_scan", OP9_SQL)
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that documents, their paragraphs or lines are."""
-    known = spark.createDataFrame(KNOWN, "license string, license_text string")
+    known = spark.createDataFrame([*KNOWN, *entire_texts()], "license string, license_text string")
     return scan_licenses(table(spark, sf_dir, "documents"), known)
 
 

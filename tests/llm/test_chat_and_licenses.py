@@ -5,7 +5,8 @@ from llm import brute
 
 from postloom.llm import chat
 from postloom.llm.chat import rotate_perspectives
-from postloom.llm.licenses import KNOWN, scan_licenses
+from postloom.llm.licenses import KNOWN, TEXTS, entire_texts, scan_licenses
+from postloom.llm.queries import QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string"
 ROWS = [
@@ -59,3 +60,17 @@ def test_licenses_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "Released under the MIT License.")], "doc_id int, text string")
     out = scan_licenses(df, spark.createDataFrame(KNOWN, "license string, license_text string")).collect()
     assert [tuple(r) for r in out] == [(1, "MIT", "text", 2)]
+
+
+def test_entire_texts_of_the_query(spark, tmp_path):
+    names = sorted(p.stem for p in TEXTS.glob("*.txt"))
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0"} <= set(names)
+    whole = [(TEXTS / f"{n}.txt").read_text(encoding="utf-8") for n in names]
+    apache, bsd = whole[names.index("Apache-2.0")], whole[names.index("BSD-3-Clause")]
+    cut = apache[:apache.index("END OF TERMS")]
+    texts = [*whole, cut, "BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\nAll rights reserved.\n\n" + bsd.replace("\n   ", " "), apache.replace("royalty", "fee"), bsd + "more words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.doc_id, r.license) for r in QUERIES["op9_license_scan"](spark, str(tmp_path)).collect() if r.level == "text")
+    n = len(names)
+    assert found == [*enumerate(names), (n, "Apache-2.0"), (n + 1, "BSD-3-Clause")]
+    assert {i for i, _ in entire_texts()} >= set(names)
