@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from postloom.llm.byte_bpe import bpe_decode, bpe_encode, count_ids, load_vocabulary
 from postloom.llm.chat import ASSISTANT, END, PART_TURNS, SYSTEM, USER, rotate_perspectives
 from postloom.llm.decontaminate import contaminated
 from postloom.llm.jaccard_join import jaccard_classes
@@ -255,6 +257,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
+# --- 12: byte-level BPE --------------------------------------------------------------
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document, decode the ids again, and digest both."""
+    words = load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words), words)
+    return coded.select(
+        "doc_id", count_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
