@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -14,6 +14,7 @@ from postloom.llm.jaccard_join import jaccard_classes
 from postloom.llm.language import fit_languages, load_pieces, predict_language
 from postloom.llm.licenses import KNOWN, SPELLINGS, entire_texts, scan_licenses
 from postloom.llm.mixing import systematic_mix
+from postloom.llm.periodic_runs import find_periodic_runs
 from postloom.llm.pii import KINDS, count_kind, find_pii, fit_pii, joined
 from postloom.llm.quality import fit_quality, judge_quality
 from postloom.llm.scratch import broadcast_if_small
@@ -270,6 +271,66 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 13: periodic runs ---------------------------------------------------------------
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _crc32_sql(number: str) -> str:
+    codes = f"list_transform(string_split({number}::varchar, ''), lambda c: ascii(c)::bigint)"
+    byte = "list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, b: {byte}), 4294967295)"
+
+
+OP13_SQL = f"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') ws, coalesce({_crc32_sql("doc_id")}, 1) h from documents),
+n as (select *, len(ws) n, h // 10 g from d),
+a as (select *, case when h % 10 = 0 and n > 0 then g % n else n end a from n),
+p as (select *, 1 + (n - a) // (3 + g % 8) p from a),
+w as (select r, n, i, ws[case when i < a then i else a + (i - a) % p end + 1] w from (select *, unnest(range(n)) i from p)),
+pair as (
+  select x.r, x.i, y.i - x.i q from w x join w y on x.r = y.r and x.w = y.w and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+run as (
+  select r, min(i) s, count(*) + q l, q from (select *, i - row_number() over (partition by r, q order by i) island from pair)
+  group by r, q, island having count(*) + q >= greatest(6, 4 * q)
+  qualify q = min(q) over (partition by r, min(i), count(*) + q)),
+best as (
+  select r, count(*) n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) listed,
+    min_by(struct_pack(s := s, l := l, q := q), struct_pack(l := -l, s := s, q := q)) b from run group by r),
+kept as (select w.r, string_agg(w.w, ' ' order by w.i) words from w left join run on run.r = w.r and w.i >= s + q and w.i < s + l where run.r is null group by w.r)
+select doc_id, coalesce(n_runs, 0) n_runs, b.s start, b.l length, b.q period, 1000 * b.l // b.q exponent_milli,
+  sha256(coalesce(listed, '')) runs_sha256, sha256(coalesce(words, '')) collapsed_sha256
+from d left join best using (r) left join kept using (r)
+"""
+
+
+def _with_period(doc_id: Column, text: Column) -> Column:
+    """The text whose words repeat from some place on, for a tenth of all documents."""
+    h = F.crc32(doc_id.cast("string"))
+    words = F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))
+    n, g = F.size(words), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    periodic = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n), " ")
+    return F.when((h % 10 == 0) & (n > 0), periodic).otherwise(text)
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of which are made periodic first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_period(F.col("doc_id"), F.col("text")).alias("text"))
+    found = find_periodic_runs(docs)
+    ordered = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", F.array_max(ordered))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

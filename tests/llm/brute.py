@@ -203,3 +203,26 @@ def rotate(turns, context=("system",)):
                 text += "\n"
             out[conv, speaker] = (text, spans)
     return out
+
+
+def smallest_period(words):
+    return next(q for q in range(1, len(words) + 1) if all(words[i] == words[i + q] for i in range(len(words) - q)))
+
+
+def periodic_runs(text, exponent=4, shortest=6):
+    """(runs by start and period, collapsed text), from the definition."""
+    words = WORD.findall(text or "")
+    runs = []
+    for q in range(1, len(words) // exponent + 1):
+        start = 0
+        while start + q < len(words):
+            end = start
+            while end + q < len(words) and words[end] == words[end + q]:
+                end += 1
+            length = end - start + q
+            if end > start and length >= max(shortest, exponent * q) and smallest_period(words[start:end + q]) == q:
+                runs.append((start, length, q))
+            start = end + 1
+    runs.sort(key=lambda r: (r[0], r[2]))
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return runs, " ".join(w for i, w in enumerate(words) if i not in gone)
