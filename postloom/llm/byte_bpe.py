@@ -10,26 +10,34 @@ A match of n bytes costs O(n log n), however long it is.
 Short matches are merged many at a time: all their trees are rows of one array, and a step makes the
 next merge of each.  Long ones, which are rare, are merged one by one.
 
-Texts are cut before they are matched where no match can cross (in front of white space that follows
-something else), so memory follows the piece and the ids.  Results of matches are remembered in a
-table of bounded size per Python worker, which is emptied when full; it changes the time only.
+Patterns are those whose matches hold white space at their beginning or consist of it, as the public
+ones' do.  So no match reaches over a place in front of white space that follows something else; long
+texts are cut there, and memory follows the part and the ids.  Matches are remembered with their ids
+in a table of bounded size per Python worker, which is emptied when full; it changes the time only.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-#: Characters matched at once, matches remembered per worker, and cells of trees held at once.
-CUT, MEMORY, CELLS = 1 << 20, 1 << 19, 1 << 20
+from postloom.llm.wordhash import flat, slices
+
+#: Characters matched at once, matches remembered per worker, the longest of them, and cells of trees held at once.
+CUT, MEMORY, LONGEST, CELLS = 1 << 20, 1 << 19, 64, 1 << 17
+#: The characters that Unicode calls white space.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_gap = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
 #: Leaves of trees that are worked side by side; a longer match has a tree of its own.
 WIDTHS = (8, 16, 32, 64)
 _known: dict[tuple, dict[str, bytes]] = {}
@@ -113,18 +121,14 @@ def merge_ranks(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[in
 
 
 def cuts(text: str, size: int | None = None) -> Iterator[str]:
-    """The text in parts of about ``size`` characters; no match reaches over their ends.
-
-    A part ends in front of white space that follows something else: a match that holds white space
-    begins with it or consists of it, and looks at nothing behind it but one more character.
-    """
+    """The text in parts of about ``size`` characters; no match reaches over their ends."""
     size, at = size or CUT, 0
     while len(text) - at > size:
-        upto = at + size
-        while upto < len(text) and not (text[upto].isspace() and not text[upto - 1].isspace()):
-            upto += 1
-        yield text[at:upto]
-        at = upto
+        gap = _gap.search(text, at + size)
+        if gap is None:
+            break
+        yield text[at:gap.start()]
+        at = gap.start()
     yield text[at:]
 
 
@@ -191,8 +195,9 @@ def merge_many(pieces: list[bytes], pairs: Pairs, width: int) -> list[bytes]:
     before = np.tile(np.arange(-1, width - 1, dtype=np.int64), n)
     nothing = none << levels
     leaves = np.full((n, width), nothing, np.int64)
-    made = pairs.of(token[:, :-1].ravel(), token[:, 1:].ravel()).reshape(n, width - 1)
-    leaves[:, :-1] = np.where(made < none, made << levels | np.arange(width - 1), nothing)
+    row, place = np.nonzero(inside[:, :-1] & inside[:, 1:])
+    made = pairs.of(token[row, place], token[row, place + 1])
+    leaves[row, place] = np.where(made < none, made << levels | place, nothing)
     tree = np.empty((n, 2 * width), np.int64)
     tree[:, width:] = leaves
     at = width
@@ -238,9 +243,10 @@ def merge_many(pieces: list[bytes], pairs: Pairs, width: int) -> list[bytes]:
     return [packed[a:b] for a, b in zip((ends - counts * 4).tolist(), ends.tolist())]
 
 
-def encode_matches(matches: list[str], ranks: dict[bytes, int], pairs: Pairs) -> dict[str, bytes]:
+def encode_matches(matches: Iterable[str], ranks: dict[bytes, int], pairs: Pairs) -> dict[str, bytes]:
     """Packed ids of different matches."""
-    known, short = {}, {w: [] for w in WIDTHS}
+    known, groups = {}, {w: ([], []) for w in WIDTHS}
+    short = [groups[next(w for w in WIDTHS if n + 2 <= w)] for n in range(WIDTHS[-1] - 1)]
     for match in matches:
         piece = match.encode()
         whole = ranks.get(piece)
@@ -249,12 +255,13 @@ def encode_matches(matches: list[str], ranks: dict[bytes, int], pairs: Pairs) ->
         elif len(piece) + 2 > WIDTHS[-1]:
             known[match] = np.array(merge_ranks(piece, ranks.get), "<u4").tobytes()
         else:
-            short[next(w for w in WIDTHS if len(piece) + 2 <= w)].append((match, piece))
-    for width, found in short.items():
+            names, pieces = short[len(piece)]
+            names.append(match)
+            pieces.append(piece)
+    for width, (names, pieces) in groups.items():
         step = CELLS // (2 * width)
-        for at in range(0, len(found), step):
-            names, pieces = zip(*found[at:at + step])
-            known.update(zip(names, merge_many(list(pieces), pairs, width)))
+        for at in range(0, len(names), step):
+            known.update(zip(names[at:at + step], merge_many(pieces[at:at + step], pairs, width)))
     return known
 
 
@@ -274,6 +281,8 @@ def encoder(ranks: dict[bytes, int], pattern: str, name: str, memory: int = MEMO
             new = wanted
         known.update(encode_matches(new, ranks, pairs))
         ids = [b"".join(map(known.__getitem__, matches)) for matches in found]
+        for long in [m for m in new if len(m) > LONGEST]:
+            del known[long]
         if len(known) > memory:
             known.clear()
         return ids
@@ -302,6 +311,32 @@ def encoder(ranks: dict[bytes, int], pattern: str, name: str, memory: int = MEMO
     return encode
 
 
+def decode_ids(packed: pa.Array, ranks: dict[bytes, int]) -> pa.Array:
+    """The bytes of every row of packed ids; about ``CUT`` ids (or one longer row) are worked at a time."""
+    tokens = sorted(ranks, key=ranks.get)
+    known = np.array([ranks[t] for t in tokens], np.uint32)
+    dense = int(known[-1]) == len(known) - 1
+    sizes = np.array([len(t) for t in tokens])
+    begins = np.cumsum(sizes) - sizes
+    vocabulary = np.frombuffer(b"".join(tokens), np.uint8)
+    parts = []
+    for _, part in slices(packed, 4 * CUT):
+        data, offsets = flat(part)
+        if (offsets % 4).any():
+            raise ValueError("packed ids of a length that no whole number of ids has")
+        ids = np.frombuffer(data.tobytes(), "<u4")
+        token = ids if dense else np.searchsorted(known, ids)
+        bad = token >= len(known) if dense else known[np.minimum(token, len(known) - 1)] != ids
+        if bad.any():
+            raise ValueError(f"ids without a token: {ids[bad][:5].tolist()}")
+        size = sizes[token]
+        ends = np.r_[0, np.cumsum(size)]
+        out = vocabulary[np.arange(ends[-1]) + np.repeat(begins[token] - ends[:-1], size)]
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends[offsets // 4]), pa.py_buffer(out)]).cast(pa.binary())
+        parts.append(pc.if_else(part.is_valid(), whole, pa.scalar(None, pa.binary())) if part.null_count else whole)
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
 def bpe_encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the token ids of every whole text in a binary column ``out``.
 
@@ -329,9 +364,7 @@ def bpe_decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: s
 
     @F.arrow_udf(BinaryType())
     def decode(packed: pa.Array) -> pa.Array:
-        token_of = {rank: token for token, rank in ranks.items()}.__getitem__
-        ids = (p.as_py() for p in packed)
-        return pa.array((None if p is None else b"".join(map(token_of, np.frombuffer(p, "<u4").tolist())) for p in ids), pa.binary())
+        return decode_ids(packed, ranks)
 
     return rows.withColumn(out, decode(F.col(f"`{ids}`")))
 
