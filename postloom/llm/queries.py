@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from postloom.llm.byte_bpe import bpe_decode, bpe_encode, count_ids, load_vocabulary
 from postloom.llm.chat import ASSISTANT, END, PART_TURNS, SYSTEM, USER, rotate_perspectives
+from postloom.llm.conversation_trie import number_turns, prefix_trie
 from postloom.llm.decontaminate import contaminated
 from postloom.llm.jaccard_join import jaccard_classes
 from postloom.llm.language import fit_languages, load_pieces, predict_language
@@ -17,7 +18,7 @@ from postloom.llm.mixing import systematic_mix
 from postloom.llm.periodic_runs import find_periodic_runs
 from postloom.llm.pii import KINDS, count_kind, find_pii, fit_pii, joined
 from postloom.llm.quality import fit_quality, judge_quality
-from postloom.llm.scratch import broadcast_if_small
+from postloom.llm.scratch import Scratch, broadcast_if_small
 from postloom.llm.unit_dedup import dedup_units
 from postloom.llm.url_filter import filter_urls, host_of, path_of
 
@@ -258,6 +259,73 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
+# --- 11: conversation prefix trie ----------------------------------------------------
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _crc32_sql(number: str) -> str:
+    codes = f"list_transform(string_split({number}::varchar, ''), lambda c: ascii(c)::bigint)"
+    byte = "list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, b: {byte}), 4294967295)"
+
+
+OP11_SQL = f"""
+with said as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as said from conversations where conv_id is not null),
+hashed as (select *, sha256(length(role) || ':' || role || said) t, len(regexp_extract_all(said, '{_WORDS}')) words from said),
+own as (select conv_id, t, words, row_number() over (partition by conv_id order by turn nulls first, left(role || chr(1) || said, 64), t) place from hashed),
+info as (select conv_id, {_crc32_sql("conv_id")} % 4 h, conv_id - conv_id % 20 base from (select distinct conv_id from own)),
+head as (select i.conv_id, o.place depth, o.t, o.words from info i join own o on o.conv_id = i.base and o.place <= i.h),
+taken as (select conv_id, count(*) n from head group by 1),
+rebuilt as (
+  select * from head union all
+  select conv_id, place - h + coalesce(n, 0), t, words from own join info using (conv_id) left join taken using (conv_id) where place > h),
+path as (
+  select conv_id, depth, words, string_agg(t, '/') over (partition by conv_id order by depth) p from rebuilt
+  union all select conv_id, 0, 0, '' from info),
+node as (select depth, p, min(conv_id) c, count(*) n, any_value(words) words from path group by 1, 2),
+edge as (
+  select distinct a.depth, a.p, b.p child, b.depth child_depth from path a join path b on a.conv_id = b.conv_id and b.depth = a.depth + 1),
+kids as (select depth, p, count(*) n from edge group by 1, 2),
+below as (select distinct a.depth, a.p, b.depth bd, b.p bp from path a join path b on a.conv_id = b.conv_id and b.depth >= a.depth),
+total as (
+  select b.depth, b.p, count(*) filter (k.n is null) leaves, sum((u.n - 1) * u.words) saved
+  from below b join node u on u.depth = bd and u.p = bp left join kids k on k.depth = bd and k.p = bp group by 1, 2),
+ends as (
+  select depth, p, string_agg(conv_id::varchar, ',' order by conv_id) ids
+  from (select conv_id, depth, p from path qualify depth = max(depth) over (partition by conv_id)) group by 1, 2)
+select n.c conv_id, n.depth::bigint as depth, par.c parent_conv_id, n.n n_convs, coalesce(k.n, 0) n_children, t.leaves n_leaves,
+  t.saved::bigint saved_tokens, sha256(coalesce(e.ids, '')) ends_sha256
+from node n join total t using (depth, p) left join kids k using (depth, p) left join ends e using (depth, p)
+left join edge up on up.child_depth = n.depth and up.child = n.p left join node par on par.depth = up.depth and par.p = up.p
+"""
+
+
+def _rebuilt(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (conv_id, depth, turn_hash, words) of every conversation after the first turns that its family
+    shares, and all conversations."""
+    conv, h = F.col("conv_id"), F.crc32(F.col("conv_id").cast("string")) % 4
+    held = numbered.groupBy("_part", "conv_id").agg(F.max("place").alias("last"))  # a long conversation has a row per part
+    info = held.groupBy("conv_id").agg(F.max("last").alias("n")).select("conv_id", h.alias("h"), (conv - conv % 20).alias("base"), "n")
+    sizes = info.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
+    info = info.join(sizes, "base", "left").withColumn("taken", F.least("h", F.coalesce("base_n", F.lit(0))))
+    shared = numbered.where("place <= 3 and conv_id % 20 = 0").select(F.col("conv_id").alias("base"), "place", "turn_hash", "words")
+    head = info.join(shared, "base").where("place <= h").select("conv_id", F.col("place").alias("depth"), "turn_hash", "words")
+    by_part = held.select("_part", "conv_id").join(info.select("conv_id", "h", "taken"), "conv_id")
+    own = numbered.join(by_part, ["_part", "conv_id"]).where("place > h")
+    own = own.select("conv_id", (F.col("place") - F.col("h") + F.col("taken")).alias("depth"), "turn_hash", "words")
+    return head.unionAll(own), info.select("conv_id")
+
+
+@query("op11_conversation_trie", OP11_SQL)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with the first turns of its family."""
+    scratch = Scratch(spark)
+    numbered = number_turns(table(spark, sf_dir, "conversations"), scratch)
+    turns, members = _rebuilt(numbered)
+    return prefix_trie(turns, members, scratch)
+
+
 # --- 12: byte-level BPE --------------------------------------------------------------
 
 
@@ -273,15 +341,6 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 13: periodic runs ---------------------------------------------------------------
 
-_WORDS = r"[^\x20\x09-\x0D]+"
-
-
-def _crc32_sql(number: str) -> str:
-    codes = f"list_transform(string_split({number}::varchar, ''), lambda c: ascii(c)::bigint)"
-    byte = "list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
-    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, b: {byte}), 4294967295)"
-
-
 OP13_SQL = f"""
 with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') ws, coalesce({_crc32_sql("doc_id")}, 1) h from documents),
 n as (select *, len(ws) n, h // 10 g from d),

@@ -1,5 +1,6 @@
 """Plain Python versions of the operators, for small tables."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -226,3 +227,51 @@ def periodic_runs(text, exponent=4, shortest=6):
     runs.sort(key=lambda r: (r[0], r[2]))
     gone = {i for s, n, q in runs for i in range(s + q, s + n)}
     return runs, " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def trie(sequences):
+    """sequences: {conv_id: [(turn, words)]}.  Sorted rows of every prefix, subtree sums by walking all nodes."""
+    import hashlib
+
+    members = defaultdict(list)
+    words = {}
+    for conv, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            node = tuple(t for t, _ in turns[:d])
+            members[node].append(conv)
+            words[node] = turns[d - 1][1] if d else 0
+    kids = defaultdict(set)
+    for node in members:
+        if node:
+            kids[node[:-1]].add(node)
+    sums = {}
+    for node in sorted(members, key=len, reverse=True):
+        below = [sums[k] for k in kids[node]]
+        sums[node] = (sum(x for x, _ in below) or 1, (len(members[node]) - 1) * words[node] + sum(x for _, x in below))
+    ends = defaultdict(list)
+    for conv, turns in sequences.items():
+        ends[tuple(t for t, _ in turns)].append(conv)
+    rows = []
+    for node, convs in members.items():
+        digest = hashlib.sha256(",".join(map(str, sorted(ends[node]))).encode()).hexdigest()
+        rows.append((min(convs), len(node), min(members[node[:-1]]) if node else None, len(convs), len(kids[node]), *sums[node], digest))
+    return sorted(rows, key=str)
+
+
+def turns_in_order(rows):
+    """rows: (conv_id, turn, role, text) -> {conv_id: [((role, text), words)]}."""
+    out = defaultdict(list)
+    for conv, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0, ((r[2] or "") + "\x01" + (r[3] or ""))[:64])):
+        out[conv].append(((role or "", text or ""), len(WORD.findall(text or ""))))
+    return dict(out)
+
+
+def families(sequences):
+    """Every conversation with the first turns of its family, as the query rebuilds them."""
+    import zlib
+
+    out = {}
+    for conv, turns in sequences.items():
+        h = zlib.crc32(str(conv).encode()) % 4
+        out[conv] = sequences.get(conv - int(math.fmod(conv, 20)), [])[:h] + turns[h:]
+    return out
