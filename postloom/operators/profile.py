@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.operators.quantiles import quantiles
 
 def profile_nulls(df: DataFrame) -> DataFrame:
     """One row per column: name, type, null count and row count, from one scan."""
@@ -56,8 +57,12 @@ def frequency_shape(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sample std, min, quartiles (interpolated) and max per column."""
-    names = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    """count, mean, sample std, min, quartiles (interpolated) and max per column.
+
+    Quartiles are exact; they are found by counters in a few passes (see ``quantiles``), so that no
+    task holds the values of a column.  The passes run when this is called.
+    """
+    names = ["count", "mean", "std", "min", "max"]
     aggregates = []
     for i, c in enumerate(columns):
         aggregates += [
@@ -65,20 +70,17 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
             F.avg(c).alias(f"{i}_mean"),
             F.stddev(c).alias(f"{i}_std"),
             F.min(c).cast("double").alias(f"{i}_min"),
-            F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{i}_q"),
             F.max(c).cast("double").alias(f"{i}_max"),
         ]
     row = df.agg(*aggregates)
+    found = quantiles(df, columns, [0.25, 0.5, 0.75])
 
-    def cell(i, name):
-        if name.startswith("q"):
-            return F.col(f"{i}_q")[["q25", "q50", "q75"].index(name)]
-        return F.col(f"{i}_{name}")
+    def cells(i, c):
+        cell = {n: F.col(f"{i}_{n}") for n in names}
+        quartiles = {n: F.lit(q).cast("double") for n, q in zip(("q25", "q50", "q75"), found[c])}
+        return [x.alias(n) for n, x in {**{n: cell[n] for n in names[:4]}, **quartiles, "max": cell["max"]}.items()]
 
-    items = [
-        F.struct(F.lit(c).alias("column"), *[cell(i, n).alias(n) for n in names])
-        for i, c in enumerate(columns)
-    ]
+    items = [F.struct(F.lit(c).alias("column"), *cells(i, c)) for i, c in enumerate(columns)]
     return row.select(F.explode(F.array(*items)).alias("item")).select("item.*")
 
 
