@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from postloom.operators.descent import descend
 from postloom.operators.knn import knn_join
 from postloom.operators.lineage import cut_lineage
 from postloom.operators.pruned import knn_join_pruned
@@ -29,12 +30,21 @@ def knn_graph(
     vec: str = "v",
     by: str | None = None,
     cells: int | None = None,
+    method: str = "exact",
 ) -> DataFrame:
-    """(src, dst, rank, dist): the nearest other rows of every row, exact.
+    """(src, dst, rank, dist): the nearest other rows of every row.
 
-    ``by`` limits the graph to groups, such as clusters; without it the search over the whole
-    table is pruned (see ``pruned``), in ``cells`` parts.
+    ``method`` "exact": ``by`` limits the graph to groups, such as clusters; without it the search
+    over the whole table is pruned (see ``pruned``), in ``cells`` parts.  Vectors without structure
+    cannot be pruned and cost n² distances; "descent" bounds the distances per row instead (see
+    ``descent``) and misses some neighbours: ``graph_recall`` tells how many.
     """
+    if method == "descent":
+        if by is not None:
+            raise ValueError("descent is over the whole table")
+        return descend(df, n_neighbors, key, vec).graph
+    if method != "exact":
+        raise ValueError(f"unknown method {method!r}; choose exact or descent")
     if by is None:
         near = knn_join_pruned(df, df, n_neighbors, key, vec, exclude_self=True, cells=cells)
     else:

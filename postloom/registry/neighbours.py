@@ -327,3 +327,9 @@ def knn_graph_pruned(spark, sf_dir):
     near = knn_join_pruned(rows, rows, 27, exclude_self=True, cells=32, worth_share=1.0)
     return near.select(F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"), "rank",
                        r6(F.sqrt("sq_dist")).alias("dist"))
+
+
+@query("knn_graph_descent")
+def knn_graph_descent(spark, sf_dir):
+    """The same graph by neighbour descent: a bounded number of distances per row, most neighbours found."""
+    return knn_graph(emb(spark, sf_dir), method="descent").withColumn("dist", r6("dist"))
