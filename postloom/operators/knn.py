@@ -128,12 +128,14 @@ def knn_join(
     carry: Sequence[str] = ("subcategory",),
     exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS,
+    prune: bool = True,
 ) -> DataFrame:
     """(by..., query_id, rank, neighbor_id, sq_dist, carry...).
 
     Fewer than ``k`` rows come back where the group is smaller; a query whose group has no
     base rows has none.  Vectors that are null or not finite are no neighbours and find none
-    (``rejected`` lists them); different widths are an error.  ``carry`` are base columns to bring along.  With ``exclude_self``
+    (``rejected`` lists them); different widths are an error.  With ``prune`` a group that needs several
+    blocks is searched through cells of its own where that saves work (see ``pruned``).  ``carry`` are base columns to bring along.  With ``exclude_self``
     a base row with the query's key is not a neighbour.
     """
     by = [by] if isinstance(by, str) else list(by or [])
@@ -152,6 +154,12 @@ def knn_join(
     b = base.where(usable).select(*groups, F.col(key).alias("neighbor_id"), F.col(vec).alias("v"), *carry)
 
     crowd = crowded_groups(block_rows, by, base=b, query=q)
+    if prune and not everywhere and crowd["base"] is not None:
+        from postloom.operators.pruned import knn_join_in_cells
+
+        found = knn_join_in_cells(q, b, crowd["base"], k, by, carry, exclude_self, block_rows)
+        if found is not None:
+            return found
 
     def placed(df, own_key, own, other):
         df = with_block_count(df, crowd["base"], by, "_base_blocks")

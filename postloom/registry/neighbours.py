@@ -11,7 +11,7 @@ from postloom.operators.prototypes import (
     cluster_centroids, cluster_prototypes, label_prototypes, prototype_scores, prototypical_classify,
     routed_search, search_prototypes,
 )
-from postloom.operators.pruned import knn_join_pruned
+from postloom.operators.pruned import knn_join_in_cells, knn_join_pruned
 from postloom.operators.reduce import knn_graph
 from postloom.operators.representatives import group_mean, group_medoid, total_distances
 from postloom.operators.vote import vote_majority, vote_weighted
@@ -71,9 +71,9 @@ def assign_clusters_by_join(spark, sf_dir):
     return found.select("vec_id", "cluster")
 
 
-def neighbours(spark, sf_dir, block_rows=BLOCK_ROWS):
+def neighbours(spark, sf_dir, block_rows=BLOCK_ROWS, prune=True):
     train, test = train_test(spark, sf_dir)
-    return knn_join(test, train, k=5, block_rows=block_rows)
+    return knn_join(test, train, k=5, block_rows=block_rows, prune=prune)
 
 
 _KNN_SQL = "select cluster, query_id, rank, neighbor_id, round(sq_dist, 6) sq_dist, subcategory from knn"
@@ -87,7 +87,18 @@ def knn_topk(spark, sf_dir):
 @query("knn_topk_blocks", _KNN_SQL, _KNN)
 def knn_topk_blocks(spark, sf_dir):
     """The same with groups cut into small blocks, as for hot clusters."""
-    return neighbours(spark, sf_dir, block_rows=20).withColumn("sq_dist", r6("sq_dist"))
+    return neighbours(spark, sf_dir, block_rows=20, prune=False).withColumn("sq_dist", r6("sq_dist"))
+
+
+@query("knn_topk_cells", _KNN_SQL, _KNN)
+def knn_topk_cells(spark, sf_dir):
+    """The same through cells inside of crowded clusters, whatever they save."""
+    train, test = train_test(spark, sf_dir)
+    q = test.select("cluster", F.col("vec_id").alias("query_id"), "v")
+    b = train.select("cluster", F.col("vec_id").alias("neighbor_id"), "v", "subcategory")
+    crowded = train.groupBy("cluster").agg(F.ceil(F.count("*") / 20).cast("int").alias("_base_blocks")).where("_base_blocks > 1")
+    near = knn_join_in_cells(q, b, crowded, 5, ["cluster"], ["subcategory"], False, 20, worth_share=1.0)
+    return near.withColumn("sq_dist", r6("sq_dist"))
 
 
 _BAD = "vec_id % 17 = 0"

@@ -178,3 +178,39 @@ def test_exact_mode_is_unchanged(spark):
 
 def test_moments_of_nothing():
     assert lower_totals(np.ones((2, 3)), [Moments.of(np.zeros((0, 3)), np.zeros(0), np.zeros(3))]).tolist() == [0, 0]
+
+
+# --- cells inside of groups ----------------------------------------------------------
+
+
+def test_a_crowded_cluster_does_not_meet_itself_whole(spark, monkeypatch):
+    """One cluster holds half the rows and has structure of its own; a third of it are copies of one vector."""
+    from postloom.operators import knn as kn
+
+    rng = np.random.default_rng(6)
+    blobs = 30 * rng.normal(size=(40, 8))[rng.integers(0, 40, 1400)] + rng.normal(size=(1400, 8))
+    matrix = np.vstack([blobs, np.repeat(blobs[:1], 600, axis=0), rng.normal(size=(2000, 8))])
+    cluster = [7] * 2000 + [i % 10 - 12 for i in range(2000)]
+    base = vectors(spark, matrix, cluster=cluster, subcategory=[i % 5 for i in range(4000)]).repartition(4)
+    some = base.where("vec_id % 5 = 0")
+    met = []
+    plain = kn.crowded_groups
+
+    def watched(rows, by, **sides):
+        if "_cell" in by:
+            n = {s: {tuple(r[:-1]): r[-1] for r in d.groupBy(*by).count().collect()} for s, d in sides.items()}
+            met.append(sum(c * n["query"].get(g, 0) for g, c in n["base"].items() if g[0] == 7))
+        return plain(rows, by, **sides)
+
+    monkeypatch.setattr(kn, "crowded_groups", watched)
+    pick = lambda df: sorted(tuple(r) for r in df.select("query_id", "rank", "neighbor_id", "subcategory", F.round("sq_dist", 9)).collect())
+    got = pick(knn_join(some, base, k=4, block_rows=300, exclude_self=True))
+    assert got == pick(knn_join(some, base, k=4, block_rows=300, exclude_self=True, prune=False))
+    assert len(met) == 1 and met[0] < 0.45 * 400 * 2000
+    assert got == pick(knn_join(some.repartition(3), base.repartition(9), k=4, exclude_self=True))
+
+
+def test_a_crowded_cluster_without_structure_keeps_its_blocks(spark):
+    base = vectors(spark, np.random.default_rng(0).normal(size=(400, 40)), cluster=[1] * 400, subcategory=[0] * 400)
+    near = knn_join(base, base, k=2, block_rows=50, exclude_self=True)
+    assert "_cell" not in near._jdf.queryExecution().analyzed().toString() and near.count() == 800
