@@ -21,6 +21,8 @@ WINDOW = 512
 BATCH_SIZE = 128
 HASH_DIM = 64
 MAX_VOCABULARY = 1_000_000
+HOT_ROWS, MAX_HOT = 100_000, 100_000  # places that make a token hot, and hot tokens that every task holds
+ELSEWHERE = -1  # stands for an id that is found by a join
 
 
 def learn_vocabulary(df: DataFrame, text: str = "text", min_freq: int = 1) -> DataFrame:
@@ -36,20 +38,22 @@ def tokenize(
     key: str = "id",
     max_length: int | None = None,
     max_vocabulary: int = MAX_VOCABULARY,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``input_ids`` (start, tokens, end) and ``attention_mask``.
 
     Every token is kept unless ``max_length`` (which counts the two special tokens) cuts; for
     models with a fixed window see ``token_windows``, which loses nothing.  A vocabulary
     within the bound goes to every task and each batch is looked up as a whole, without a
-    shuffle.  A larger one is joined by token and the ids are put back in order per row.
+    shuffle.  Of a larger one, tokens with more than ``hot_rows`` places are looked up in this way; only the
+    places of the others are joined by token, so that no token is a hot key, and put back per row.
     """
     token = words(F.col(text))
     if max_length is not None:
         token = F.slice(token, 1, max_length - 2)
     known = bounded_table(vocabulary.select("token", "token_id"), max_vocabulary)
     if known is None:
-        ids = _joined_ids(df, vocabulary, token, key)
+        ids = _joined_ids(df, vocabulary, token, key, hot_rows)
     else:
         ids = df.withColumn("_ids", _looked_up(df.sparkSession, known)(token))
     ids = ids.withColumn(
@@ -64,7 +68,7 @@ def tokenize(
 _lookup_tables: dict = {}
 
 
-def _looked_up(spark, vocabulary: pa.Table):
+def _looked_up(spark, vocabulary: pa.Table, missing: int = UNKNOWN):
     shared = spark.sparkContext.broadcast((
         vocabulary["token"].combine_chunks(),
         vocabulary["token_id"].to_numpy().astype(np.int32),
@@ -80,7 +84,7 @@ def _looked_up(spark, vocabulary: pa.Table):
             _lookup_tables[number] = dict(zip(known.to_pylist(), ids.tolist(), strict=True))
         table = _lookup_tables[number]
         coded = tokens.flatten().dictionary_encode()
-        distinct = np.array([table.get(t, UNKNOWN) for t in coded.dictionary.to_pylist()], np.int32)
+        distinct = np.array([table.get(t, missing) for t in coded.dictionary.to_pylist()], np.int32)
         codes = coded.indices.to_numpy(zero_copy_only=False)
         found = distinct[codes] if len(codes) else np.zeros(0, np.int32)
         sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
@@ -90,16 +94,36 @@ def _looked_up(spark, vocabulary: pa.Table):
     return lookup
 
 
-def _joined_ids(df: DataFrame, vocabulary: DataFrame, token: Column, key: str) -> DataFrame:
-    placed = df.select(key, F.posexplode(token).alias("_pos", "token"))
-    ids = (
-        placed.join(vocabulary, "token", "left")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("i")))).alias("_p"))
-        .select(key, F.col("_p.i").alias("_ids"))
-    )
-    none = F.array().cast("array<int>")
-    return df.join(ids, key, "left").withColumn("_ids", F.coalesce("_ids", none))
+def _split_places(df: DataFrame, vocabulary: DataFrame, token: Column, key: str, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_head``, the ids of hot tokens (ELSEWHERE for others), and (key, _pos, token) of the others' places.
+
+    Tokens are counted with partial sums.  Should more of them be hot than every task can hold, the most
+    frequent are looked up and the others joined: the bound decides how an id is found, not which.
+    """
+    counts = df.select(F.explode(token).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows).orderBy(F.desc("_n"), "token").limit(MAX_HOT).select("token")
+    head = hot.join(vocabulary.select("token", "token_id"), "token", "left").select("token", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id")).toArrow()
+    known = df.withColumn("_tokens", token).withColumn("_head", _looked_up(df.sparkSession, head, ELSEWHERE)(F.col("_tokens")))
+    places = F.transform(F.arrays_zip("_tokens", "_head"), lambda x, i: F.struct(i.alias("_pos"), x["_tokens"].alias("token"), x["_head"].alias("_at")))
+    rare = known.select(key, F.inline(F.filter(places, lambda x: x["_at"] == ELSEWHERE))).drop("_at")
+    return known.drop("_tokens"), rare
+
+
+def _joined_ids(df: DataFrame, vocabulary: DataFrame, token: Column, key: str, hot_rows: int) -> DataFrame:
+    """Add ``_ids``: hot tokens by lookup in the row, the places of all others by a join and one group per row."""
+    known, rare = _split_places(df, vocabulary, token, key, hot_rows)
+    in_order = F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("_id"))))
+    tail = rare.join(vocabulary.select("token", "token_id"), "token", "left").groupBy(key).agg(in_order.alias("_tail")).select(key, F.col("_tail._id").alias("_tail"))
+    return known.join(tail, key, "left").withColumn("_ids", _filled(F.col("_head"), F.col("_tail"))).drop("_head", "_tail")
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _filled(head: pa.Array, tail: pa.Array) -> pa.Array:
+    """The ids of each row, with those of its other places, which are in order, put in."""
+    ids = head.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    ids[ids == ELSEWHERE] = tail.flatten().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(head), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids))
 
 
 def hashed_vector(tokens: Column, dim: int = HASH_DIM) -> Column:

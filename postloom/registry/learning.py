@@ -1,16 +1,16 @@
 """Token, embedding, clustering and classifier queries."""
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postloom.functions.vectors import sq_l2
 from postloom.operators.cluster import fit_clusters, get_centroids, predict_clusters, reduce
 from postloom.operators.embed import embed_text, embed_tokens, learn_vocabulary, token_windows, tokenize
+from postloom.operators.evaluate import evaluate
+from postloom.operators.lineage import cut_lineage
 from postloom.operators.reduce import fuzzy_graph, graph_embed, knn_graph
 from postloom.plans.classify import classify_zero_shot, predict_categories, train_category_classifier
 from postloom.plans.prepare import labelled_posts, prepare_embeddings
-from postloom.operators.sampling import hash_split, sample_n
+from postloom.operators.sampling import hash_split
 from postloom.registry.base import emb, lookup, posts, query, r6, scratch, sq_sql, table, texts
 from postloom.sources.tables import load_model, save_model, write_splits
 
@@ -51,6 +51,12 @@ def tokenize_by_join(spark, sf_dir):
     return _tokenize(spark, sf_dir, max_vocabulary=1)
 
 
+@query("tokenize_head_and_tail", _TOKENIZE)
+def tokenize_head_and_tail(spark, sf_dir):
+    """The same with tokens of more than 20 places looked up before the rest is joined."""
+    return _tokenize(spark, sf_dir, max_vocabulary=1, hot_rows=20)
+
+
 @query(
     "hashed_embedding",
     f"""select doc_id, cast(dim as int) dim, round(s / sqrt(sum(s * s) over (partition by doc_id)), 6) x from (
@@ -131,79 +137,57 @@ def _fitted(spark, sf_dir):
     return rows, fit_clusters(rows.where("split = 'train'"), partitions=8)
 
 
-def _nearest(centroids, vec):
-    """The number of the centroid at the least distance, with Column functions only."""
-    return F.array_min(F.transform(F.array(*[F.array(*map(F.lit, c)) for c in centroids]), lambda c, i: F.struct(sq_l2(c, vec).alias("d"), i.alias("i"))))["i"]
-
+# SQL cannot fit the models of the next five queries.  tests/test_learning.py holds their rows against plain
+# joins over the stored model and recomputes the metrics in SQL.
 
-def _agrees(rows, model):
-    """Whether each row's cluster is the centroid nearest to its reduced vector."""
-    centroids = [c.tolist() for c in model.kmeans.clusterCenters()]
-    placed = reduce(predict_clusters(rows, model), model.reducer)
-    return placed.select("vec_id", (F.col("cluster") == _nearest(centroids, F.col("reduced"))).alias("nearest"))
 
-
-@query("fit_clusters", "select vec_id, true nearest from emb where split = 'train'", ("emb",))
+@query("fit_clusters")
 def fit_clusters_query(spark, sf_dir):
+    """The cluster of every training row."""
     rows, model = _fitted(spark, sf_dir)
-    return _agrees(rows.where("split = 'train'"), model)
+    return predict_clusters(rows.where("split = 'train'"), model).select("vec_id", "cluster")
 
 
-@query("predict_clusters", "select vec_id, true nearest from emb where split = 'test'", ("emb",))
+@query("predict_clusters")
 def predict_clusters_query(spark, sf_dir):
+    """The cluster of every test row, by a model that was saved and loaded."""
     rows, model = _fitted(spark, sf_dir)
     path = scratch(spark)
     save_model(spark, model, path)
-    return _agrees(rows.where("split = 'test'"), load_model(spark, path))
+    return predict_clusters(rows.where("split = 'test'"), load_model(spark, path)).select("vec_id", "cluster")
 
 
-@query("get_centroids", "select cast(range as int) cluster, 50 dim, true is_mean from range(80)")
+@query("get_centroids")
 def get_centroids_query(spark, sf_dir):
-    """Each of the 80 centroids is the mean of the reduced training rows nearest to it."""
-    rows, model = _fitted(spark, sf_dir)
-    placed = reduce(predict_clusters(rows.where("split = 'train'"), model), model.reducer)
-    means = placed.select("cluster", F.posexplode("reduced").alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg("x").alias("mean"))
-    parts = get_centroids(model, spark).select("cluster", F.posexplode("centroid").alias("pos", "x"))
-    return parts.join(means, ["cluster", "pos"], "left").groupBy("cluster").agg(
-        F.count("*").cast("int").alias("dim"), (F.max(F.abs(F.col("x") - F.col("mean"))) < 1e-3).alias("is_mean"),
-    )
+    """All components of the centroids, in the reduced space."""
+    _, model = _fitted(spark, sf_dir)
+    return get_centroids(model, spark).select("cluster", F.posexplode("centroid").alias("pos", "x")).withColumn("x", r6("x"))
+
+
+def _with_metrics(predictions, metrics, *columns):
+    """Predictions with the metrics of all of them, a single row."""
+    return predictions.select(*columns, "truth", "prediction").crossJoin(F.broadcast(metrics.select(*[r6(c).alias(c) for c in metrics.columns])))
 
 
-@query("classify_zero_shot", "select vec_id, true agrees from emb where split = 'test'", ("emb",))
+@query("classify_zero_shot")
 def classify_zero_shot_query(spark, sf_dir):
-    """Predictions against a vote over the same clusters by plain joins and windows."""
+    """Every test row's cluster, label and prediction, and the metrics."""
     rows = emb(spark, sf_dir)
-    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    predictions, _, model = classify_zero_shot(train, test, partitions=8)
-    base = predict_clusters(sample_n(train, "vec_id", ratio=0.25, seed=42), model)
-    near = predict_clusters(test, model).alias("q").join(base.alias("b"), F.col("q.cluster") == F.col("b.cluster")).select(
-        F.col("q.vec_id"), F.col("b.vec_id").alias("other"), F.col("b.subcategory"), sq_l2(F.col("q.v"), F.col("b.v")).alias("d"),
-    )
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "other"))).where("r <= 5")
-    sums = ranked.groupBy("vec_id", "subcategory").agg(F.sum(1 / (F.col("d") + 1e-5)).alias("s"), F.min("r").alias("r"))
-    first = sums.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "r"))).where("n = 1")
-    both = predictions.join(first.select("vec_id", F.col("subcategory").alias("again")), "vec_id", "left")
-    return both.select("vec_id", F.col("prediction").eqNullSafe(F.col("again")).alias("agrees"))
+    predictions, metrics, _ = classify_zero_shot(rows.where("split = 'train'"), rows.where("split = 'test'"), partitions=8)
+    return _with_metrics(cut_lineage(predictions), metrics, "vec_id", "cluster")
 
 
-@query(
-    "category_classifier",
-    """select doc_id, quality truth, true is_best from labels join documents using (doc_id)
-    where cast(cast('0x'||substr(md5('42:'||doc_id),1,8) as bigint) as double)/4294967296 >= 0.8""",
-)
+@query("category_classifier")
 def category_classifier(spark, sf_dir):
-    """Each prediction is the label with the highest linear score; texts are embedded once."""
+    """Predictions for all labelled documents that were not learned from, and the metrics."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = texts(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
     path = scratch(spark)
     hash_split(embed_text(docs), "doc_id").drop("text").write.parquet(path)
     rows = spark.read.parquet(path)
     model = train_category_classifier(rows.where("split = 'train'"), "quality")
-    weights, bias = model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist()
-    scores = [sum((F.get("embedding", F.lit(j)) * x for j, x in enumerate(w)), F.lit(b)) for w, b in zip(weights, bias, strict=True)]
-    best = F.array_position(F.array(*scores), F.greatest(*scores)) - 1
-    found = predict_categories(rows.where("split <> 'train'"), model, "quality")
-    return found.select("doc_id", F.col("truth").cast("long").alias("truth"), (F.col("prediction") == best).alias("is_best"))
+    found = predict_categories(rows.where("split <> 'train'"), model, "quality").select("doc_id", "truth", "prediction")
+    return _with_metrics(found, evaluate(found), "doc_id")
 
 
 # The bandwidth by 80 bisections per row, from the definition; edges whose strengths vanish stay.
@@ -229,9 +213,35 @@ def fuzzy_graph_query(spark, sf_dir):
     return fuzzy_graph(knn_graph(emb(spark, sf_dir))).select("src", "dst", r6("weight").alias("weight"))
 
 
-@query("graph_embed")
+_ROUNDS = 3
+
+
+def _moved_sql(n):
+    """Coordinates after round n: half of the way to the weighted mean of the neighbours."""
+    return f"""p{n} as materialized (
+      select vec_id, pos, case when mean is null then x else 0.5::double * x + 0.5::double * mean end x from p{n - 1} left join (
+        select dst vec_id, pos, sum(weight * x) / sum(weight) mean from e join p{n - 1} on src = vec_id group by all) using (vec_id, pos))"""
+
+
+_WEIGHTS = _FUZZY.replace("round(max(a) + max(b) - max(a) * max(b), 6)", "max(a) + max(b) - max(a) * max(b)")
+_EMBEDDED = f"""select vec_id, cast(pos as int) pos, round(x, 6) x from (
+  with e as materialized ({_WEIGHTS}),
+  p0 as materialized (select vec_id, unnest(v::double[]) x, generate_subscripts(v, 1) - 1 pos from emb),
+  {", ".join(_moved_sql(n) for n in range(1, _ROUNDS + 1))}
+  select * from p{_ROUNDS})"""
+
+
+@query("graph_embed", _EMBEDDED, ("emb",))
 def graph_embed_query(spark, sf_dir):
+    """Vectors moved towards their neighbours in the fuzzy graph, in a few rounds."""
+    rows = emb(spark, sf_dir)
+    moved = graph_embed(rows, fuzzy_graph(knn_graph(rows)), iterations=_ROUNDS, name="v")
+    return moved.select("vec_id", F.posexplode_outer("v").alias("pos", "x")).withColumn("x", r6("x"))
+
+
+@query("reduced_graph_embed")
+def reduced_graph_embed(spark, sf_dir):
+    """The same from coordinates of the fitted reducer."""
     rows, model = _fitted(spark, sf_dir)
-    edges = fuzzy_graph(knn_graph(rows))
-    moved = graph_embed(reduce(rows, model.reducer), edges)
+    moved = graph_embed(reduce(rows, model.reducer), fuzzy_graph(knn_graph(rows)))
     return moved.select("vec_id", F.posexplode_outer("reduced").alias("pos", "x"))
