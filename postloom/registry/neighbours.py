@@ -20,6 +20,7 @@ from postloom.registry.base import (
     emb, emb_clustered, l2_sql, query, r6, scratch, seeds, sq_sql, train_test, unit_sql,
 )
 from postloom.sources.tables import build_prototype_index, read_prototype_index
+from postloom.sources.vector_index import append_to_index, build_vector_index, open_vector_index, search_index
 
 _EMB, _CLUSTERED, _KNN, _TRAIN = ("emb",), ("emb_clustered",), ("knn",), ("train",)
 
@@ -175,6 +176,23 @@ def accuracy_macro(spark, sf_dir):
     return scores.select(*[r6(c).alias(c) for c in scores.columns])
 
 
+@query(
+    "vector_index_search",
+    f"""select * from (select q.vec_id query_id, row_number() over (partition by q.vec_id order by {sq_sql('q.v', 'b.v')}, b.vec_id) rank,
+          b.vec_id neighbor_id, round({sq_sql('q.v', 'b.v')}, 6) sq_dist, b.subcategory
+        from test q cross join train b) where rank <= 5""",
+    ("train", "test"),
+)
+def vector_index_search(spark, sf_dir):
+    """Search in a stored index that was written in two versions."""
+    train, test = train_test(spark, sf_dir)
+    path = scratch(spark)
+    index = build_vector_index(train.where("vec_id % 3 > 0"), path, carry=["subcategory"], buckets=8)
+    append_to_index(index, train.where("vec_id % 3 = 0"))
+    found = search_index(open_vector_index(spark, path), test, k=5)
+    return found.withColumn("sq_dist", r6("sq_dist"))
+
+
 # --- representatives and prototypes --------------------------------------------------
 
 _MEAN = "select {k}, pos, round(avg(x), 6) x from (select {k}, unnest(v::double[]) x, cast(generate_subscripts(v, 1) - 1 as int) pos from {t}) group by all"
