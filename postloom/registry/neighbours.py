@@ -20,6 +20,7 @@ from postloom.registry.base import (
     emb, emb_clustered, l2_sql, query, r6, scratch, seeds, sq_sql, train_test, unit_sql,
 )
 from postloom.sources.tables import build_prototype_index, read_prototype_index
+from postloom.streaming.batches import classify_stream, read_batches
 from postloom.sources.vector_index import append_to_index, build_vector_index, open_vector_index, search_index
 
 _EMB, _CLUSTERED, _KNN, _TRAIN = ("emb",), ("emb_clustered",), ("knn",), ("train",)
@@ -150,6 +151,17 @@ def classify_clustered_query(spark, sf_dir):
     return classify_clustered(*train_test(spark, sf_dir))
 
 
+@query("classify_stream", "select vec_id, cluster, truth, prediction from predictions", ("predictions",))
+def classify_stream_query(spark, sf_dir):
+    """The same for test rows that arrive in files, several batches of them."""
+    train, test = train_test(spark, sf_dir)
+    root = scratch(spark)
+    test.repartition(3, "vec_id").write.parquet(f"{root}/in")
+    arriving = spark.readStream.schema(test.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    classify_stream(arriving, train, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return read_batches(spark, f"{root}/out").drop("batch")
+
+
 @query(
     "accuracy",
     """select count(*) filter (truth = prediction) correct, count(*) total,

@@ -4,7 +4,7 @@ import json
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -39,6 +39,28 @@ def read_posts(spark: SparkSession, path: str, columns=POSTS, multiline: bool =
     return _delimited(spark, path, columns, "\t", multiline)
 
 
+def read_posts_checked(spark: SparkSession, path: str, columns=POSTS, multiline: bool = True) -> tuple[DataFrame, DataFrame, Observation]:
+    """(posts, rejects, counts): the well-formed records, the others, and how many of each were read.
+
+    ``rejects`` has the file, the record's text and its fields as far as they could be told apart.  ``counts``
+    is filled when ``posts`` has been computed: ``counts.get`` gives ``posts`` and ``rejects``.  With
+    ``multiline`` a quote that is never closed makes one record of the rest of its file.
+    """
+    counts = Observation()
+    rows = (
+        spark.read.schema(_strings([*columns, "_text"])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_text")
+        .option("sep", "\t").option("header", True).option("enforceSchema", True)
+        .option("quote", '"').option("escape", '"').option("multiLine", multiline)
+        .csv(path)
+    )
+    broken = F.col("_text").isNotNull()
+    # Fields are part of every read: Spark does not tell whether a record is broken without parsing it.
+    fields = F.array(*[F.col(c) for c in columns])
+    rejects = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_text").alias("record"), fields.alias("fields")).where("record is not null")
+    posts = rows.observe(counts, F.count_if(~broken).alias("posts"), F.count_if(broken).alias("rejects")).where(~broken).select(*columns)
+    return posts, rejects, counts
+
+
 def read_lookup(spark: SparkSession, path: str, columns=LOOKUP) -> DataFrame:
     """Comma-separated labels per source with a header."""
     return _delimited(spark, path, columns, ",", True)
