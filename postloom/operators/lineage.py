@@ -1,6 +1,7 @@
 """Cutting lineage in iterative jobs, in storage that outlives an executor."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -19,3 +20,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="postloom-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to a folder of its own in the same place and read back.
+
+    A checkpoint computes its rows a second time in order to write them; this does not.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="postloom-stored-")
+    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

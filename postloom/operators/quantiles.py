@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from postloom.operators.lineage import cut_lineage
+from postloom.operators.lineage import stored
 
 DIGIT = 16  # bits that a round finds
 
@@ -36,28 +36,29 @@ def from_bits(bits: int) -> float:
     return float(np.where(value < 0, value ^ np.int64(0x7FFFFFFFFFFFFFFF), value).view(np.float64)[0])
 
 
-def select_ranks(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
-    """For every column the values at the given ranks (from 0) in its ascending order; nulls do not count."""
-    columns = [c for c, wanted in ranks.items() if wanted]
-    if not columns:
-        return {c: {} for c in ranks}
+def ordered_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, bits) of all values that are not null, by the number of the column; stored, so that ``df`` is read once."""
     pairs = F.array(*[F.struct(F.lit(i).alias("column"), ordered_bits(F.col(f"`{c}`").cast("double")).alias("bits")) for i, c in enumerate(columns)])
-    values = cut_lineage(df.select(F.inline(pairs)).where("bits is not null"))
+    return stored(df.select(F.inline(pairs)).where("bits is not null"))
+
+
+def select_ranks(values: DataFrame, ranks: dict[int, list[int]]) -> dict[int, dict[int, float]]:
+    """For every column of ``ordered_values`` the values at the given ranks (from 0) in ascending order."""
+    spark = values.sparkSession
     # Per wanted rank: the bits found so far, and its rank among the rows that begin with them.
-    found = [(i, rank, 0, rank) for i, c in enumerate(columns) for rank in sorted(set(ranks[c]))]
-    for shift in range(64 - DIGIT, -1, -DIGIT):
-        known = df.sparkSession.createDataFrame(
-            sorted({(i, prefix) for i, _, prefix, _ in found}), "column int, prefix long")  # one row per wanted rank
+    found = [(i, rank, 0, rank) for i, wanted in ranks.items() for rank in sorted(set(wanted))]
+    for shift in range(64 - DIGIT, -1, -DIGIT) if found else ():
+        known = spark.createDataFrame(sorted({(i, prefix) for i, _, prefix, _ in found}), "column int, prefix long")  # at most a row per rank
         counts = counted(values, known, shift)
-        wanted = df.sparkSession.createDataFrame([(n, i, prefix, left) for n, (i, _, prefix, left) in enumerate(found)], "n int, column int, prefix long, left long")
+        wanted = spark.createDataFrame([(n, i, prefix, left) for n, (i, _, prefix, left) in enumerate(found)], "n int, column int, prefix long, left long")
         before = Window.partitionBy("column", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
         summed = counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
         hits = summed.join(F.broadcast(wanted), ["column", "prefix"]).where("left >= before and left < before + rows").select("n", "digit", "before").collect()
         at = {r.n: r for r in hits}
         found = [(i, rank, prefix << DIGIT | at[n].digit, left - at[n].before) for n, (i, rank, prefix, left) in enumerate(found)]
-    out = {c: {} for c in ranks}
+    out = {i: {} for i in ranks}
     for i, rank, bits, _ in found:
-        out[columns[i]][rank] = from_bits(bits - (1 << 63))
+        out[i][rank] = from_bits(bits - (1 << 63))
     return out
 
 
@@ -73,9 +74,11 @@ def counted(values: DataFrame, known: DataFrame, shift: int) -> DataFrame:
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
     """Per column the quantiles at ``shares``, interpolated between neighbouring values; None without values."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(columns)]).first()
-    places = {c: [(counts[i] - 1) * s for s in shares] if counts[i] else [] for i, c in enumerate(columns)}
-    at = select_ranks(df, {c: [r for p in ps for r in (math.floor(p), math.ceil(p))] for c, ps in places.items()})
+    values = ordered_values(df, columns)
+    counts = {r["column"]: r["count"] for r in values.groupBy("column").count().collect()}  # a row per column
+    places = {c: [(counts[i] - 1) * s for s in shares] if i in counts else [] for i, c in enumerate(columns)}
+    found = select_ranks(values, {i: [r for p in places[c] for r in (math.floor(p), math.ceil(p))] for i, c in enumerate(columns)})
+    at = {c: found[i] for i, c in enumerate(columns)}
     out = {}
     for c, ps in places.items():
         ends = [(at[c][math.floor(p)], at[c][math.ceil(p)], p) for p in ps]

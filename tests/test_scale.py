@@ -10,7 +10,7 @@ from postloom.operators import descent as ds, representatives as rp
 from postloom.operators.descent import _sampled, descend, graph_recall
 from postloom.operators.knn import knn_join
 from postloom.operators.profile import describe
-from postloom.operators.quantiles import from_bits, ordered_bits, quantiles, select_ranks
+from postloom.operators.quantiles import from_bits, ordered_bits, ordered_values, quantiles, select_ranks
 from postloom.operators.reduce import knn_graph
 from postloom.operators.representatives import group_medoid, medoid_of, weighted_distance_sums
 from postloom.operators.totals import Moments, lower_totals, pack, parted
@@ -156,7 +156,7 @@ def test_quantiles_same_as_percentile(spark):
     got = quantiles(df, ["x", "small", "empty", "a.b"], shares)
     want = df.agg(*[F.percentile(F.col(f"`{c}`"), shares).alias(str(i)) for i, c in enumerate(["x", "small", "a.b"])]).first()
     assert got == {"x": want[0], "small": want[1], "empty": [None] * 7, "a.b": want[2]}
-    assert select_ranks(df, {"small": [0, 701]}) == {"small": {0: 0.0, 701: 6.0}}
+    assert select_ranks(ordered_values(df, ["small"]), {0: [0, 701]}) == {0: {0: 0.0, 701: 6.0}}
 
 
 def test_describe_holds_no_column_in_one_task(spark):
