@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType
 
 from postloom.functions.vectors import finite
 from postloom.operators.bounded import bounded_rows
+from postloom.operators.graph_reducer import GraphReducer
 from postloom.operators.knn import TILE_CELLS, knn_join, to_matrix
 
 # The default workload parameters.
@@ -27,7 +28,7 @@ INIT_STEPS = 5  # oversampling rounds of the initialisation
 
 @dataclass
 class ClusterModel:
-    """A fitted reducer (normaliser + projection) and k-means, with the settings used."""
+    """A fitted reducer (normaliser, then PCA or the neighbour graph) and k-means, with the settings used."""
 
     reducer: PipelineModel
     kmeans: KMeansModel
@@ -45,8 +46,25 @@ def normalize_vectors(df: DataFrame, vec: str = "v", name: str | None = None) ->
     return scaled.withColumn(name or vec, vector_to_array("_unit")).drop("_vector", "_unit")
 
 
-def fit_reducer(df: DataFrame, vec: str = "v", n_components: int = REDUCER_CONFIG["n_components"]) -> PipelineModel:
-    """Normaliser + PCA.  Executors sum a d x d Gram matrix; only that reaches the driver."""
+def fit_reducer(
+    df: DataFrame,
+    vec: str = "v",
+    n_components: int = REDUCER_CONFIG["n_components"],
+    method: str = "pca",
+    key: str = "vec_id",
+    **graph_options,
+) -> PipelineModel:
+    """Normaliser and a reducer.
+
+    ``method`` "pca": executors sum a d x d Gram matrix; only that reaches the driver.  "graph": PCA coordinates
+    averaged over the neighbour graph of the rows (``GraphReducer``, with its options); needs a unique ``key``.
+    """
+    if method == "graph":
+        ready = as_ml_vector(df.where(finite(F.col(vec))).select(key, vec), vec)
+        graph = GraphReducer(inputCol="_unit", outputCol="_reduced", keyCol=key, nComponents=n_components, **graph_options)
+        return Pipeline(stages=[Normalizer(p=2.0, inputCol="_vector", outputCol="_unit"), graph]).fit(ready)
+    if method != "pca" or graph_options:
+        raise ValueError(f"method {method!r} with {sorted(graph_options)}; choose pca, or graph with options")
     ready = as_ml_vector(df.select(vec), vec)
     width = ready.select(F.size(vec)).first()
     if width is None:
@@ -73,8 +91,12 @@ def fit_clusters(
     seed: int = CLUSTER_CONFIG["random_state"],
     n_components: int = REDUCER_CONFIG["n_components"],
     partitions: int | None = None,
+    method: str = "pca",
+    **graph_options,
 ) -> ClusterModel:
-    """Fit normaliser, PCA and k-means; ``predict_clusters`` on the same rows gives the labels.
+    """Fit normaliser, reducer and k-means; ``predict_clusters`` on the same rows gives the labels.
+
+    ``method`` and ``graph_options`` choose the reducer, see ``fit_reducer``.
 
     k-means depends on how rows are partitioned and ordered, so both are fixed: by the key
     and, unless ``partitions`` is given, the row count.  Initial centres come from the
@@ -85,7 +107,7 @@ def fit_clusters(
     if n_clusters > rows:
         raise ValueError(f"{n_clusters} clusters asked for {rows} rows")
     partitions = partitions or max(FIT_PARTITIONS, -(-rows // FIT_ROWS))
-    reducer = fit_reducer(usable, vec, n_components)
+    reducer = fit_reducer(usable, vec, n_components, method, key, **graph_options)
     # Shuffle the short reduced vectors, not the originals.
     ready = (
         reducer.transform(as_ml_vector(usable, vec)).select(key, "_reduced")
@@ -102,13 +124,14 @@ def fit_clusters(
     return ClusterModel(
         reducer,
         kmeans,
-        {"n_components": n_components},
+        {"n_components": n_components} | ({"method": method, **graph_options} if method != "pca" else {}),
         {"n_clusters": n_clusters, "max_iter": max_iter, "random_state": seed, "partitions": partitions},
     )
 
 
 def predict_clusters(df: DataFrame, model: ClusterModel, vec: str = "v") -> DataFrame:
-    """Add ``cluster``.  Stays inside the JVM, needs no shuffle."""
+    """Add ``cluster``.  With PCA it stays inside the JVM and needs no shuffle; with the graph reducer
+    rows meet the fitted points in joins."""
     reduced = model.reducer.transform(as_ml_vector(df, vec))
     return model.kmeans.transform(reduced).drop("_vector", "_unit", "_reduced")
 

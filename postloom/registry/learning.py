@@ -157,6 +157,15 @@ def predict_clusters_query(spark, sf_dir):
     return predict_clusters(rows.where("split = 'test'"), load_model(spark, path)).select("vec_id", "cluster")
 
 
+@query("predict_clusters_graph")
+def predict_clusters_graph(spark, sf_dir):
+    """The cluster of every row by the graph reducer, fitted on the training rows, saved and loaded."""
+    rows = emb(spark, sf_dir)
+    path = scratch(spark)
+    save_model(spark, fit_clusters(rows.where("split = 'train'"), partitions=8, method="graph"), path)
+    return predict_clusters(rows, load_model(spark, path)).select("vec_id", "split", "cluster")
+
+
 @query("get_centroids")
 def get_centroids_query(spark, sf_dir):
     """All components of the centroids, in the reduced space."""

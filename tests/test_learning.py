@@ -1,18 +1,21 @@
 """Fitted models of the registered queries: plain joins over the model, and metrics recomputed in SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postloom.functions.text import words
 from postloom.functions.vectors import sq_l2
-from postloom.operators.cluster import fit_clusters, get_centroids, predict_clusters, reduce
+from postloom.operators.cluster import fit_clusters, fit_reducer, get_centroids, predict_clusters, reduce
 from postloom.operators.embed import UNKNOWN, _split_places, learn_vocabulary, tokenize
+from postloom.operators.graph_reducer import GraphReducerModel
 from postloom.operators.sampling import sample_n
 from postloom.plans.classify import classify_zero_shot
 from postloom.registry import QUERIES
 from postloom.registry.base import emb
+from postloom.sources.tables import load_model, save_model
 
 SF = "/root/testdata/sf0.01"
 METRICS = """with l as (select truth label from p union select prediction from p),
@@ -50,6 +53,81 @@ def test_centroids_are_means(spark, fitted):
     assert parts.count() == 80 * 50 and parts.where("mean is null or abs(x - mean) > 1e-3").isEmpty()
 
 
+def plain_graph_coordinates(train, new, k, n_components, iterations, step):
+    """NumPy: unit vectors, PCA, fuzzy graph by bisection, averaging; then new points at their neighbours' mean."""
+    def strengths(dist):
+        positive = dist[dist > 0]
+        gap, low, high = np.maximum(dist - (positive.min() if len(positive) else 0), 0), 0.0, 1e6
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (low, mid) if np.exp(-gap / mid).sum() > np.log2(max(len(dist), 2)) else (mid, high)
+        return np.exp(-gap / max(mid, 1e-3 * dist.mean(), 1e-12))
+
+    def nearest(v, skip=None):
+        dist = np.sqrt(((train - v) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(len(train)), dist)) if i != skip][:k]
+        return order, strengths(dist[order])
+
+    train, new = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (train, new))
+    weight = np.zeros((len(train), len(train)))
+    for i, v in enumerate(train):
+        order, w = nearest(v, i)
+        weight[i, order] = w
+    weight = weight + weight.T - weight * weight.T
+    _, axes = np.linalg.eigh(np.cov(train.T))
+    coords = train @ axes[:, ::-1][:, :n_components]
+    for _ in range(iterations):
+        coords = (1 - step) * coords + step * (weight @ coords) / weight.sum(1, keepdims=True)
+    placed = np.array([np.average(coords[o], axis=0, weights=w) for o, w in map(nearest, new)])
+    return coords, placed
+
+
+@pytest.mark.parametrize("graph,step", [("exact", 0.5), ("descent", 0.25)])
+def test_graph_reducer_in_fit_save_load_predict(spark, tmp_path, graph, step):
+    draw = np.random.default_rng(4)
+    centers = draw.normal(size=(4, 6)) * 3
+    points = centers[np.arange(120) % 4] + 0.5 * draw.normal(size=(120, 6))
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, v array<double>")
+    train = rows.where("vec_id < 90").unionByName(spark.createDataFrame([(1000, None), (1001, [float("nan")] * 6)], rows.schema))
+    model = fit_clusters(train, n_clusters=4, n_components=3, method="graph", nNeighbors=8, graph=graph, iterations=3, step=step)
+    save_model(spark, model, str(tmp_path))
+    loaded = load_model(spark, str(tmp_path))
+    assert loaded.reducer_config == {"n_components": 3, "method": "graph", "nNeighbors": 8, "graph": graph, "iterations": 3, "step": step}
+    stage = loaded.reducer.stages[1]
+    assert isinstance(stage, GraphReducerModel) and (stage.getOrDefault("nNeighbors"), stage.getOrDefault("step")) == (8, step)
+
+    # Rows repeat and have a null key; new points and fitted ones come together.
+    asked = rows.unionByName(rows.where("vec_id in (3, 100)")).unionByName(spark.createDataFrame([(None, points[5].tolist())], rows.schema))
+    got = reduce(asked, loaded.reducer).collect()
+    assert len(got) == 123
+    coords, placed = plain_graph_coordinates(points[:90], points[90:], 8, 3, 3, step)
+    want = np.vstack([coords, placed])
+    found = np.array([next(r.reduced for r in got if r.vec_id == i) for i in range(120)])
+    signs = np.sign((found[:90] * want[:90]).sum(0))  # PCA axes have no direction
+    assert np.abs(found - want * signs).max() < 1e-6
+    for i in (3, 100):
+        assert len({tuple(r.reduced) for r in got if r.vec_id == i}) == 1
+    assert next(r.reduced for r in got if r.vec_id is None) == next(r.reduced for r in got if r.vec_id == 5)
+    clusters = {r.vec_id: r.cluster for r in predict_clusters(rows, loaded).collect()}
+    assert clusters == {r.vec_id: r.cluster for r in predict_clusters(rows, model).collect()} == nearest(spark, rows, loaded)
+    assert all(len({clusters[i] for i in range(c, 120, 4)}) == 1 for c in range(4))
+
+
+def test_graph_reducer_options(spark):
+    rows = spark.createDataFrame([(1, None)], "vec_id long, v array<double>")
+    with pytest.raises(ValueError, match="no rows"):
+        fit_reducer(rows, method="graph")
+    for options in ({"method": "other"}, {"nNeighbors": 3}):
+        with pytest.raises(ValueError, match="choose"):
+            fit_reducer(rows, **options)
+
+
+def test_graph_clusters_of_the_query(spark):
+    got = QUERIES["predict_clusters_graph"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.vec_id for r in got) == sorted(r.vec_id for r in emb(spark, "/root/testdata/sf0.001").select("vec_id").collect())
+    assert all(r.cluster is not None for r in got)
+
+
 def metrics_of(rows):
     con = duckdb.connect()
     con.execute("create table p(truth int, prediction int)")
