@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ _EDGE = r"\s\"'(),;<>=:\[\]{}|"
 CANDIDATE = rf"(?:\G|(?<![^{_EDGE}]))[^{_EDGE}0-9@]*+[0-9@][^{_EDGE}]*+"
 #: Code points of context kept before a candidate.
 CONTEXT = 40
+#: Code points of a chunk of text that is masked.
+CHUNK = 4096
 
 # Word lists of the labelers (fixed values).
 PRIVATE_WORDS = [
@@ -44,20 +47,51 @@ PUBLIC_TOKENS = ["mp3", "mp4", "3d", "2d", "4k", "1st", "2nd", "3rd", "24/7", "u
 N_LABELERS = 7
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, not at each place where a lambda names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """0, then what ``merge`` makes of 0 and the first values up to each one, from an array of ints.
+
+    A growing array is copied at each step, so the array is cut into about as many chunks as a chunk has
+    values: n ** 1.5 copies in all, which is a second for some 100 000 values.
+    """
+    def prefixes(chunk):
+        return F.aggregate(chunk, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(merge(F.element_at(done, -1), x))))
+
+    def chunks(v):
+        size = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), size), lambda i: prefixes(F.slice(v, i + 1, size)))
+
+    def put_together(parts):
+        def shifted(before):
+            rest = F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda p, b: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x: merge(b, x)))
+            return F.concat(F.array(F.lit(0)), F.flatten(rest))
+
+        return _with(prefixes(F.transform(parts, lambda p: F.element_at(p, -1))), shifted)
+
+    return _with(values, lambda v: _with(chunks(v), put_together))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _pieces(text: Column, pattern: str) -> Column:
     """(start, end, token, before) of every match, leftmost and non-overlapping, in code points."""
     cut = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,token:string,before:string>>))")
+    zipped = F.zip_with(found, F.slice(cut, F.lit(1), F.size(found)), lambda f, c: F.struct(
+        f.alias("token"), F.char_length(c).alias("gap"), F.char_length(f).alias("long"), F.right(c, F.lit(CONTEXT)).alias("before")))
 
-    def step(done, x):
-        start = done["at"] + F.char_length(x["cut"])
-        end = start + F.char_length(x["found"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("token"), F.right(x["cut"], F.lit(CONTEXT)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
+    def placed(matches):
+        ends = running(F.transform(matches, lambda m: m["gap"] + m["long"]), _sum)
+        return F.zip_with(matches, F.slice(ends, F.lit(1), F.size(matches)), lambda m, at: F.struct(
+            (at + m["gap"]).alias("start"), (at + m["gap"] + m["long"]).alias("end"), m["token"].alias("token"), m["before"].alias("before")))
 
-    zipped = F.zip_with(found, F.slice(cut, F.lit(1), F.size(found)), lambda f, c: F.struct(f.alias("found"), c.alias("cut")))
-    return F.aggregate(zipped, empty, step)["out"]
+    return _with(zipped, placed)
 
 
 def _digits(token: Column) -> Column:
@@ -223,22 +257,23 @@ def find_pii(df: DataFrame, model: SpanModel | None, text: str = "text") -> Data
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def ranked(rank):
-        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rank).alias("rank"))
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"))
 
     tagged = [F.transform(base_spans(whole, kind), ranked(i)) for i, kind in enumerate(KINDS)]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.array_sort(F.concat(*tagged), _by_start).alias("_base"))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.sort_array(F.concat(*tagged)).alias("_base"))
     if model is None:
-        more = F.expr("cast(array() as array<struct<start:int,end:int,rank:int>>)")
+        more = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
     else:
         def personal(c):
             score = F.lit(0.0)
             for w, x in zip(model.weights, features(c["token"], c["before"]), strict=True):
                 score = score + x * F.lit(float(w))
-            free = ~F.exists(F.col("_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-            return free & (score >= 0)
+            return score >= 0
 
-        more = F.transform(F.filter(candidates(whole), personal), lambda c: F.struct(
-            c["start"].alias("start"), (c["end"] - F.char_length(c["token"]) + F.char_length(F.rtrim(c["token"], F.lit(".!?")))).alias("end"), F.lit(len(KINDS)).alias("rank")))
+        chosen = F.transform(F.filter(candidates(whole), personal), lambda c: F.struct(
+            c["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), c["end"].alias("end"),
+            (c["end"] - F.char_length(c["token"]) + F.char_length(F.rtrim(c["token"], F.lit(".!?")))).alias("trimmed")))
+        more = _free(F.col("_base"), chosen)
     names = F.array(*map(F.lit, (*KINDS, ADDED)))
 
     def named(spans):
@@ -246,14 +281,33 @@ def find_pii(df: DataFrame, model: SpanModel | None, text: str = "text") -> Data
 
     return rows.select(
         *[F.col(f"`{c}`") for c in kept], named(F.col("_base")).alias("base"),
-        named(F.array_sort(F.concat("_base", more), _by_start)).alias("spans"),
+        named(F.sort_array(F.concat("_base", more))).alias("spans"),
     )
 
 
-def _by_start(a: Column, b: Column) -> Column:
-    return F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(
-        F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)
-    )
+def _free(base: Column, chosen: Column) -> Column:
+    """The chosen candidates, trimmed, that no base span overlaps.
+
+    All are put in order once.  A candidate is met by an earlier base span if the greatest end before it lies
+    behind its start, and by a later one if the next base span begins before its end.
+    """
+    far = 2**31 - 1
+    both = F.sort_array(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["end"].alias("end"), b["end"].alias("trimmed"))), chosen))
+
+    def judged(spans):
+        is_base = lambda s: s["rank"] < len(KINDS)
+        reached = running(F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), F.greatest)
+        # Counted from the far end, so that the nearest start is the greatest number.
+        later = running(F.transform(F.reverse(spans), lambda s: F.when(is_base(s), far - s["start"]).otherwise(0)), F.greatest)
+        seen = F.zip_with(
+            F.zip_with(spans, F.slice(reached, F.lit(1), F.size(spans)), lambda s, r: F.struct(s.alias("s"), r.alias("reached"))),
+            F.reverse(F.slice(later, F.lit(1), F.size(spans))),
+            lambda x, n: F.struct(x["s"].alias("s"), (~is_base(x["s"]) & (x["reached"] <= x["s"]["start"]) & (far - n >= x["s"]["end"])).alias("free")))
+        return F.transform(F.filter(seen, lambda x: x["free"]), lambda x: F.struct(
+            x["s"]["start"].alias("start"), x["s"]["rank"].alias("rank"), x["s"]["trimmed"].alias("end")))
+
+    return F.when(F.size(chosen) > 0, _with(both, judged)).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)"))
 
 
 def count_kind(spans: Column, kind: str) -> Column:
@@ -266,14 +320,26 @@ def joined(spans: Column) -> Column:
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets; overlapping spans merge."""
-    start = F.expr("named_struct('at', 0, 'out', '')")
+    """The text with every span replaced by its kind in angle brackets; overlapping spans merge.
 
-    def step(done, s):
-        gap = F.when(s["start"] >= done["at"], F.concat(F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], gap).alias("out"))
-
-    return F.when(
-        F.size(spans) > 0,
-        F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.lit(2**31 - 1)))),
-    ).otherwise(text)
+    ``spans`` are in order of their start.  The text is cut into chunks first: a substring is searched from the
+    beginning of its string, and must not walk over the whole text for each span.
+    """
+    def passage(chunks, start, end):
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        head = F.coalesce(F.substring(F.get(chunks, first), start % CHUNK + 1, F.least(end - start, F.lit(CHUNK))), F.lit(""))
+        tail = F.coalesce(F.substring(F.get(chunks, last), F.lit(1), end % CHUNK), F.lit(""))
+        between = F.array_join(F.slice(chunks, first + 2, last - first - 1), "")
+        return F.when(first == last, head).otherwise(F.concat(head, between, tail))
+
+    def put_together(given):
+        def joined_up(done):
+            parts = F.zip_with(given["spans"], F.slice(done, F.lit(1), F.size(given["spans"])), lambda s, at: F.when(
+                s["start"] >= at, F.concat(passage(given["chunks"], at, s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(F.lit("")))
+            return F.concat(F.array_join(parts, ""), passage(given["chunks"], F.element_at(done, -1), given["size"]))
+
+        return _with(running(F.transform(given["spans"], lambda s: s["end"]), F.greatest), joined_up)
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    given = F.struct(spans.alias("spans"), chunks.alias("chunks"), F.char_length(text).alias("size"))
+    return F.when(F.size(spans) > 0, _with(given, put_together)).otherwise(text)

@@ -275,3 +275,8 @@ def families(sequences):
         h = zlib.crc32(str(conv).encode()) % 4
         out[conv] = sequences.get(conv - int(math.fmod(conv, 20)), [])[:h] + turns[h:]
     return out
+
+
+def candidates(text):
+    """(start, end) of the runs between blanks and edge signs that hold a digit or an @."""
+    return [m.span() for m in re.finditer(r"""[^ \t\n\x0b\f\r"'(),;<>=:\[\]{}|]+""", text or "") if re.search("[0-9@]", m.group())]
