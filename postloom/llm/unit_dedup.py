@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from postloom.llm.scratch import Scratch
-from postloom.llm.wordhash import combine, flat, hash_slices, mix, row_words, word_bounds
+from postloom.llm.wordhash import combine, flat, hash_slices, mix, row_words, slices, word_bounds
 
 #: A run of repeated units is removed where it has at least so many words.
 MIN_WORDS = 20
@@ -107,9 +107,9 @@ def _emit(whole_lines: bool) -> Callable:
     """Digests of units and, with a negative number, of lines that have several units."""
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                data, _, row, begin, _, hashes, words = _units(part.column("_text"))
+            for start, texts in slices(batch.column("_text")):
+                part = batch.slice(start, len(texts))
+                data, _, row, begin, _, hashes, words = _units(texts)
                 if len(row):
                     number = np.arange(len(row)) - np.searchsorted(row, row, "left")
                     keep = words > 0
@@ -138,9 +138,8 @@ def _cut(min_words: int, whole_lines: bool) -> Callable:
     """Remove runs of repeated units from each text; keep the original place of what stays and goes."""
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                text = part.column("_text")
+            for low_row, text in slices(batch.column("_text")):
+                part = batch.slice(low_row, len(text))
                 data, offsets, row, begin, end, _, words = _units(text)
                 repeats, rest = part.column("_repeats").to_pylist(), [n for n in part.schema.names if n not in ("_text", "_repeats")]
                 rows = np.searchsorted(row, np.arange(part.num_rows + 1))
@@ -167,11 +166,12 @@ def _cut(min_words: int, whole_lines: bool) -> Callable:
                             spans += [(int(begin[low + g[0]]), int(end[low + g[-1]]), seen[g[0]]) for g in goes if g]
                             run_of = []
                     base, stop = int(offsets[i]), int(offsets[i + 1])
-                    raw, at, kept, out = data[base:stop].tobytes(), 0, [], []
+                    raw, at, head, kept, out = data[base:stop].tobytes(), 0, 0, [], []
                     for a, b, first in spans:
                         kept.append(raw[at:a - base])
-                        head = len(raw[:a - base].decode("utf-8"))
-                        out.append({"start": head, "end": head + len(raw[a - base:b - base].decode("utf-8")), "kept_key": first["first"]["key"], "kept_unit": first["first"]["unit"]})
+                        start = head + len(kept[-1].decode("utf-8"))
+                        head = start + len(raw[a - base:b - base].decode("utf-8"))
+                        out.append({"start": start, "end": head, "kept_key": first["first"]["key"], "kept_unit": first["first"]["unit"]})
                         at = b - base
                     kept.append(raw[at:])
                     removed.append(out)
@@ -214,7 +214,11 @@ def dedup_units(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     units = scratch.keep(docs.mapInArrow(_emit(whole_lines), f"digest long, key {key_type}, unit int"))
     # Written, so that both sides of the join are plain exchanges and a common digest's rows can be split.
-    firsts = scratch.keep(units.groupBy("digest").agg(F.min(F.struct("key", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # A line with several units has a negative number; its place is that of its first unit.
+    place = F.when(F.col("unit") < 0, -1 - F.col("unit")).otherwise(F.col("unit")).alias("place")
+    earliest = F.min(F.struct("key", place, "unit"))
+    firsts = units.groupBy("digest").agg(earliest.alias("_first"), F.count("*").alias("n")).where("n > 1")
+    firsts = scratch.keep(firsts.select("digest", F.struct("_first.key", "_first.unit").alias("first")))
     later = units.join(firsts, "digest").where((F.col("key") != F.col("first.key")) | (F.col("unit") != F.col("first.unit")))
     repeats = scratch.keep(later.groupBy("key").agg(F.collect_set(F.struct("unit", "first")).alias("_repeats")))
     scratch.drop(units, firsts)

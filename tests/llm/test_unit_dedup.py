@@ -118,3 +118,32 @@ def test_short_lines_go_and_short_pieces_stay(spark):
     ]
     # Of 4 the line differs from that of 1 in its units; its sentences are pieces, as in 3.
     assert [t for _, t, _ in run_lines(spark, rows)] == [rows[0][1], "other text here\n", rows[2][1], rows[3][1], "x\n"]
+
+
+def test_the_earliest_line_of_a_text_stays(spark):
+    """Of a line of several sentences the first place stays, also within one text, and where an earlier text has its sentences."""
+    line = "Hello there friend. Buy now please."
+    one = f"{line}\nunique words one here\n{line}\nother stuff again"
+    left = f"{line}\nunique words one here\n\nother stuff again"
+    at = len(f"{line}\nunique words one here\n")
+    assert run_lines(spark, [(1, one)]) == [(1, left, [(at, at + len(line))])]
+    apart = "Hello there friend.\nsomething else\nBuy now please."
+    assert run_lines(spark, [(0, apart), (1, one)]) == [(0, apart, []), (1, left, [(at, at + len(line))])]
+
+
+def test_repeated_lines_within_texts_same_as_brute_force(spark):
+    draw = random.Random(12)
+    sentence = lambda: " ".join(draw.choice("abc") for _ in range(draw.randint(1, 5))) + draw.choice(".!")
+    lines = [" ".join(sentence() for _ in range(n)) for n in (1, 2, 2, 2, 3, 3)]
+    rows = [(i, "\n".join(draw.choice([*lines, *(sentence() for _ in range(3)), "é–"]) for _ in range(draw.randint(0, 25)))) for i in range(160)]
+    got = run_lines(spark, rows)
+    assert got == sorted(by_lines(rows), key=str) and sum(len(s) for _, _, s in got) > 200
+
+
+def test_many_repeats_in_one_long_text(spark):
+    line = "é these are the words of a line that comes again and again"
+    rows = [(1, "\n".join([line] * 30_000)), (2, "ü " + line + "\n" + line)]
+    (_, first, spans), (_, second, more) = run_lines(spark, rows)
+    size = len(line) + 1
+    assert first == line + "\n" and spans == [(size, 30_000 * size - 1)]
+    assert second == "ü " + line + "\n" and more == [(len(line) + 3, 2 * len(line) + 3)]
