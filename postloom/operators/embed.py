@@ -9,10 +9,11 @@ import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from postloom.functions.text import words
-from postloom.operators.bounded import bounded_table, dense_index
+from postloom.operators.bounded import dense_index
+from postloom.operators.lineage import stored
 from postloom.operators.profile import count_tokens
 
 # Ids of the special tokens and the window of common encoders.
@@ -22,7 +23,8 @@ BATCH_SIZE = 128
 HASH_DIM = 64
 MAX_VOCABULARY = 1_000_000
 HOT_ROWS, MAX_HOT = 100_000, 100_000  # places that make a token hot, and hot tokens that every task holds
-ELSEWHERE = -1  # stands for an id that is found by a join
+CHUNK_CHARS = 1 << 24  # characters of the texts that share one lookup of their joined tokens
+ELSEWHERE = -1  # stands for the id of a token that is not hot
 
 
 def learn_vocabulary(df: DataFrame, text: str = "text", min_freq: int = 1) -> DataFrame:
@@ -45,17 +47,17 @@ def tokenize(
     Every token is kept unless ``max_length`` (which counts the two special tokens) cuts; for
     models with a fixed window see ``token_windows``, which loses nothing.  A vocabulary
     within the bound goes to every task and each batch is looked up as a whole, without a
-    shuffle.  Of a larger one, tokens with more than ``hot_rows`` places are looked up in this way; only the
-    places of the others are joined by token, so that no token is a hot key, and put back per row.
+    shuffle.  Of a larger one, tokens with more than ``hot_rows`` places are looked up in this way; the others
+    are joined by token, each once per chunk of rows, so that no token is a hot key, and put back per chunk.
     """
     token = words(F.col(text))
     if max_length is not None:
         token = F.slice(token, 1, max_length - 2)
-    known = bounded_table(vocabulary.select("token", "token_id"), max_vocabulary)
-    if known is None:
-        ids = _joined_ids(df, vocabulary, token, key, hot_rows)
+    vocabulary = stored(vocabulary.select("token", "token_id"))  # learned once, however often it is read
+    if vocabulary.count() > max_vocabulary:
+        ids = _joined_ids(df, vocabulary, token, text, key, hot_rows)
     else:
-        ids = df.withColumn("_ids", _looked_up(df.sparkSession, known)(token))
+        ids = df.withColumn("_ids", _looked_up(df.sparkSession, vocabulary.toArrow())(token))
     ids = ids.withColumn(
         "input_ids",
         F.when(F.col(text).isNotNull(), F.concat(F.array(F.lit(START)), "_ids", F.array(F.lit(END)))),
@@ -65,65 +67,83 @@ def tokenize(
     ).drop("_ids")
 
 
-_lookup_tables: dict = {}
+def _ids_of(tokens: pa.Array, known: pa.Array, ids: pa.Array, missing: int) -> np.ndarray:
+    """The id of every token; only the distinct ones are looked up."""
+    coded = tokens.dictionary_encode()
+    distinct = pc.fill_null(ids.take(pc.index_in(coded.dictionary, value_set=known)), missing)
+    return distinct.to_numpy(zero_copy_only=False).astype(np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def _looked_up(spark, vocabulary: pa.Table, missing: int = UNKNOWN):
-    shared = spark.sparkContext.broadcast((
-        vocabulary["token"].combine_chunks(),
-        vocabulary["token_id"].to_numpy().astype(np.int32),
-    ))
-    number = shared.id if hasattr(shared, "id") else id(shared)
+def _lists(like: pa.Array, ids: np.ndarray) -> pa.Array:
+    """The ids in lists as long as those of ``like``; null ones are empty."""
+    sizes = pc.fill_null(pc.list_value_length(like), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    joined = column.combine_chunks()
+    return joined if isinstance(joined, pa.Array) else joined.chunk(0)
+
+
+def _shared(spark, vocabulary: pa.Table):
+    return spark.sparkContext.broadcast((_whole(vocabulary["token"]), _whole(vocabulary["token_id"])))
+
+
+def _looked_up(spark, vocabulary: pa.Table):
+    shared = _shared(spark, vocabulary)
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def lookup(tokens: pa.Array) -> pa.Array:
-        # One hash table per worker and vocabulary; a batch looks up its distinct tokens.
-        if number not in _lookup_tables:
-            _lookup_tables.clear()
-            known, ids = shared.value
-            _lookup_tables[number] = dict(zip(known.to_pylist(), ids.tolist(), strict=True))
-        table = _lookup_tables[number]
-        coded = tokens.flatten().dictionary_encode()
-        distinct = np.array([table.get(t, missing) for t in coded.dictionary.to_pylist()], np.int32)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        found = distinct[codes] if len(codes) else np.zeros(0, np.int32)
-        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, pa.array(found))
+        return _lists(tokens, _ids_of(tokens.flatten(), *shared.value, UNKNOWN))
 
     return lookup
 
 
-def _split_places(df: DataFrame, vocabulary: DataFrame, token: Column, key: str, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``_head``, the ids of hot tokens (ELSEWHERE for others), and (key, _pos, token) of the others' places.
+def _hot_tokens(df: DataFrame, vocabulary: DataFrame, token: Column, hot_rows: int) -> pa.Table:
+    """(token, token_id) of tokens with more than ``hot_rows`` places.
 
     Tokens are counted with partial sums.  Should more of them be hot than every task can hold, the most
     frequent are looked up and the others joined: the bound decides how an id is found, not which.
     """
     counts = df.select(F.explode(token).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > hot_rows).orderBy(F.desc("_n"), "token").limit(MAX_HOT).select("token")
-    head = hot.join(vocabulary.select("token", "token_id"), "token", "left").select("token", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id")).toArrow()
-    known = df.withColumn("_tokens", token).withColumn("_head", _looked_up(df.sparkSession, head, ELSEWHERE)(F.col("_tokens")))
-    places = F.transform(F.arrays_zip("_tokens", "_head"), lambda x, i: F.struct(i.alias("_pos"), x["_tokens"].alias("token"), x["_head"].alias("_at")))
-    rare = known.select(key, F.inline(F.filter(places, lambda x: x["_at"] == ELSEWHERE))).drop("_at")
-    return known.drop("_tokens"), rare
+    ids = hot.join(vocabulary.select("token", "token_id"), "token", "left")
+    return ids.select("token", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id")).toArrow()
+
 
+def _split_places(
+    df: DataFrame, vocabulary: DataFrame, token: Column, key: str, hot_rows: int, head: pa.Table | None = None
+) -> tuple[pa.Table, DataFrame]:
+    """The hot tokens with their ids, and (key, token) of all places of the others."""
+    head = _hot_tokens(df, vocabulary, token, hot_rows) if head is None else head
+    hot = F.broadcast(df.sparkSession.createDataFrame(head.select(["token"]), "token string"))  # MAX_HOT rows at most
+    return head, df.select(key, F.explode(token).alias("token")).join(hot, "token", "left_anti").select(key, "token")
 
-def _joined_ids(df: DataFrame, vocabulary: DataFrame, token: Column, key: str, hot_rows: int) -> DataFrame:
-    """Add ``_ids``: hot tokens by lookup in the row, the places of all others by a join and one group per row."""
-    known, rare = _split_places(df, vocabulary, token, key, hot_rows)
-    in_order = F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("_id"))))
-    tail = rare.join(vocabulary.select("token", "token_id"), "token", "left").groupBy(key).agg(in_order.alias("_tail")).select(key, F.col("_tail._id").alias("_tail"))
-    return known.join(tail, key, "left").withColumn("_ids", _filled(F.col("_head"), F.col("_tail"))).drop("_head", "_tail")
 
+def _joined_ids(df: DataFrame, vocabulary: DataFrame, token: Column, text: str, key: str, hot_rows: int) -> DataFrame:
+    """Add ``_ids``: hot tokens by lookup in the row, all others by a join.
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def _filled(head: pa.Array, tail: pa.Array) -> pa.Array:
-    """The ids of each row, with those of its other places, which are in order, put in."""
-    ids = head.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-    ids[ids == ELSEWHERE] = tail.flatten().to_numpy(zero_copy_only=False)
-    sizes = pc.fill_null(pc.list_value_length(head), 0).to_numpy(zero_copy_only=False)
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids))
+    Rows are dealt by hash to chunks of about CHUNK_CHARS characters.  A token moves once per chunk, not once
+    per place, and comes back to the chunk with its id.
+    """
+    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
+    chunks = max(df.sparkSession.sparkContext.defaultParallelism, -(-chars // CHUNK_CHARS))
+    chunked = df.withColumn("_chunk", F.pmod(F.xxhash64(key, text), F.lit(chunks)).cast("int")).repartition(chunks, "_chunk")
+    head, rare = _split_places(chunked, vocabulary, token, "_chunk", hot_rows, _hot_tokens(df, vocabulary, token, hot_rows))
+    found = rare.distinct().join(vocabulary, "token").select(F.col("_chunk").alias("_at"), "token", "token_id")
+    found = found.repartition(chunks, "_at")  # as the rows are, which therefore do not move again
+    shared = _shared(df.sparkSession, head)
+    schema = StructType([*df.schema.fields, StructField("_ids", ArrayType(IntegerType()))])
+
+    def fill(rows: pa.Table, pieces: pa.Table) -> pa.Table:
+        lists = _whole(rows["_tokens"])
+        tokens = lists.flatten()
+        ids = _ids_of(tokens, *shared.value, ELSEWHERE)
+        rest = ids == ELSEWHERE
+        ids[rest] = _ids_of(tokens.filter(pa.array(rest)), _whole(pieces["token"]), _whole(pieces["token_id"]), UNKNOWN)
+        return rows.drop_columns(["_chunk", "_tokens"]).append_column("_ids", _lists(lists, ids))
+
+    return chunked.withColumn("_tokens", token).groupBy("_chunk").cogroup(found.groupBy("_at")).applyInArrow(fill, schema)
 
 
 def hashed_vector(tokens: Column, dim: int = HASH_DIM) -> Column:
@@ -193,6 +213,14 @@ def token_windows(df: DataFrame, size: int = WINDOW, stride: int | None = None)
     ).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1))).drop("_inner")
 
 
+def _padded(lists: pa.Array, fill: int, width: int | None = None) -> np.ndarray:
+    """The lists as rows of a matrix, as wide as the longest unless told."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(lists), int(sizes.max(initial=0)) if width is None else width), fill, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def embed_tokens(
     df: DataFrame, make_predict_fn: Callable, batch_size: int = BATCH_SIZE, name: str = "embedding"
 ) -> DataFrame:
@@ -210,13 +238,8 @@ def embed_tokens(
             out: list = [None] * len(ids)
             for start in range(0, len(known), batch_size):
                 rows = known[start:start + batch_size]
-                lists = [ids[int(i)].as_py() for i in rows]
-                masks = [mask[int(i)].as_py() for i in rows]
-                width = max(map(len, lists))
-                padded = np.full((len(rows), width), PAD, np.int64)
-                seen = np.zeros((len(rows), width), np.int64)
-                for j, (x, m) in enumerate(zip(lists, masks, strict=True)):
-                    padded[j, :len(x)], seen[j, :len(m)] = x, m
+                padded = _padded(ids.take(pa.array(rows)), PAD)
+                seen = _padded(mask.take(pa.array(rows)), 0, padded.shape[1])
                 for i, vector in zip(rows, np.asarray(predict(padded, seen), np.float64), strict=True):
                     out[i] = vector.tolist()
             yield pa.array(out, pa.list_(pa.float64()))

@@ -1,5 +1,7 @@
 """Fitted models of the registered queries: plain joins over the model, and metrics recomputed in SQL."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -169,3 +171,16 @@ def test_a_token_in_every_row_is_not_joined(spark):
     _, rare = _split_places(df, vocabulary, words(F.col("text")), "id", 200)
     assert sorted({r.token for r in rare.select("token").distinct().collect()} & {"the", "zzz", "rare0"}) == ["rare0"]
     assert rare.count() == 600 and rare.groupBy("token").count().agg(F.max("count")).first()[0] == 100
+
+
+def test_a_token_moves_once_per_chunk(spark):
+    """Not once per place; repeated and null keys keep their rows, and the vocabulary is learned once."""
+    rows = [(i % 7 if i % 5 else None, "the " * 50 + f"word{i % 40} the zzz") for i in range(200)] + [(1, ""), (None, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    vocabulary = learn_vocabulary(df).where("token <> 'zzz'")
+    want = sorted(map(repr, tokenize(df, vocabulary).select("id", "text", "input_ids", "attention_mask").collect()))
+    for hot_rows in (20, 100_000):
+        got = tokenize(df, vocabulary, max_vocabulary=1, hot_rows=hot_rows)
+        assert sorted(map(repr, got.select("id", "text", "input_ids", "attention_mask").collect())) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Aggregate \[_chunk#\d+, token#\d+\]", plan) and plan.count("regexp_extract_all") == 2
