@@ -1,8 +1,8 @@
 """Exact k-nearest-neighbour join on squared Euclidean distance.
 
 Queries meet the base rows of their own group.  Groups are cut into blocks (see
-``blocks``): each query is sent to every base block of its group, each base row to every
-query block, and a block pair yields a partial top-k.  The top-k of the partial top-k is
+``blocks``), small ones in bundles: each query is sent to every bundle of base blocks of its group, each base
+row to every bundle of query blocks, and a pair of them yields a partial top-k.  The top-k of the partial top-k is
 the exact result.  Ties are broken by the neighbour's key, so the result does not depend
 on partitioning or block size.
 """
@@ -29,6 +29,8 @@ from postloom.operators.blocks import (
 TILE_CELLS = 4_000_000  # distances held at once
 GROUP = 64  # columns per group when bounding the k-th smallest distance
 PAIR_FLOATS = 8_000_000  # floats held at once while exact distances are computed
+BUNDLE_ROWS = 4096  # rows of small blocks that move together
+MERGE_PAIRS = 1_000_000  # pairs of several blocks held before they are merged
 
 
 def to_matrix(column) -> np.ndarray:
@@ -118,6 +120,32 @@ def nearest_k(queries: np.ndarray, base: np.ndarray, base_order: np.ndarray, k:
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def nearest_in_blocks(queries: np.ndarray, base: np.ndarray, base_order: np.ndarray, block: np.ndarray, k: int):
+    """The same with the base rows taken block by block; what is held is bounded by merging."""
+    blocks = [rows for rows in np.split(np.argsort(block, kind="stable"), np.cumsum(np.bincount(block))[:-1]) if len(rows)]
+    if len(blocks) == 1:
+        return nearest_k(queries, base, base_order, k)
+    held: list = []
+
+    def merged():
+        at, near, dist = (np.concatenate(part) for part in zip(*held))
+        order = np.lexsort((base_order[near], dist, at))
+        at, near, dist = at[order], near[order], dist[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at) + 1
+        best = rank <= k
+        return at[best], near[best], dist[best], rank[best]
+
+    size = 0
+    for rows in blocks:
+        at, near, dist, _ = nearest_k(queries, base[rows], base_order[rows], k)
+        held.append((at, rows[near], dist))
+        size += len(at)
+        if size > max(MERGE_PAIRS, 4 * k * len(queries)):
+            held[:] = [merged()[:3]]
+            size = len(held[0][0])
+    return merged()
+
+
 def knn_join(
     queries: DataFrame,
     base: DataFrame,
@@ -161,12 +189,18 @@ def knn_join(
         if found is not None:
             return found
 
+    # Small blocks move in bundles, or a row would be copied for every block of the other side.  Blocks of a whole
+    # table are as small as its spread over the cores asks for.
+    together = 1 if everywhere else max(1, BUNDLE_ROWS // block_rows)
+
     def placed(df, own_key, own, other):
         df = with_block_count(df, crowd["base"], by, "_base_blocks")
         df = with_block_count(df, crowd["query"], by, "_query_blocks")
-        return df.withColumn(f"_{own}", own_block(own_key, f"_{own}_blocks")).withColumn(
-            f"_{other}", every_block(f"_{other}_blocks")
-        ).drop("_base_blocks", "_query_blocks")
+        df = df.withColumn("_own", own_block(own_key, f"_{own}_blocks"))
+        df = df.withColumn(f"_{own}", F.floor(F.col("_own") / together).cast("int"))
+        return df.withColumn("_bundles", F.ceil(F.col(f"_{other}_blocks") / together).cast("int")).withColumn(
+            f"_{other}", every_block("_bundles")
+        ).drop("_base_blocks", "_query_blocks", "_bundles")
 
     cell = [*by, "_base", "_query"]
     left = placed(q, "query_id", "query", "base").groupBy(*cell)
@@ -192,7 +226,8 @@ def knn_join(
         # Ranks of the keys: tie order for any key type.
         order = pc.rank(base["neighbor_id"], tiebreaker="first").to_numpy()
         width = k + 1 if exclude_self else k
-        at, near, dist, rank = nearest_k(to_matrix(queries["v"]), to_matrix(base["v"]), order, width)
+        block = base["_own"].to_numpy()
+        at, near, dist, rank = nearest_in_blocks(to_matrix(queries["v"]), to_matrix(base["v"]), order, block, width)
         out = {"query_id": queries["query_id"].take(at), "neighbor_id": base["neighbor_id"].take(near)}
         if exclude_self:
             other = pc.not_equal(out["query_id"], out["neighbor_id"]).combine_chunks().to_numpy(zero_copy_only=False)

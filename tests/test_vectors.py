@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 from postloom.functions.vectors import l2_normalize
 from postloom.operators import cluster as cl
 from postloom.operators import reduce as rd
-from postloom.operators.knn import knn_join, kth_bound, nearest_k, rejected
+from postloom.operators.knn import knn_join, kth_bound, nearest_in_blocks, nearest_k, rejected
 from postloom.operators.pruned import distances_to, knn_join_pruned, possible_cells
 from postloom.operators.prototypes import cluster_prototypes, label_prototypes, prototypical_classify
 from postloom.operators.representatives import group_mean, group_medoid, representative, total_distances
@@ -320,3 +322,27 @@ def test_prototype_of_every_group(spark):
         got = cluster_prototypes(rows, kind)
         assert got.columns == ["cluster", "subcategory", "proto", "n"] and got.count() == 4
     assert group_mean(rows, ["cluster"]).count() == 2
+
+
+def test_small_blocks_move_in_bundles(spark):
+    """A row is copied for every bundle of the other side, not for every block of 20 rows."""
+    rng = np.random.default_rng(8)
+    matrix = rng.normal(size=(900, 6))
+    matrix[300:600] = matrix[0]  # copies
+    matrix[600:] = 1e3 + 1e-3 * matrix[600:]  # far from the others, and near to each other
+    rows = spark.createDataFrame([(i, i % 2, v.tolist(), i) for i, v in enumerate(matrix)], "vec_id long, cluster int, v array<double>, subcategory int")
+    near = knn_join(rows, rows, k=4, block_rows=20, exclude_self=True, prune=False)
+    want = knn_join(rows, rows, k=4, exclude_self=True, prune=False)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, want.collect()))
+    plan = near._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"Generate explode\(sequence\(.*_bundles", plan)) == 2
+
+
+def test_nearest_in_blocks_is_nearest():
+    rng = np.random.default_rng(9)
+    noise = rng.normal(size=(400, 16))
+    for matrix in (noise, np.zeros((400, 16)), np.repeat(noise[:20], 20, 0)):
+        order = np.arange(400)
+        whole = nearest_k(matrix[:50], matrix, order, 7)
+        blocks = nearest_in_blocks(matrix[:50], matrix, order, order % 90, 7)
+        assert all(np.array_equal(x, y) for x, y in zip(blocks, whole))
