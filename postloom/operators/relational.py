@@ -5,6 +5,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.operators.bounded import broadcast_if_small
+
 # Source column -> our name, in output order; None drops the column.
 POST_COLUMNS = {
     "id": "id",
@@ -28,10 +30,11 @@ def select_mapped(df: DataFrame, mapping: Mapping[str, str | None] = POST_COLUMN
 def enrich(posts: DataFrame, lookup: DataFrame, on: str = "subreddit") -> DataFrame:
     """Left join of the label lookup.
 
-    No broadcast is forced: a lookup file below the broadcast threshold is broadcast by
-    its known size, a larger one is joined by shuffle with AQE splitting hot keys.
+    A lookup within the bound of ``broadcast_if_small`` goes to the posts, which then stay where they
+    are: their keys are few, and a shuffle would put them into as many tasks.  A larger one is joined by shuffle
+    with AQE splitting hot keys.
     """
-    return posts.join(lookup, on, "left")
+    return posts.join(lookup if lookup.isStreaming else broadcast_if_small(lookup), on, "left")
 
 
 def attach(df: DataFrame, values: DataFrame, on: str) -> DataFrame:

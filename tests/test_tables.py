@@ -366,3 +366,12 @@ def test_preparation_jobs(spark, tmp_path):
     row = done.where("id = 'p3'").first() or done.first()
     assert done.count() == 45 and len(row["embedding"]) == 64 and row["category"] in (0, 1)
     assert len(row["input_ids"]) == len(row["attention_mask"])
+
+
+def test_posts_stay_where_they_are_for_a_small_lookup(spark):
+    """A computed lookup has no known size; posts with few keys must not be shuffled to it."""
+    posts = spark.range(100).select(F.col("id"), (F.col("id") % 3).cast("string").alias("subreddit")).hint("rebalance")
+    lookup = spark.range(30).select((F.col("id") % 2).cast("string").alias("subreddit"), F.lit("c").alias("category_1")).distinct()
+    got = enrich(posts, lookup)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().sparkPlan().toString()
+    assert got.count() == 100 and got.where("category_1 = 'c'").count() == 67
