@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, AtomicType, DoubleType, IntegerType, StructField, StructType
 
 from postloom.functions.vectors import finite
 from postloom.operators.blocks import (
@@ -30,6 +30,8 @@ TILE_CELLS = 4_000_000  # distances held at once
 GROUP = 64  # columns per group when bounding the k-th smallest distance
 PAIR_FLOATS = 8_000_000  # floats held at once while exact distances are computed
 BUNDLE_ROWS = 4096  # rows of small blocks that move together
+COARSE = 16  # times k candidates in a row, in the mean, beyond which single precision is too coarse
+MAX_LIST = 1000  # neighbours of a query that may be one row
 MERGE_PAIRS = 1_000_000  # pairs of several blocks held before they are merged
 
 
@@ -90,26 +92,66 @@ def kth_bound(rough: np.ndarray, k: int) -> np.ndarray:
     return np.partition(minima, k - 1, axis=1)[:, k - 1]
 
 
+def candidates(tile: np.ndarray, extended: np.ndarray, slack, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(row, column) of what may be among the k smallest of a row of the estimates ``tile @ extended``, all of which are
+    off by half of ``slack`` at most.  None if ``slack`` is too coarse to tell the near ones from many others."""
+    rough = tile @ extended
+    limit = (kth_bound(rough, k) + slack).astype(rough.dtype, copy=False)
+    near = (rough <= limit[:, None]).ravel()
+    if rough.dtype == np.float32 and np.count_nonzero(near) > COARSE * k * len(tile):
+        return None
+    # Hits are rare: eight places are looked at together.
+    whole = len(near) // 8 * 8
+    words = np.flatnonzero(near[:whole].view(np.uint64))
+    hits = (words[:, None] * 8 + np.arange(8)).ravel()
+    hits = np.concatenate([hits[near[hits]], whole + np.flatnonzero(near[whole:])])
+    return np.divmod(hits, rough.shape[1])
+
+
 def nearest_k(queries: np.ndarray, base: np.ndarray, base_order: np.ndarray, k: int):
     """(query position, base position, squared distance, rank) of the k nearest base rows.
 
     Distances are first estimated with one matrix product (without the query's own norm,
     which does not change the order); every base row that could be among the k nearest,
-    allowing for rounding, is then measured exactly.
+    allowing for rounding, is then measured exactly.  Estimates are in single precision, about the
+    mean and scaled to norms of at most 1, where their error has a fixed bound; if that is too coarse for
+    rows that lie very close together, they are in double precision.
     """
     kept = first_copies(base, base_order, k)
     base, base_order = base[kept], base_order[kept]
     k = min(k, len(base))
+    centre = base.mean(axis=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        shifted = base - centre
+        square = np.einsum("ij,ij->i", shifted, shifted)
+        largest = max((np.einsum("ij,ij->i", t, t).max() for t in (queries[i:i + 4096] - centre for i in range(0, len(queries), 4096))), default=0.0)
+        largest = max(largest, square.max())
+    single = bool(np.isfinite(largest) and largest > 1e-200)
+    if single:
+        size = np.sqrt(largest)
+        shifted /= size
+        short = np.ascontiguousarray(np.column_stack([shifted, square / largest]).T, dtype=np.float32)
+        # Conversions and d + 1 rounded sums of terms whose sizes sum to 3 at most, for the bound and for the row.
+        short_slack = 2.0 * (4 * base.shape[1] + 16) * 2.0**-24
+    del shifted
     base_norm = np.einsum("ij,ij->i", base, base)
-    extended = np.ascontiguousarray(np.column_stack([base, base_norm]).T)
-    step = max(1, TILE_CELLS // len(base))
+    extended = None
     found = []
-    for start in range(0, len(queries), step):
-        tile = queries[start:start + step]
-        rough = np.column_stack([-2.0 * tile, np.ones(len(tile))]) @ extended
-        slack = 1e-9 * (np.einsum("ij,ij->i", tile, tile) + base_norm.max()) + 1e-300
-        limit = kth_bound(rough, k) + slack
-        rows, cols = np.nonzero(rough <= limit[:, None])
+    start = 0
+    while start < len(queries):
+        at = None
+        if single:
+            tile = queries[start:start + max(1, 2 * TILE_CELLS // len(base))]
+            scaled = np.column_stack([(tile - centre) * (-2.0 / size), np.ones(len(tile))]).astype(np.float32)
+            at = candidates(scaled, short, np.full(len(tile), short_slack), k)
+            single = at is not None
+        if at is None:
+            tile = queries[start:start + max(1, TILE_CELLS // len(base))]
+            if extended is None:
+                extended = np.ascontiguousarray(np.column_stack([base, base_norm]).T)
+            slack = 1e-9 * (np.einsum("ij,ij->i", tile, tile) + base_norm.max()) + 1e-300
+            at = candidates(np.column_stack([-2.0 * tile, np.ones(len(tile))]), extended, slack, k)
+        rows, cols = at
         dist = exact_sq_dist(tile, base, rows, cols)
         order = np.lexsort((base_order[cols], dist, rows))
         rows, cols, dist = rows[order], cols[order], dist[order]
@@ -117,6 +159,7 @@ def nearest_k(queries: np.ndarray, base: np.ndarray, base_order: np.ndarray, k:
         rank = np.arange(len(rows)) - starts[rows] + 1
         best = rank <= k
         found.append((rows[best] + start, kept[cols[best]], dist[best], rank[best]))
+        start += len(tile)
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
@@ -214,12 +257,15 @@ def knn_join(
     ]
     fields += [b.schema[c] for c in carry]
     schema = StructType(fields)
+    # Over a whole table a query has a partial result per base block: these move as one row each, not k.
+    packed = everywhere and crowd["base"] is not None and k <= MAX_LIST and all(isinstance(b.schema[c].dataType, AtomicType) for c in carry)
+    link = StructType([StructField(n, schema[n].dataType) for n in ("sq_dist", "neighbor_id", *carry)])
 
     def partial_top_k(queries: pa.Table, base: pa.Table) -> pa.Table:
-        names = [f.name for f in schema.fields]
+        names = [*([] if not packed else ["_at"]), *[f.name for f in schema.fields]]
         if not queries.num_rows or not base.num_rows:
             source = queries if queries.num_rows else base
-            types = {"rank": pa.int32(), "sq_dist": pa.float64()}
+            types = {"rank": pa.int32(), "sq_dist": pa.float64(), "_at": pa.int64()}
             types.update({c: base.schema.field(c).type for c in ["neighbor_id", *by, *carry]})
             types["query_id"] = queries.schema.field("query_id").type
             return pa.table({n: pa.array([], types[n]) for n in names})
@@ -237,12 +283,28 @@ def knn_join(
             best = rank <= k
             at, near, dist, rank = at[best], near[best], dist[best], rank[best]
             out = {"query_id": queries["query_id"].take(at), "neighbor_id": base["neighbor_id"].take(near)}
+        out["_at"] = pa.array(at)
         out["rank"] = pa.array(rank.astype(np.int32))
         out["sq_dist"] = pa.array(dist)
         for c in [*by, *carry]:
             out[c] = base[c].take(near)
         return pa.table({n: out[n] for n in names})
 
+    def partial_lists(queries: pa.Table, base: pa.Table) -> pa.Table:
+        found = partial_top_k(queries, base)
+        ids, counts, near = queries["query_id"], np.zeros(queries.num_rows, np.int64), [found[n].combine_chunks() for n in link.names]
+        if found.num_rows:
+            counts = np.bincount(found["_at"].to_numpy(), minlength=len(counts))
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.StructArray.from_arrays(near, link.names))
+        return pa.table({"query_id": ids, "near": lists})
+
+    if packed:
+        lists = StructType([StructField("query_id", schema["query_id"].dataType), StructField("near", ArrayType(link))])
+        partial = left.cogroup(right).applyInArrow(partial_lists, lists).where(F.size("near") > 0)
+        nearest = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k)
+        merged = partial.groupBy("query_id").agg(nearest.alias("near")).select("query_id", F.posexplode("near").alias("rank", "near"))
+        return merged.select("query_id", (F.col("rank") + 1).alias("rank"), "near.neighbor_id", "near.sq_dist", *[F.col("near").getField(c).alias(c) for c in carry])
     partial = left.cogroup(right).applyInArrow(partial_top_k, schema)
     if crowd["base"] is not None:
         nearest = Window.partitionBy("query_id").orderBy("sq_dist", "neighbor_id")

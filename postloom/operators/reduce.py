@@ -21,6 +21,7 @@ from postloom.operators.pruned import knn_join_pruned
 
 N_NEIGHBORS = 27  # fixed value: the default workload parameter
 BISECTIONS = 64
+MAX_SUMS = 96  # components that are summed one by one: Spark generates no code for rows of more than 100 fields
 
 
 def knn_graph(
@@ -112,9 +113,18 @@ def fuzzy_graph(graph: DataFrame) -> DataFrame:
     return met.select("src", "dst", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("weight"))
 
 
-def _weighted_mean(rows: DataFrame, by: str) -> DataFrame:
-    mean = Summarizer.metrics("mean").summary(array_to_vector("_coords"), F.col("weight"))
-    return rows.groupBy(by).agg(vector_to_array(mean["mean"]).alias("_mean"))
+def _weighted_mean(rows: DataFrame, by: str, width: int) -> DataFrame:
+    """(by, _mean) of ``_coords`` of ``width`` components.
+
+    A sum per component stays in flat rows: aggregates of vector objects are sorted and serialised
+    once there are more than a few groups in a task.  Only very wide vectors go that way.
+    """
+    if not 0 < width <= MAX_SUMS:
+        mean = Summarizer.metrics("mean").summary(array_to_vector("_coords"), F.col("weight"))
+        return rows.groupBy(by).agg(vector_to_array(mean["mean"]).alias("_mean"))
+    sums = [F.sum(F.col("weight") * F.col("_coords")[i]).alias(f"_{i}") for i in range(width)]
+    total = rows.groupBy(by).agg(F.sum("weight").alias("_weight"), *sums)
+    return total.select(by, F.array(*[F.col(f"_{i}") / F.col("_weight") for i in range(width)]).alias("_mean"))
 
 
 def graph_embed(
@@ -134,12 +144,13 @@ def graph_embed(
     """
     edges = cut_lineage(edges)
     points = cut_lineage(coords.select(key, F.col(name).cast("array<double>").alias("_coords")))
+    width = points.agg(F.max(F.size("_coords"))).first()[0] or 0
     blend = F.zip_with(
         "_coords", "_mean", lambda own, mean: own * F.lit(1.0 - step) + mean * F.lit(step)
     )
     for _ in range(iterations):
         sent = edges.join(points.withColumnRenamed(key, "src"), "src")
-        moved = _weighted_mean(sent, "dst").withColumnRenamed("dst", key)
+        moved = _weighted_mean(sent, "dst", width).withColumnRenamed("dst", key)
         points = cut_lineage(
             points.join(moved, key, "left").select(
                 key, F.when(F.col("_mean").isNull(), F.col("_coords")).otherwise(blend).alias("_coords")
@@ -167,4 +178,5 @@ def graph_transform(
         .withColumn("_weight", membership(F.col("_near.dist")))
         .select("query_id", F.inline(F.arrays_zip(F.col("_near.coords").alias("_coords"), F.col("_weight").alias("weight"))))
     )
-    return _weighted_mean(sent, "query_id").select(F.col("query_id").alias(key), F.col("_mean").alias(name))
+    width = base.agg(F.max(F.size(name))).first()[0] or 0
+    return _weighted_mean(sent, "query_id", width).select(F.col("query_id").alias(key), F.col("_mean").alias(name))

@@ -13,6 +13,7 @@ from postloom.functions.vectors import sq_l2
 from postloom.operators.cluster import fit_clusters, fit_reducer, get_centroids, predict_clusters, reduce
 from postloom.operators.embed import UNKNOWN, _split_places, learn_vocabulary, tokenize
 from postloom.operators.graph_reducer import GraphReducerModel
+from postloom.operators.reduce import MAX_SUMS, _weighted_mean
 from postloom.operators.sampling import sample_n
 from postloom.plans.classify import classify_zero_shot
 from postloom.registry import QUERIES
@@ -184,3 +185,15 @@ def test_a_token_moves_once_per_chunk(spark):
         assert sorted(map(repr, got.select("id", "text", "input_ids", "attention_mask").collect())) == want
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert re.search(r"Aggregate \[_chunk#\d+, token#\d+\]", plan) and plan.count("regexp_extract_all") == 2
+
+
+def test_graph_means_are_summed_in_flat_rows(spark):
+    """By component, as the vector aggregate gives them; coordinates of neighbours are fetched after the search."""
+    draw = np.random.default_rng(8)
+    rows = [(int(i), float(w), p.tolist()) for i, w, p in zip(draw.integers(0, 200, 900), draw.random(900), draw.normal(size=(900, 5)))]
+    sent = spark.createDataFrame([*rows, (None, 1.0, [1.0] * 5)], "dst long, weight double, _coords array<double>").repartition(4)
+    flat, wide = _weighted_mean(sent, "dst", 5), _weighted_mean(sent, "dst", MAX_SUMS + 1)
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "HashAggregate" in plan
+    got, want = ({r.dst: r["_mean"] for r in x.collect()} for x in (flat, wide))
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=1e-12, atol=1e-14) for i in want)

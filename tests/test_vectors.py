@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from postloom.functions.vectors import l2_normalize
 from postloom.operators import cluster as cl
+from postloom.operators import knn
 from postloom.operators import reduce as rd
-from postloom.operators.knn import knn_join, kth_bound, nearest_in_blocks, nearest_k, rejected
+from postloom.operators.knn import exact_sq_dist, knn_join, kth_bound, nearest_in_blocks, nearest_k, rejected
 from postloom.operators.pruned import distances_to, knn_join_pruned, possible_cells
 from postloom.operators.prototypes import cluster_prototypes, label_prototypes, prototypical_classify
 from postloom.operators.representatives import group_mean, group_medoid, representative, total_distances
@@ -346,3 +347,50 @@ def test_nearest_in_blocks_is_nearest():
         whole = nearest_k(matrix[:50], matrix, order, 7)
         blocks = nearest_in_blocks(matrix[:50], matrix, order, order % 90, 7)
         assert all(np.array_equal(x, y) for x, y in zip(blocks, whole))
+
+
+def test_near_rows_far_from_the_origin_are_few(monkeypatch):
+    """Estimates are about the mean, so that a common offset does not make every pair a candidate."""
+    draw = np.random.default_rng(3)
+    base, pairs = draw.normal(size=(3000, 8)) + 1e5, []
+    monkeypatch.setattr(knn, "exact_sq_dist", lambda a, b, rows, cols: pairs.append(len(rows)) or exact_sq_dist(a, b, rows, cols))
+    at, near, dist, rank = knn.nearest_k(base[:200], base, np.arange(3000), 5)
+    gap = ((base[:200, None] - base[None]) ** 2).sum(2)
+    assert np.array_equal(near.reshape(200, 5), np.lexsort((np.tile(np.arange(3000), (200, 1)), gap))[:, :5])
+    assert np.allclose(dist, np.take_along_axis(gap, near.reshape(200, 5), 1).ravel(), rtol=1e-12, atol=0)
+    assert sum(pairs) < 200 * 5 * 4
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e30])
+def test_near_rows_of_any_scale_and_density(scale):
+    """Rows closer together than single precision can tell are told apart in double precision."""
+    draw = np.random.default_rng(5)
+    centers = draw.normal(size=(6, 4))
+    base = (centers[np.arange(1200) % 6] + 1e-7 * draw.normal(size=(1200, 4)) * (np.arange(1200)[:, None] % 5 > 0)) * scale
+    order = draw.permutation(1200)
+    at, near, dist, rank = knn.nearest_k(base[:60], base, order, 7)
+    gap = (((base[:60, None] - base[None]) / scale) ** 2).sum(2)
+    for i in range(60):
+        found = near[at == i]
+        assert np.allclose(gap[i, found], np.sort(gap[i])[:7], rtol=1e-6, atol=1e-26)
+
+
+def test_partial_results_of_a_whole_table_move_as_lists(spark):
+    """One row per query and base block, not k; repeated keys, ties and carried columns as before."""
+    draw = np.random.default_rng(9)
+    points = draw.integers(0, 3, (1400, 3)).astype(float)
+    keys = [i - i % 50 % 2 for i in range(1400)]
+    rows = spark.createDataFrame([(k, p.tolist()) for k, p in zip(keys, points)], "vec_id long not null, v array<double>")
+    rows = rows.withColumn("tag", F.concat(F.lit(""), F.col("vec_id").cast("string")))
+    queries = spark.createDataFrame([(i, points[i].tolist()) for i in range(1300, 1400)], "vec_id long, v array<double>")
+    got = knn_join(queries, rows, 6, None, carry=("tag",), block_rows=500)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "near" in plan and "Window" not in plan
+    lists = {}
+    for r in got.collect():
+        lists.setdefault(r.query_id, []).append((r["rank"], r.sq_dist, r.neighbor_id, r.tag))
+    asked = {r.vec_id: np.array(r.v) for r in queries.collect()}
+    assert set(lists) == set(asked)
+    for i, found in lists.items():
+        near = sorted((float(((points[j] - asked[i]) ** 2).sum()), keys[j]) for j in range(1400))[:6]
+        assert sorted(found) == [(n + 1, d, k, str(k)) for n, (d, k) in enumerate(near)]
