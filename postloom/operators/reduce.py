@@ -171,12 +171,16 @@ def graph_transform(
 
     ``base`` holds the key, the original vector and the embedded coordinates.
     """
-    near = knn_join_pruned(new, base, n_neighbors, key, vec, carry=(name,))
-    packed = F.sort_array(F.collect_list(F.struct(F.sqrt("sq_dist").alias("dist"), "neighbor_id", F.col(name).alias("coords"))))
-    sent = (
+    # Coordinates are wide: links move with a short name of theirs, and only the nearest fetch them.
+    base = base.select(key, vec, F.col(name).cast("array<double>").alias("_coords")).withColumn("_place", F.xxhash64("_coords"))
+    near = knn_join_pruned(new, base, n_neighbors, key, vec, carry=("_place",))
+    packed = F.sort_array(F.collect_list(F.struct(F.sqrt("sq_dist").alias("dist"), "neighbor_id", "_place")))
+    links = (
         near.groupBy("query_id").agg(packed.alias("_near"))
         .withColumn("_weight", membership(F.col("_near.dist")))
-        .select("query_id", F.inline(F.arrays_zip(F.col("_near.coords").alias("_coords"), F.col("_weight").alias("weight"))))
+        .select("query_id", F.inline(F.arrays_zip(F.col("_near.neighbor_id").alias("_id"), F.col("_near._place").alias("_at"), F.col("_weight").alias("weight"))))
     )
-    width = base.agg(F.max(F.size(name))).first()[0] or 0
+    coords = base.groupBy(F.col(key).alias("_key"), "_place").agg(F.first("_coords").alias("_coords"))
+    sent = links.join(coords, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_place")))
+    width = base.agg(F.max(F.size("_coords"))).first()[0] or 0
     return _weighted_mean(sent, "query_id", width).select(F.col("query_id").alias(key), F.col("_mean").alias(name))

@@ -13,7 +13,7 @@ from postloom.functions.vectors import sq_l2
 from postloom.operators.cluster import fit_clusters, fit_reducer, get_centroids, predict_clusters, reduce
 from postloom.operators.embed import UNKNOWN, _split_places, learn_vocabulary, tokenize
 from postloom.operators.graph_reducer import GraphReducerModel
-from postloom.operators.reduce import MAX_SUMS, _weighted_mean
+from postloom.operators.reduce import MAX_SUMS, _weighted_mean, graph_transform
 from postloom.operators.sampling import sample_n
 from postloom.plans.classify import classify_zero_shot
 from postloom.registry import QUERIES
@@ -197,3 +197,25 @@ def test_graph_means_are_summed_in_flat_rows(spark):
     assert "ObjectHashAggregate" not in plan and "HashAggregate" in plan
     got, want = ({r.dst: r["_mean"] for r in x.collect()} for x in (flat, wide))
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=1e-12, atol=1e-14) for i in want)
+
+
+def test_new_points_with_repeated_fitted_keys(spark):
+    """A fitted key that comes twice, or is null, counts as often as it comes."""
+    draw = np.random.default_rng(2)
+    base = [(i // 2 if i > 3 else None, p.tolist(), c.tolist()) for i, (p, c) in enumerate(zip(draw.normal(size=(40, 3)), draw.normal(size=(40, 2))))]
+    base += base[:10]
+    frame = spark.createDataFrame(base, "vec_id long, v array<double>, reduced array<double>")
+    new = spark.createDataFrame([(7, [0.1, 0.2, -0.3]), (8, [1.0, 0.0, 0.0])], "vec_id long, v array<double>")
+    got = graph_transform(new, frame, 6)
+    assert "_place" in got._jdf.queryExecution().analyzed().toString()
+    got = {r.vec_id: r.reduced for r in got.collect()}
+    for r in new.collect():
+        dist = np.sqrt(((np.array([p for _, p, _ in base]) - r.v) ** 2).sum(1))
+        near = np.argsort(dist, kind="stable")[:6]
+        one = dist[near][dist[near] > 0].min()
+        gap, low, high = np.maximum(dist[near] - one, 0), 0.0, 1e6
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (low, mid) if np.exp(-gap / mid).sum() > np.log2(6) else (mid, high)
+        weight = np.exp(-gap / max(mid, 1e-3 * dist[near].mean()))
+        assert np.allclose(got[r.vec_id], np.average(np.array([c for _, _, c in base])[near], axis=0, weights=weight), rtol=1e-6)
