@@ -35,8 +35,8 @@ MAX_LIST = 1000  # neighbours of a query that may be one row
 MERGE_PAIRS = 1_000_000  # pairs of several blocks held before they are merged
 
 
-def to_matrix(column) -> np.ndarray:
-    """An Arrow list column as a float64 matrix; rows of different widths are an error."""
+def to_matrix(column, number=np.float64) -> np.ndarray:
+    """An Arrow list column as a matrix of float64 or another type; rows of different widths are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -45,7 +45,7 @@ def to_matrix(column) -> np.ndarray:
     if width["min"] != width["max"]:
         raise ValueError(f"vectors of {width['min']} and of {width['max']} components in one column")
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), -1)
+    return flat.astype(number).reshape(len(column), -1)
 
 
 def rejected(df: DataFrame, key: str = "vec_id", vec: str = "v") -> DataFrame:

@@ -1,14 +1,17 @@
 """Neighbour descent, bounded medoids and quantiles by counters: same results, bounded work."""
 
 import math
+import os
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.operators import descent as ds, representatives as rp
+from postloom.operators import descent as ds, lineage, representatives as rp
 from postloom.operators.descent import _sampled, descend, graph_recall
 from postloom.operators.knn import knn_join
+from postloom.operators.lineage import Steps
 from postloom.operators.profile import describe
 from postloom.operators.quantiles import from_bits, ordered_bits, ordered_values, quantiles, select_ranks
 from postloom.operators.reduce import knn_graph
@@ -222,3 +225,51 @@ def test_old_links_do_not_meet_again(spark):
     guests = ds._guests(links)
     assert guests.columns == ["at", "node", "fresh"]
     assert sorted(map(tuple, guests.collect())) == [(1, 2, True), (1, 3, False), (2, 1, True)]
+
+
+def test_rounds_leave_nothing_but_the_nodes_and_the_last_lists(spark, monkeypatch):
+    plain, folders = lineage._written, []
+
+    def watched(df):
+        folder, table = plain(df)
+        folders.append(folder.removeprefix("file:"))
+        return folder, table
+
+    monkeypatch.setattr(lineage, "_written", watched)
+    found = descend(vectors(spark, np.random.default_rng(7).normal(size=(300, 6))), 4, list_size=8, sample=4, rounds=2)
+    assert found.rounds == 2 and len(folders) > 8 and sum(map(os.path.exists, folders)) == 2
+    assert found.graph.count() == 1200
+
+
+def test_what_a_step_shuffled_is_deleted_with_it(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in disk.getAllFiles().mkString(" ").split() if "/shuffle_" in name}
+
+    before, steps = shuffled(), Steps(spark)
+    kept = steps.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and kept.count() == 7
+    assert spark.conf.get(Steps.CLEANUP) == "false"
+    steps.keep_only()
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        kept.count()
+
+
+def test_a_vector_moves_once_to_every_part_where_it_meets(spark):
+    nodes = vectors(spark, np.random.default_rng(8).normal(size=(60, 3))).withColumnRenamed("vec_id", "node")
+    meetings = spark.createDataFrame([(i, i % 2, [j for j in range(60) if j != i], 59) for i in range(60)], "at long, part int, rows array<long>, fresh int")
+    ends = nodes.select("node", F.lit(None).cast("double").alias("end"))
+    seated = ds._seated(meetings, nodes, ends, F.lit(0))
+    assert seated.where("v is not null").count() == 2 * 60 and seated.where("rows is not null").count() == 60
+    found = ds._nearer(seated, 2, 60, 5)
+    assert sum(len(r.node) for r in found.collect()) == 2 * 60 * 5  # a list of each part for each row, not a row per pair
+
+
+def test_vectors_are_dealt_to_more_parts_only_where_a_task_cannot_hold_them():
+    assert ds._parts(600_000, 60_000_000, 700_000, 12) == 12 == ds._parts(10, 0, 1, 12)
+    parts = ds._parts(6_000_000, 600_000_000, 700_000, 12)
+    assert 600 < parts < 1000 and 6_000_000 * -math.expm1(-100 / parts) <= 700_000
