@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postloom.operators import descent as ds, lineage, representatives as rp
 from postloom.operators.descent import _sampled, descend, graph_recall
-from postloom.operators.knn import knn_join
+from postloom.operators.knn import exact_sq_dist, knn_join
 from postloom.operators.lineage import Steps
 from postloom.operators.profile import describe
 from postloom.operators.quantiles import from_bits, ordered_bits, ordered_values, quantiles, select_ranks
@@ -273,3 +273,27 @@ def test_vectors_are_dealt_to_more_parts_only_where_a_task_cannot_hold_them():
     assert ds._parts(600_000, 60_000_000, 700_000, 12) == 12 == ds._parts(10, 0, 1, 12)
     parts = ds._parts(6_000_000, 600_000_000, 700_000, 12)
     assert 600 < parts < 1000 and 6_000_000 * -math.expm1(-100 / parts) <= 700_000
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1.0, 1e6), (1e-9, 1e3), (1e-20, 0.0), (1e20, 0.0)])
+@pytest.mark.parametrize("number", [np.float32, np.float64])
+def test_pairs_that_meet_are_measured_wherever_numbers_lie(scale, shift, number):
+    """Against all pairs one by one: whatever may enter a list is found, with its exact distance."""
+    rng = np.random.default_rng(11)
+    matrix = (shift + scale * rng.normal(size=(40, 7))).astype(number)
+    wide = matrix.astype(np.float64)
+    exact = exact_sq_dist(wide, wide, *np.divmod(np.arange(1600), 40)).reshape(40, 40)
+    end = np.where(np.arange(40) % 5 == 0, np.inf, np.sort(exact, axis=1)[:, 6])  # a distance that some row has
+    met = [rng.permutation(40)[:n] for n in (12, 3, 25, 2)]
+    new = [5, 3, 1, 1]
+    wanted = set()
+    for rows, first in zip(met, new):
+        wanted |= {(i, j) for a, i in enumerate(rows) for b, j in enumerate(rows) if a != b and min(a, b) < first and exact[i, j] <= end[i]}
+    parts = list(ds._measured(matrix, end, np.concatenate(met).astype(np.int32), np.array([12, 3, 25, 2]), np.array(new, np.int32)))
+    node, near, dist = (np.concatenate(x) for x in zip(*parts))
+    assert set(zip(node.tolist(), near.tolist())) == wanted
+    assert np.allclose(dist, exact[node, near], rtol=1e-12, atol=0)
+    node, near, dist = ds._nearest_met(parts, np.arange(40, 0, -1), 2)
+    for i in range(40):
+        mine = sorted((exact[i, j], -j) for k, j in wanted if k == i)[:2]
+        assert [-j for j in near[node == i]] == [j for _, j in mine]
